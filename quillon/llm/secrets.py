@@ -187,7 +187,7 @@ def scan_column(column) -> list[list[Span]]:
     return out
 
 
-SPANS = ArrayType(StructType().add("start", "int").add("end", "int").add("kind", "string"))
+SPANS = ArrayType(StructType().add("start", "integer").add("end", "integer").add("kind", "string"))
 _ARROW = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
 
 
