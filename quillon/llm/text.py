@@ -75,12 +75,12 @@ def strings(column) -> tuple[np.ndarray, np.ndarray]:
     return b[o[0] : o[-1]], o - o[0]
 
 
-def blocks(b: np.ndarray, o: np.ndarray, size: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Cut (bytes, offsets) into runs of whole texts of about ``size`` bytes: (first, last, bytes, offsets)."""
+def blocks(b: np.ndarray, o: np.ndarray, size: int = BLOCK_BYTES, most: int = 4096) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Cut (bytes, offsets) into runs of whole texts of about ``size`` bytes and at most ``most`` texts: (first, last, bytes, offsets)."""
     i, n = 0, len(o) - 1
     while i < n:
         j = max(i + 1, int(np.searchsorted(o, o[i] + size, "right")) - 1)
-        j = min(j, n)
+        j = min(j, n, i + most)
         yield i, j, b[o[i] : o[j]], o[i : j + 1] - o[i]
         i = j
 
