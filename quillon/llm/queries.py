@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import decontaminate, html_text, jaccard, mixing, quality, secrets, toxicity, urls
+from quillon.llm import decontaminate, html_text, jaccard, mixing, quality, secrets, substrings, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +51,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (quality.fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without its repeated 100-byte strings."""
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"), texts=False)
+
+
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's verdict: the given rules', else that of rules mined from labelled pages (poor or toxic ones are bad)."""
     pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
@@ -74,5 +79,5 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_pages(table(spark, sf_dir, "pages"), ["page_id", "url"])
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_classifier, op2_benchmark_decontamination, op3_secret_scans, op4_toxicity, op6_url_filters, op8_ngram_jaccard_join, op9_mixing, op10_html_extraction)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_classifier, op2_benchmark_decontamination, op3_secret_scans, op4_toxicity, op5_suffix_array_dedup, op6_url_filters, op8_ngram_jaccard_join, op9_mixing, op10_html_extraction)}
 ORACLE_SQL: dict[str, str] = {"op9_mixing": mixing.OP9_SQL}
