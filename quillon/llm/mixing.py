@@ -49,8 +49,8 @@ def step_of(id_col: str, seed: int) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary")), 1, 3), 16, 10).cast("int")
 
 
-def mix_sources(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), max_epochs: float = 3, seed: int = 17, id_col: str = "doc_id") -> DataFrame:
-    """One row per document: id, size, source_size, target, taken (words the mix takes, repeats counted).
+def mix_sources(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), max_epochs: float = 3, seed: int = 17, id_col: str = "doc_id", keep: Sequence[str] = ()) -> DataFrame:
+    """One row per document: ``keep`` columns, id, size, source_size, target, taken (words the mix takes, repeats counted).
 
     With ``ratio = target / source_size``, each document is taken ``floor(ratio)`` times whole. For the rest, a source's
     documents go through in order of a seeded step; steps that fit are taken once more, and the step at the edge gives
@@ -61,9 +61,10 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), max_epoch
     task. Null text has size 0, null sources form one source, repeated rows are mixed as they stand, an empty table
     gives no rows; other columns are ignored.
     """
-    d = docs.select(F.col(id_col).alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"))
+    kept = F.struct(*keep) if keep else F.lit(None)
+    d = docs.select(kept.alias("_kept"), F.col(id_col).alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"))
     d = d.withColumn("step", step_of("doc_id", seed))
-    steps = d.groupBy("source", "step").agg(F.sum("size").alias("step_size"))
+    steps = d.drop("_kept").groupBy("source", "step").agg(F.sum("size").alias("step_size"))
     by_source = steps.groupBy("source").agg(F.sum("step_size").alias("source_size"))
     t = targets(by_source, weights, max_epochs)
     t = t.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
@@ -79,7 +80,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), max_epoch
     plan = F.broadcast(plan) if plan_fits(docs) else plan
     j = d.alias("a").join(plan.alias("b"), same)
     extra = F.floor(F.col("a.size") * F.element_at("b.parts", F.col("a.step")) + 0.5)
-    return j.select("a.doc_id", "a.size", "b.source_size", "b.target", (F.col("a.size") * F.col("b.whole") + extra).cast("long").alias("taken"))
+    return j.select(*[F.col(f"a._kept.{c}") for c in keep], "a.doc_id", "a.size", "b.source_size", "b.target", (F.col("a.size") * F.col("b.whole") + extra).cast("long").alias("taken"))
 
 
 #: Sources up to which their plan (about 50 kB each) is broadcast; beyond, Spark joins it by source.

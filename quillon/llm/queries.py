@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import decontaminate, html_text, jaccard, mixing, quality, secrets, substrings, toxicity, urls
+from quillon.llm import decontaminate, html_text, jaccard, mixing, neighbours, quality, secrets, substrings, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +64,11 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(pages, urls.RULES, mined)
 
 
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's links and component at cosine 0.95 or more."""
+    return neighbours.embedding_components(table(spark, sf_dir, "embeddings"))
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's component of documents with five-word shingle sets of similarity 0.8 or more."""
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
@@ -79,5 +84,5 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_pages(table(spark, sf_dir, "pages"), ["page_id", "url"])
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_classifier, op2_benchmark_decontamination, op3_secret_scans, op4_toxicity, op5_suffix_array_dedup, op6_url_filters, op8_ngram_jaccard_join, op9_mixing, op10_html_extraction)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_classifier, op2_benchmark_decontamination, op3_secret_scans, op4_toxicity, op5_suffix_array_dedup, op6_url_filters, op7_embedding_near_dedup, op8_ngram_jaccard_join, op9_mixing, op10_html_extraction)}
 ORACLE_SQL: dict[str, str] = {"op9_mixing": mixing.OP9_SQL}
