@@ -28,6 +28,8 @@ from quillon.llm.suffix import SEPARATOR, common_prefixes, suffix_array
 
 LENGTH, GRAM = 100, 32
 LEFT = LENGTH - GRAM  # an anchor starts at most so many bytes after its window
+#: Bytes of contexts in one suffix array, about; whole anchors, so that ranks and positions fit one machine word.
+ARRAY_BYTES = 1 << 19
 #: Contexts of one anchor that go to one shard at most.
 SHARD_CONTEXTS = 256
 _SALT = np.uint64(0xA0761D6478BD642F)
@@ -276,9 +278,14 @@ def decide(ctx: DataFrame) -> DataFrame:
         doc, start = table.column("doc_id").to_numpy(), table.column("start").to_numpy()
         ready = [k for k, x in enumerate(h) if x is None]
         out = [_spans(doc[ready], start[ready], [int.from_bytes(raw[k], "little") for k in ready])]
-        rest = [k for k, x in enumerate(h) if x is not None]
-        if rest:
-            out.append(_spans(*shard_spans([raw[k] for k in rest], doc[rest], start[rest])))
+        rest = sorted((x, k) for k, x in enumerate(h) if x is not None)
+        part, size = [], 0
+        for i, (x, k) in enumerate(rest):
+            part.append(k)
+            size += len(raw[k])
+            if i + 1 == len(rest) or size >= ARRAY_BYTES and rest[i + 1][0] != x:
+                out.append(_spans(*shard_spans([raw[k] for k in part], doc[part], start[part])))
+                part, size = [], 0
         return pa.Table.from_batches(out)
 
     return ctx.groupBy("shard").applyInArrow(run, _SPANS)
