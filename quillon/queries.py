@@ -16,6 +16,7 @@ from quillon.functions import masks
 from quillon.functions import pointwise as pw
 from quillon.functions import time_series as ts
 from quillon.functions.registry import OPERATORS
+from quillon.operators import features as fe
 from quillon.operators import metrics as mt
 from quillon.operators import portfolio as pl
 from quillon.plans import templates as tp
@@ -112,7 +113,7 @@ def _(p):
       times AS (SELECT n.nation, d.day0 FROM nations n CROSS JOIN days d UNION SELECT nation, day0 FROM reports),
       rows0 AS (SELECT t.nation, t.day0, r.total, r.orders, row_number() OVER (PARTITION BY t.nation ORDER BY t.day0) AS i FROM times t LEFT JOIN reports r ON t.nation = r.nation AND t.day0 = r.day0),
       carried AS (SELECT nation, day0, i, {last('total')} {over} AS total, {last('orders')} {over} AS orders, max(CASE WHEN orders IS NOT NULL THEN i END) {over} AS seen FROM rows0)
-      SELECT f.nation, f.day0 AS {DATE}, CASE WHEN i - seen <= 26 THEN round(f.total, 2) END AS total, CASE WHEN i - seen <= 26 THEN f.orders END AS orders FROM carried f JOIN days d ON f.day0 = d.day0"""
+      SELECT f.nation, f.day0 AS {DATE}, CASE WHEN i - seen <= 26 THEN round(f.total, 2) END AS total, CAST(CASE WHEN i - seen <= 26 THEN f.orders END AS DOUBLE) AS orders FROM carried f JOIN days d ON f.day0 = d.day0"""
     return p.query(sql.replace("rows0", "numbered"), ["price"])
 
 
@@ -228,6 +229,25 @@ for _name, _root in PROGRAMS.items():
     _cells(_name, factor=lambda p, r=_root: compile_program(p, Program(r), mask_inputs=False))
 
 
+# Feature recipes.
+def _features(name: str, f: Callable[[Layers], dict[str, str]]) -> None:
+    PANEL[name] = lambda p: p.select(KEYS | f(p))
+
+
+_features("fe4_8_differences", lambda p: fe.differences(p, {"gap": ("high", "low"), "acceleration": ("price", ts.delay(p, "price", 4)), "quality": ("tax", "discount")}))
+_features("fe6_9_rank_composite", lambda p: fe.rank_composite(p, ["price", "volume", "tax", "discount"]))
+_features("fe11_12_ratios", lambda p: fe.ratios(p, {"a": ("tax", "discount"), "b": ("high", "price")}))
+_features("fe10_revisions", lambda p: {"last": ts.last_revision(p, "volume"), "flag": ts.update_flag(p, "volume")})
+_features("fe15_average_spreads", lambda p: fe.average_spreads(p, "price") | {"amount_crowding": fe.average_spreads(p, "volume")["to_long"]})
+_features("fe16_divergence", lambda p: {"pv": fe.divergence(p, ts.pct_change(p, "price", 5), ts.pct_change(p, "volume", 5))})
+_features("fe17_18_consensus", lambda p: fe.consensus(p, ["price", "volume", "tax", "discount", "size"]))
+_features("fe19_20_adjusted_trend", lambda p: {"trend": fe.adjusted_trend(p, ts.pct_change(p, "price", 20), ts.drawdown(p, "price", 20)), "crowding": pw.mul(p, cs.rank_pct(p, "volume"), cs.rank_pct(p, "price"))})
+_features("fe21_24_money_flow", lambda p: fe.money_flow(p, "volume", p.let("CAST(lines AS DOUBLE)")))
+_features("fe25_27_book", lambda p: fe.book_measures(p, "low", "high", "volume", p.let("volume * (1 - discount)")))
+_features("fe29_shocks", lambda p: fe.shocks(p, "price", "high", "low", "volume"))
+_features("fe30_31_composites", lambda p: {"overheat": fe.overheat(p, ["price", "volume", "size", "tax"]), "flow_price": fe.divergence(p, ts.ts_sum(p, "volume", 5), ts.pct_change(p, "price", 5))})
+
+
 # Metrics, of the mean of five ranks.
 def factor_of(p: Layers) -> str:
     return ts.ts_meanrank(p, "price", 5)
