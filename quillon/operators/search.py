@@ -57,7 +57,10 @@ class Generator:
 
     def __post_init__(self) -> None:
         self.rng = random.Random(self.config.seed)
-        usable = lambda o: not self.config.windows or o.category != "time_series" or any(f"_{w}" in o.name.replace("_n", " ").split(" ")[0][-4:] for w in self.config.windows)
+        def usable(o) -> bool:
+            w = next((int(x) for x in o.name.split("_") if x.isdigit()), None)
+            return o.category != "time_series" or not self.config.windows or w in self.config.windows
+
         self.numeric = [o for o in operators(output="numeric") if o.category != "gate" and usable(o)]
         self.masks, self.gates = operators(output="mask"), operators("gate")
 

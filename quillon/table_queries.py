@@ -50,18 +50,18 @@ def _(f):
 
 @sql_query("ag3_field_frequency")
 def _(f):
-    return f"SELECT token, count(*) AS n, count(DISTINCT p_partkey) AS parts, sum(CASE WHEN p_size > 25 THEN 1.0E0 ELSE 0.0E0 END) AS large, round(count(*) * 1.0E0 / sum(count(*)) OVER (), 6) AS share FROM (SELECT p_partkey, p_size, {f('tokens', 'p_type')} AS token FROM part) q GROUP BY token"
+    return f"SELECT token, count(*) AS n, count(DISTINCT p_partkey) AS parts, sum(CASE WHEN p_size > 25 THEN 1.0E0 ELSE 0.0E0 END) AS large, round(count(*) * 1.0E0 / sum(count(*)) OVER (), 6) AS share FROM (SELECT p_partkey, p_size, {f('tokens', 'p_name')} AS token FROM part) q GROUP BY token"
 
 
 @sql_query("ag4_grouped_frequency")
 def _(f):
-    q = f"(SELECT p_partkey, p_brand, {f('tokens', 'p_type')} AS token FROM part) q"
+    q = f"(SELECT p_partkey, p_brand, {f('tokens', 'p_name')} AS token FROM part) q"
     return f"SELECT 'token' AS level0, token AS k, count(*) AS n FROM {q} GROUP BY token UNION ALL SELECT 'brand', p_brand, count(*) FROM {q} GROUP BY p_brand UNION ALL SELECT 'both', p_brand || '/' || token, count(*) FROM {q} GROUP BY p_brand || '/' || token"
 
 
 @sql_query("ag5_json_occurrences")
 def _(f):
-    return f"SELECT event_type, {f('json', 'props', 'page')} AS page, count(*) AS n FROM events GROUP BY event_type, {f('json', 'props', 'page')}"
+    return f"SELECT event_type, {f('json', 'props', 'k')} AS k, count(*) AS n FROM events GROUP BY event_type, {f('json', 'props', 'k')}"
 
 
 @sql_query("ag8_combo_statistics")
@@ -98,7 +98,7 @@ def _(f):
 
 @sql_query("jn13_cooccurrence")
 def _(f):
-    q = f"(SELECT DISTINCT p_partkey, token FROM (SELECT p_partkey, {f('tokens', 'p_type')} AS token FROM part) t)"
+    q = f"(SELECT DISTINCT p_partkey, token FROM (SELECT p_partkey, {f('tokens', 'p_name')} AS token FROM part) t)"
     return f"SELECT a.token AS a, b.token AS b, count(*) AS n FROM {q} a JOIN {q} b ON a.p_partkey = b.p_partkey GROUP BY a.token, b.token"
 
 
