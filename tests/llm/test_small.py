@@ -1,0 +1,171 @@
+"""Operators without Spark: hashing, suffix arrays, fitting, secrets, HTML."""
+
+import base64
+import json
+import re
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from quillon.llm import secrets
+from quillon.llm import text as T
+from quillon.llm.decontaminate import build_index, find_windows, item_words, presence
+from quillon.llm.html_text import cut_blocks, extract
+from quillon.llm.linear import Features, fit
+from quillon.llm.mixing import STEPS
+from quillon.llm.suffix import common_prefixes, suffix_array
+from quillon.llm.toxicity import TOXICITY, swaps
+
+LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def words(texts, table):
+    b, o = T.strings(pa.array(texts))
+    s, e, bounds = T.tokens(b, o, T.classes(table))
+    raw = bytes(b)
+    return [[raw[s[k] : e[k]].decode() for k in range(bounds[i], bounds[i + 1])] for i in range(len(texts))]
+
+
+TEXTS = ["", None, "  a  b\tc\n", "Über-straße 12x", "A" * 300, "ends", "starts", " x y", "日本 語", "a.b,c"]
+
+
+@pytest.mark.parametrize("table,pattern", [("alnum", r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), ("space", r"[^\x20\x09-\x0D]+")])
+def test_tokens_match_patterns(table, pattern):
+    for t, got in zip(TEXTS, words(TEXTS, table), strict=True):
+        assert [x.translate(LOW) for x in got] == re.findall(pattern, (t or "").translate(LOW))
+
+
+def test_hashes_fold_case_and_ignore_position():
+    b, o = T.strings(pa.array(["Word other", "x word"]))
+    s, e, _ = T.tokens(b, o, T.classes("alnum"))
+    h = T.hashes(b, s, e)
+    assert h[0] == h[3] and len(set(h.tolist())) == 3
+
+
+def test_blocks_cover_all_texts():
+    b, o = T.strings(pa.array(["a" * k for k in range(50)]))
+    got = [(i, j) for i, j, _, _ in T.blocks(b, o, 100, 7)]
+    assert got[0][0] == 0 and got[-1][1] == 50 and all(x[1] == y[0] and x[1] - x[0] <= 7 for x, y in zip(got, got[1:], strict=False))
+
+
+def test_planes_round_trip():
+    for kind in (np.uint8, np.uint32, np.int64, np.uint64):
+        a = np.arange(17).astype(kind)
+        assert (T.unplanes(T.planes(a), kind) == a).all()
+
+
+def test_suffix_arrays():
+    r = np.random.default_rng(1)
+    for trial in range(20):
+        t = r.integers(97, 97 + int(r.integers(1, 4)), int(r.integers(1, 300))).astype(np.uint8)
+        t = np.concatenate([t] * (1 + trial % 3))
+        sa, rank = suffix_array(t, 100)
+        c = common_prefixes(t, sa, rank, 100, strips=1 + trial)
+        b = t.tobytes()
+        assert sorted(sa) == list(range(len(b)))
+        for x, y, n in zip(sa[:-1], sa[1:], c[1:], strict=True):
+            assert b[x : x + 112] <= b[y : y + 112]
+            k = 0
+            while k < min(100, len(b) - max(x, y)) and b[x + k] == b[y + k]:
+                k += 1
+            assert k == n
+
+
+def test_classifier_separates_and_degenerates():
+    f = Features(bits=12, marks=True)
+    def row(t, y):
+        b, o = T.strings(pa.array([t]))
+        _, at, v = f.of(b, o)
+        return y, at, v, []
+    m = fit(f, [row(f"good words here {i}", 1) for i in range(30)] + [row(f"bad ### %%% {i}", 0) for i in range(30)], alpha=0.5, l1=0.0, l2=0.1, epochs=5)
+    p = m.scores(*T.strings(pa.array(["good words", "bad ###", "", None])))
+    assert p[0] > 0.5 > p[1] and p[2] == p[3]
+    assert 0 < fit(f, [], alpha=1, l1=0, l2=0, epochs=1).scores(*T.strings(pa.array(["x"])))[0] < 1
+
+
+def test_group_terms_carry_no_weight():
+    def row(t, y):
+        def vec(s):
+            b, o = T.strings(pa.array([s]))
+            return TOXICITY.of(b, o)[1:]
+        return y, *vec(t), [vec(s) for s in swaps(t)]
+    bad = [row(f"muslim people are idiot fools {i}", 1) for i in range(40)]
+    fine = [row(f"a calm day in town {i}", 0) for i in range(40)]
+    score = lambda w, t: fit(TOXICITY, bad + fine, alpha=0.3, l1=0.1, l2=0.1, epochs=6, swap_weight=w).scores(*T.strings(pa.array([t])))[0]
+    assert score(2.0, "muslim") < score(0.0, "muslim") and score(2.0, "you idiot fools") > 0.5
+    assert swaps("nothing here") == [] and all(s != "the women left" for s in swaps("the women left"))
+
+
+def der(tag, *parts):
+    body = b"".join(parts)
+    n = len(body)
+    size = bytes([n]) if n < 128 else (lambda x: bytes([0x80 | len(x)]) + x)(n.to_bytes((n.bit_length() + 7) // 8, "big"))
+    return bytes([tag]) + size + body
+
+
+RSA = der(0x30, *[der(2, b"\0" if k == 0 else b"\x11" * 20) for k in range(9)])
+
+
+def test_secret_structure():
+    b64 = lambda d: base64.urlsafe_b64encode(json.dumps(d).encode()).decode().rstrip("=")
+    jwt = f"{b64({'alg': 'HS256'})}.{b64({'sub': 'x'})}.{'s' * 43}"
+    pem = "-----BEGIN RSA PRIVATE KEY-----\n" + base64.encodebytes(RSA).decode() + "-----END RSA PRIVATE KEY-----"
+    bare, hexed = base64.b64encode(RSA).decode(), RSA.hex()
+    kinds = lambda t: {s.kind for s in secrets.find_secrets(t)}
+    assert "signed_token" in kinds(f"x {jwt} y") and "signed_token" not in kinds(f"{b64({'no': 1})}.{b64({})}.abc")
+    assert "key_block" in kinds(pem) and "base64_key" in kinds(f"k {bare} z") and "hex_key" in kinds(f"k {hexed} z")
+    assert not secrets.is_private_key(RSA[:-1]) and not secrets.is_private_key(b"\x30\x03abc")
+    assert secrets.find_secrets(None) == secrets.find_secrets("") == []
+
+
+def test_secret_base_spans_and_scan():
+    t = 'é password = "abcdefghijkl" AKIA' + "B" * 16 + " deadbeefdeadbeef token:short"
+    got = secrets.find_secrets(t)
+    assert [s.kind for s in got] == ["assign", "access", "hex"] and t[got[2].start : got[2].end] == "deadbeefdeadbeef"
+    assert secrets.scan_column(pa.array([t, None, ""])) == [got, [], []]
+    assert secrets.redact(t, [s._asdict() for s in got]).count("[SECRET]") == 3
+
+
+def test_windows_against_brute_force():
+    r = np.random.default_rng(0)
+    vocabulary = [f"w{k}" for k in range(6)]
+    pick = lambda n: " ".join(vocabulary[k] for k in r.integers(0, 6, n))
+    for window in (3, 5):
+        items, texts = [(i, pick(int(r.integers(0, 9)))) for i in range(6)], [pick(int(r.integers(0, 60))) for _ in range(20)]
+        ix = build_index(item_words(items), {}, window)
+        b, o = T.strings(pa.array(texts))
+        s, e, bounds = T.tokens(b, o, T.classes("alnum"))
+        got = set()
+        for first, length, item in find_windows(T.hashes(b, s, e), bounds, ix, presence(ix.keys)):
+            for f, n, i in zip(first, length, item, strict=True):
+                d = int(np.searchsorted(bounds, f, "right")) - 1
+                got |= {(d, int(f - bounds[d]) + k, int(i)) for k in range(n)}
+        want = set()
+        for d, t in enumerate(texts):
+            w = t.split()
+            for i, x in items:
+                x = x.split()
+                m = min(window, len(x))
+                for a in range(len(x) - m + 1 if m else 0):
+                    want |= {(d, k + j, i) for k in range(len(w) - m + 1) if w[k : k + m] == x[a : a + m] for j in range(m)}
+        assert got == want
+
+
+PAGE = """<html><head><title>T</title><style>x</style></head><body><nav><a href=1>Home</a></nav><div class="cookie-notice">We use cookies</div>
+<article><h1>Title &amp; more</h1><p>The first <b>paragraph</b> of the text<br>goes on.<p>Second.</article>
+<div id="comments"><p>nice post of the day</p></div><aside>side</aside><script>var a="</p>";</script><footer>&copy; x</footer></body></html>"""
+
+
+def test_html():
+    assert extract(PAGE) == "Title & more\n\nThe first paragraph of the text goes on.\n\nSecond."
+    assert extract(None) == extract("") == extract("<p></p>") == ""
+    body = "<p>" + "The point of this is that it was written for the people of the town. " * 4 + "</p>"
+    plain = f"<div><a href=1>Home</a> <a href=2>News</a></div>{body}<p>Short one.</p>{body}<form>name</form>"
+    got = extract(plain)
+    assert got.count("\n\n") == 2 and "Short one." in got and "Home" not in got and "name" not in got
+    assert extract("<p>" + "x " * 50_000 + "<") is not None and cut_blocks("a<b>c</b>d")[0].text == "acd"
+
+
+def test_steps_fit_three_hex_digits():
+    assert STEPS == 16**3

@@ -1,0 +1,293 @@
+"""Operators and queries on Spark, against brute force and on odd tables."""
+
+import collections
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from quillon.llm import decontaminate, html_text, jaccard, mixing, neighbours, quality, secrets, substrings, toxicity, urls
+from quillon.llm.common import components
+from quillon.llm.queries import ORACLE_SQL, QUERIES
+
+LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def corpus(n=60, seed=0):
+    """Texts with exact and near copies, shared passages, repeats, empty, null, short and long ones."""
+    r = random.Random(seed)
+    vocabulary = ["".join(r.choice("abcdeéß") for _ in range(r.randint(2, 8))) for _ in range(300)]
+    text = lambda k: " ".join(r.choice(vocabulary) for _ in range(k))
+    passage, out = text(60), []
+    for i in range(n):
+        t = text(r.randint(1, 150))
+        if i % 5 == 1 and out[-1]:
+            w = out[-1].split(" ")
+            w[r.randrange(len(w))] = "edited"
+            t = " ".join(w)
+        elif i % 7 == 2:
+            t = out[-1]
+        elif i % 6 == 3:
+            t = f"{t} {passage} {text(20)}"
+        elif i % 11 == 4:
+            t = "ab cd " * 80
+        out.append(t)
+    return [*out, "", None, "  \n", "One Two", "one two", text(4000)]
+
+
+def frame(spark, texts):
+    return spark.createDataFrame([(i, t, "en", f"s{i % 4}" if i % 9 else None, len(t or "")) for i, t in enumerate(texts)], DOCS).repartition(5)
+
+
+def odd_frames(spark):
+    """An empty table, nulls in every column, repeated rows, extra columns that clash with results."""
+    rows = [(1, "one two three four five six", "en", "a", 27), (1, "one two three four five six", "en", "a", 27), (None, None, None, None, None), (2, None, None, None, None), (3, "", "x", "b", 0), (None, "text without an id here", None, "a", 5)]
+    odd = spark.createDataFrame(rows, DOCS)
+    clash = odd
+    for c in ("score", "spans", "size", "component_id", "n_words", "n_hit", "items", "taken", "rep", "h"):
+        clash = clash.withColumn(c, F.lit("clash"))
+    return [spark.createDataFrame([], DOCS), odd, clash]
+
+
+def union_find(n, edges):
+    par = list(range(n))
+    def find(x):
+        while par[x] != x:
+            x = par[x]
+        return x
+    for a, b in edges:
+        a, b = find(a), find(b)
+        par[max(a, b)] = min(a, b)
+    return [find(x) for x in range(n)]
+
+
+def test_components(spark):
+    r = random.Random(3)
+    edges = [(r.randrange(60), r.randrange(60)) for _ in range(45)] + [(60 + k, 61 + k) for k in range(30)]
+    want = union_find(91, edges)
+    got = {x.node: x.component for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    touched = {x for a, b in edges if a != b for x in (a, b)}
+    assert got == {k: want[k] for k in touched}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def shingles(t):
+    w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOW))
+    return frozenset([tuple(w)] if 0 < len(w) < 5 else [tuple(w[i : i + 5]) for i in range(len(w) - 4)])
+
+
+def test_jaccard_against_brute_force(spark):
+    texts = corpus()
+    sets = [shingles(t) for t in texts]
+    edges = [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    want = union_find(len(texts), edges)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(frame(spark, texts)).collect()}
+    assert got == {i: (len(s), want[i]) for i, s in enumerate(sets)} and len(set(want)) < len(texts) - 10
+    kept = {r.doc_id for r in jaccard.keep_representatives(frame(spark, texts)).collect()}
+    assert kept == {i for i, c in enumerate(want) if i == c}
+
+
+def test_jaccard_edge_of_the_rule(spark):
+    """Overlap exactly at the threshold links, one less does not."""
+    w = [f"w{k}" for k in range(104)]
+    a = " ".join(w)
+    at = [" ".join(w[: 104 - k]) for k in (20, 21)]
+    n = [len(shingles(x)) for x in (a, *at)]
+    assert 100 * n[1] >= 80 * n[0] > 100 * n[2]
+    c = [r.component_id for r in jaccard.jaccard_components(frame(spark, [a, at[0]])).orderBy("doc_id").collect()]
+    d = [r.component_id for r in jaccard.jaccard_components(frame(spark, [a, at[1]])).orderBy("doc_id").collect()]
+    assert c == [0, 0] and d == [0, 1]
+
+
+@pytest.mark.parametrize("contexts", [256, 1])
+def test_repeats_against_brute_force(spark, contexts):
+    texts = corpus()
+    got = {r.doc_id: r for r in substrings.remove_repeats(frame(spark, texts), shard_contexts=contexts).collect()}
+    seen = set()
+    for i, t in enumerate(texts):
+        b = (t or "").encode()
+        cover = bytearray(len(b))
+        for k in range(len(b) - 99):
+            s = b[k : k + 100]
+            if s in seen:
+                cover[k : k + 100] = b"\1" * 100
+            seen.add(s)
+        kept = bytes(x for x, c in zip(b, cover, strict=True) if not c)
+        r = got[i]
+        assert (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept), r.kept_sha256) == (len(b), sum(cover), len(re.findall(b"\1+", bytes(cover))), kept, hashlib.sha256(kept).hexdigest())
+    assert sum(r.n_removed for r in got.values()) > 5000
+
+
+def test_decontamination_against_brute_force(spark):
+    texts = corpus()
+    items = [(0, " ".join(texts[3].split()[:30])), (1, "one two"), (2, None), (3, ""), (4, " ".join((texts[9] or "x").split()[-20:])), (None, "one two"), (10, "never seen words")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = frame(spark, texts)
+    got = {r.doc_id: r for r in decontaminate.mark_hits(docs, decontaminate.make_indexes(docs, bench), ["doc_id"], positions=True).collect()}
+    w = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOW))
+    for i, t in enumerate(texts):
+        d, hit, ids = w(t), set(), set()
+        for name, x in items:
+            x = w(x)
+            m = min(13, len(x))
+            for a in range(len(x) - m + 1 if m else 0):
+                for k in range(len(d) - m + 1):
+                    if d[k : k + m] == x[a : a + m]:
+                        hit |= set(range(k, k + m))
+                        ids |= {str(name)} if name is not None else set()
+        assert (got[i].n_words, got[i].n_hit, got[i]["items"], got[i].hit_words) == (len(d), len(hit), sorted(ids), sorted(hit))
+    empty = spark.createDataFrame([], "item_id long, text string")
+    assert decontaminate.mark_hits(docs, decontaminate.make_indexes(docs, empty), ["doc_id"]).where("n_hit > 0").isEmpty()
+
+
+def test_several_index_blocks_agree(spark, monkeypatch):
+    docs = frame(spark, corpus())
+    bench = spark.createDataFrame([(i, " ".join((t or "").split()[:15])) for i, t in enumerate(corpus()[:12])], "item_id long, text string")
+    one = decontaminate.mark_hits(docs, decontaminate.make_indexes(docs, bench), ["doc_id"]).orderBy("doc_id").collect()
+    monkeypatch.setattr(decontaminate, "INDEX_BYTES", 50)
+    several = decontaminate.make_indexes(docs, bench)
+    assert len(several) > 3 and decontaminate.mark_hits(docs, several, ["doc_id"]).orderBy("doc_id").collect() == one
+
+
+def test_neighbours_against_brute_force(spark):
+    r = np.random.default_rng(0)
+    x = r.normal(size=(120, 16)).astype(np.float32)
+    x[60:100] = x[:40] + r.normal(size=(40, 16)).astype(np.float32) * r.choice([0.02, 0.1, 0.3], 40)[:, None].astype(np.float32)
+    x[100:110] = x[5]
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)] + [(200, None, 1), (201, [0.0] * 16, 1), (202, [1.0, None] * 8, 1), (203, [float("nan")] * 16, 1), (204, [1.0, 2.0], 1), (None, x[0].tolist(), 1)]
+    got = {v.vec_id: v for v in neighbours.embedding_components(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    g = u @ u.T >= 0.95
+    want = union_find(120, [(int(i), int(j)) for i, j in np.argwhere(g)])
+    assert [got[i].component_id for i in range(120)] == want
+    assert [got[i].n_links for i in range(120)] == (g.sum(1) - 1).tolist()
+    assert all(got[i].kept == (want[i] == i) for i in range(120))
+    assert all(got[i].n_links == 0 and got[i].component_id == i and got[i].kept for i in (200, 201, 202, 203, 204))
+    assert neighbours.embedding_components(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+def fill(sizes, weights, most):
+    """Water-filling by repeated resharing."""
+    target, free, left = {}, set(sizes), float(sum(sizes.values()))
+    while free:
+        share = {s: left * weights[s] / sum(weights[x] for x in free) for s in free}
+        over = {s for s in free if share[s] > most * sizes[s]}
+        if not over:
+            return target | share
+        for s in over:
+            target[s] = float(most * sizes[s])
+            left -= target[s]
+        free -= over
+    return target
+
+
+def test_mixing(spark):
+    texts = ["w " * k for k in (5, 900, 30, 0, 70, 3, 44, 12, 8, 60)] * 6
+    docs = spark.createDataFrame([(i, t, "en", {0: "a", 1: "b", 2: None}.get(i % 5 % 3), 0) for i, t in enumerate(texts)], DOCS)
+    got = mixing.mix_sources(docs).collect()
+    source = {r.doc_id: r.source for r in docs.collect()}
+    sizes = collections.Counter()
+    for r in got:
+        sizes[source[r.doc_id]] += r.size
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    want = fill(dict(sizes), {s: 1 + k % 3 for k, s in enumerate(names)}, 3)
+    taken = collections.Counter()
+    for r in got:
+        taken[source[r.doc_id]] += r.taken
+        assert r.target == pytest.approx(want[source[r.doc_id]]) and 0 <= r.taken <= 3 * r.size and r.source_size == sizes[source[r.doc_id]]
+    assert all(abs(taken[s] - want[s]) <= 10 for s in names)
+    assert sorted(got) == sorted(mixing.mix_sources(docs.repartition(7)).collect())
+
+
+def test_urls(spark):
+    cases = {
+        "http://a.com/en/x": ("com/en/", "block"), "https://www.Example.com/en/77?q": ("example.com/en/7", "allow"), "http://x.example.net/de/81": ("example.net/de/8", "block"), "http://com/en/": ("com/en/", "block"),
+        "http://notexample.org/fr/1": (None, "allow"), "no scheme": (None, "allow"), None: (None, "allow"), "http://a.com/EN/x": (None, "allow"), "http://example.com?x=/en/": (None, "allow"), "http://shop.net/de/8": ("net/de/", "block"),
+    }
+    pages = spark.createDataFrame([(i, u, None) for i, u in enumerate(cases)], "page_id long, url string, html string")
+    got = {r.page_id: r for r in urls.filter_urls(pages, urls.RULES, []).collect()}
+    for i, (rule, verdict) in enumerate(cases.values()):
+        assert (got[i]["rule"], got[i].verdict) == (rule, verdict)
+    assert (got[1].host, got[1].path, got[5].host) == ("www.example.com", "/en/77", "")
+
+
+def test_mined_rules_against_brute_force(spark):
+    rows = [(f"http://s{k % 7}.xyz/{'spam' if k % 3 == 0 else 'ok'}/{k}?{'ref' if k % 2 else 'page'}=1", k % 3 == 0 and k % 2 == 1) for k in range(120)]
+    labelled = spark.createDataFrame(rows, "url string, bad boolean")
+    mined = urls.mine_rules(labelled, 0.05, 0.9)
+    host, path = urls.host_path(F.col("url"))
+    tokens = [set(r.t) for r in labelled.select(urls.tokens(host, path, F.col("url")).alias("t")).collect()]
+    assert mined
+    for items, confidence in mined:
+        hit = [b for t, (_, b) in zip(tokens, rows, strict=True) if set(items) <= t]
+        assert sum(hit) / len(hit) == pytest.approx(confidence) and sum(hit) >= 0.05 * len(rows)
+    pages = spark.createDataFrame([(i, u, None) for i, (u, _) in enumerate(rows)], "page_id long, url string, html string")
+    for r in urls.filter_urls(pages, [], mined).collect():
+        assert r.verdict == ("block" if any(set(i) <= tokens[r.page_id] for i, _ in mined) else "allow")
+    assert urls.mine_rules(spark.createDataFrame([], "url string, bad boolean")) == []
+
+
+def test_odd_tables(spark):
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1), (None, None, None), (3, None, 0)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, "one two three")], "item_id long, text string")
+    for docs in odd_frames(spark):
+        n = docs.count()
+        for model, score in ((quality.quality_model(docs, labels), quality.score_quality), (toxicity.toxicity_model(docs, labels), toxicity.score_toxicity)):
+            rows = score(docs, model, ["doc_id"]).collect()
+            assert len(rows) == n and all(0 <= r.score <= 1 for r in rows)
+        hits = decontaminate.mark_hits(docs, decontaminate.make_indexes(docs, bench), ["doc_id"]).collect()
+        assert len(hits) == n and sum(r.n_hit for r in hits) == (6 if n else 0)
+        assert secrets.scan_secrets(docs, ["doc_id"]).count() == n
+        assert secrets.redact_secrets(docs).columns == docs.columns and secrets.redact_secrets(docs).count() == n
+        cut = substrings.remove_repeats(docs).collect()
+        assert len(cut) == n and all(r.n_removed == 0 for r in cut)
+        c = jaccard.jaccard_components(docs).collect()
+        assert len(c) == n and all(r.component_id == r.doc_id for r in c)
+        assert jaccard.keep_representatives(docs).count() == n
+        mixed = mixing.mix_sources(docs).collect()
+        assert len(mixed) == n and all(r.taken is not None for r in mixed)
+    pages = spark.createDataFrame([(1, None, None), (None, "", ""), (2, "http://x.com/en/", "<p>the text of it</p>"), (2, "http://x.com/en/", "<p>the text of it</p>")], "page_id long, url string, html string")
+    for p in (pages, pages.limit(0), pages.withColumns({"text": F.lit(1), "host": F.lit(2), "rule": F.lit(3)})):
+        assert html_text.extract_pages(p, ["page_id", "url"]).count() == p.count() == urls.filter_urls(p, urls.RULES, [(["h:x"], 0.9)]).count()
+
+
+def test_held_out_accuracy(spark):
+    for name, label, least in (("op1_quality_classifier", "quality", 0.93), ("op4_toxicity", "toxic", 0.93)):
+        sf = "/root/testdata/sf0.1"
+        got = QUERIES[name](spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id")
+        r = got.agg(F.avg((F.col("predicted") == F.col(label)).cast("double")).alias("a"), F.corr("score", F.col(label).cast("double")).alias("c")).first()
+        assert r.a >= least and r.c > 0.7
+
+
+def test_pipeline_stages_against_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    names = [n for n, _ in corpus_pipeline.STAGES]
+    assert names == ["quality_classifier", "ngram_jaccard_join", "benchmark_decontamination", "secret_scans", "mixing"]
+    after = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before, after = after, stage(spark, after, sf).cache()
+        assert after.columns == docs.columns
+        kept = {r.doc_id: r.text for r in after.collect()}
+        was = {r.doc_id: r.text for r in before.collect()}
+        assert set(kept) <= set(was)
+        if name == "ngram_jaccard_join":
+            ids = sorted(was)
+            sets = [shingles(was[i]) for i in ids]
+            c = union_find(len(ids), [(a, b) for a in range(len(ids)) for b in range(a) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])])
+            assert set(kept) == {ids[k] for k in range(len(ids)) if c[k] == k}
+        elif name == "secret_scans":
+            assert set(kept) == set(was) and all(kept[i] == secrets.redact(was[i], [s._asdict() for s in secrets.find_secrets(was[i])]) for i in was)
+        elif name == "quality_classifier":
+            good = {r.doc_id for r in spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1").collect()}
+            assert len(good & set(kept)) >= 0.95 * len(good & set(was))
+    assert corpus_pipeline.STAGES[-1][1](spark, after, sf).count() == after.count()
+
+
+def test_sql_names():
+    assert set(ORACLE_SQL) <= set(QUERIES) and sorted(int(re.match(r"op(\d+)_", k)[1]) for k in QUERIES) == list(range(1, 11))
