@@ -5,7 +5,7 @@ import pytest
 from quillon.plans import rules as ru
 from quillon.plans.templates import MODE_FIELDS, MODES, StructuredGene, Tree, check_behaviour
 
-NAMES = ["net_profit", "operating_profit", "revenue_ttm", "total_assets", "fixed_assets", "market_cap", "enterprise_value", "roe", "profit_growth", "earnings_yield", "rating_score", "ret_5d"]
+NAMES = ["net_profit", "gross_profit", "operating_profit", "revenue_ttm", "total_assets", "fixed_assets", "market_cap", "enterprise_value", "roe", "profit_growth", "earnings_yield", "rating_score", "ret_5d"]
 RULES = ru.infer_rules(NAMES)
 
 
