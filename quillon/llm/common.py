@@ -60,9 +60,11 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if not seen[0]:
             break
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # Minima are written before they are joined: the join then has exchanges of its own, of which a hub's part can be split.
+        low = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
         large = both.where("v > u").join(low, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("b").agg(F.min("a").alias("m"))
+        large = materialise(large, "large")
+        low = materialise(large.groupBy("b").agg(F.min("a").alias("m")), "low")
         joined = large.join(low, "b")
         small = joined.select(F.col("m").alias("x"), F.col("a").alias("y")).unionByName(joined.select(F.col("m").alias("x"), F.col("b").alias("y")))
         e = materialise(small.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
