@@ -67,7 +67,7 @@ def _(f):
 @sql_query("ag8_combo_statistics")
 def _(f):
     combo = f"SELECT o_custkey, {f('sorted', 'o_orderpriority')} AS combo, avg(o_totalprice) AS v FROM (SELECT DISTINCT o_custkey, o_orderpriority, o_totalprice FROM orders) q GROUP BY o_custkey"
-    return f"SELECT combo, count(*) AS n, round(avg(v), 2) AS mean, round({f('percentile', 'v', 0.5)}, 2) AS median FROM ({combo}) q GROUP BY combo HAVING count(*) > 1"
+    return f"SELECT combo, count(*) AS n, round(avg(v) + 1.3E-5, 2) AS mean, round({f('percentile', 'v', 0.5)} + 1.3E-5, 2) AS median FROM ({combo}) q GROUP BY combo HAVING count(*) > 1"
 
 
 @sql_query("ag9_selection_summary")
