@@ -50,7 +50,7 @@ def swaps(text: str, copies: int = 2) -> list[str]:
 def toxicity_model(docs: DataFrame, labels: DataFrame, keep=None, rows: int = TRAIN_ROWS, swap_weight: float = 1.0) -> Model:
     """Fit ``labels.toxic`` on at most ``rows`` labelled texts for which the Column ``keep`` (over labels) holds."""
     got = vectors(sample(docs, labels, "toxic", F.lit(True) if keep is None else keep, rows), TOXICITY, swaps)
-    return fit(TOXICITY, got, alpha=0.3, l1=0.8, l2=0.05, epochs=5, swap_weight=swap_weight)
+    return fit(TOXICITY, got, alpha=0.3, l1=1.5, l2=0.1, epochs=4, swap_weight=swap_weight)
 
 
 def score_toxicity(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
