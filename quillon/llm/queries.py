@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import decontaminate, html_text, jaccard, mixing, neighbours, quality, secrets, substrings, toxicity, urls
+from quillon.llm import decontaminate, html_text, jaccard, mixing, neighbours, oracles, quality, secrets, substrings, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,4 +85,10 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_classifier, op2_benchmark_decontamination, op3_secret_scans, op4_toxicity, op5_suffix_array_dedup, op6_url_filters, op7_embedding_near_dedup, op8_ngram_jaccard_join, op9_mixing, op10_html_extraction)}
-ORACLE_SQL: dict[str, str] = {"op9_mixing": mixing.OP9_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op2_benchmark_decontamination": oracles.OP2_SQL,
+    "op5_suffix_array_dedup": oracles.OP5_SQL,
+    "op7_embedding_near_dedup": oracles.OP7_SQL,
+    "op8_ngram_jaccard_join": oracles.OP8_SQL,
+    "op9_mixing": mixing.OP9_SQL,
+}

@@ -291,3 +291,23 @@ def test_pipeline_stages_against_brute_force(spark):
 
 def test_sql_names():
     assert set(ORACLE_SQL) <= set(QUERIES) and sorted(int(re.match(r"op(\d+)_", k)[1]) for k in QUERIES) == list(range(1, 11))
+
+
+def test_sql_agrees_on_odd_rows(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    texts = corpus(40, seed=9)
+    frame(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    items = [(1, texts[3]), (2, "One Two"), (3, ""), (4, None), (5, " ".join(texts[0].split()[:14]))]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    r = np.random.default_rng(4)
+    v = r.normal(size=(30, 8)).astype("float32")
+    v[10:20] = v[:10] + r.normal(size=(10, 8)).astype("float32") * 0.05
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(30, None), (31, [0.0] * 8), (32, [float("nan")] * 8), (33, v[0].tolist())]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    with duckdb.connect() as con:
+        for t in ("documents", "benchmark", "embeddings"):
+            con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+        for k in ORACLE_SQL:
+            got = QUERIES[k](spark, str(tmp_path))
+            want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({ORACLE_SQL[k]})").fetchall()
+            assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr), k
