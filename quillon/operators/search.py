@@ -6,12 +6,9 @@ import random
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import functions as F
-
 from quillon.functions.registry import operators
-from quillon.operators import metrics as mt
-from quillon.operators import selection
-from quillon.plans.layers import DATE, SparkPanel
+from quillon.operators.evolve import Kind, Sizes, evolve
+from quillon.plans.layers import SparkPanel
 from quillon.plans.program import Node, Program, call, check, compile_program, const
 from quillon.plans.program import field as leaf
 
@@ -99,42 +96,13 @@ class Generator:
         return self.mutate(child) if self.rng.random() < self.config.mutation else child
 
 
-def score(panel: SparkPanel, programs: Sequence[Program], label: str = "label", least: int = 3) -> list[Found]:
-    """Rank IC, its ratio and coverage of a batch of programs: all as columns of one plan, one row per date, one row back."""
-    p = SparkPanel(panel.base)
-    cols = []
-    for g in programs:
-        x = compile_program(p, g)
-        ranks = [mt.cs.average_rank(p, c) for c in mt.joint(p, *mt.masked(p, x, label))]
-        cols.append((x, *ranks))
-    names = list(dict.fromkeys(c for t in cols for c in t))
-    daily = p.frame(names).groupBy(DATE).agg(*[e for i, (x, a, b) in enumerate(cols) for e in (F.expr(mt.correlation(a, b, least)).alias(f"ic{i}"), F.expr(f"count({x}) / nullif(count(CASE WHEN tradeable THEN 1 END), 0)").alias(f"cov{i}"))])
-    row = daily.agg(*[e for i in range(len(cols)) for e in (F.avg(f"ic{i}").alias(f"m{i}"), F.stddev_samp(f"ic{i}").alias(f"s{i}"), F.avg(f"cov{i}").alias(f"c{i}"))]).first()
-    out = []
-    for i, g in enumerate(programs):
-        m, s, c = (row[f"{k}{i}"] or 0.0 for k in "msc")
-        out.append(Found(g.to_json(), str(g), m, abs(m) / s if s > 1e-12 else 0.0, c))
-    return out
-
-
-def search(panel: SparkPanel, fields: Sequence[str], config: SearchConfig = SearchConfig(), label: str = "label") -> list[Found]:
-    """Generations of scored programs; each key is scored once, programs under the coverage floor never survive."""
-    g = Generator(fields, config)
-    known: dict[tuple, tuple[Program, Found]] = {}
-
-    def evaluate(programs: Sequence[Program]) -> None:
-        new = list({p.key: p for p in programs if p.key not in known}.values())
-        for i in range(0, len(new), config.batch):
-            part = new[i : i + config.batch]
-            known.update({p.key: (p, f) for p, f in zip(part, score(panel, part, label), strict=True)})
-
-    alive = [g.random() for _ in range(config.population)]
-    evaluate(alive)
-    for _ in range(config.generations):
-        children = [g.offspring(alive) for _ in range(config.population)]
-        evaluate(children)
-        pool = list({p.key: p for p in [*alive, *children]}.values())
-        goals = [(f.ir, abs(f.ic)) if (f := known[p.key][1]).coverage >= config.min_coverage else (float("nan"),) * 2 for p in pool]
-        alive = [pool[i] for i in selection.elites(goals, config.population, [p.root.cost for p in pool])]
-    goals = [(known[p.key][1].ir, abs(known[p.key][1].ic)) for p in alive]
-    return [Found(**{**known[alive[r.index].key][1].__dict__, "front": r.front}) for r in selection.rank(goals)]
+def program_kind(g: Generator) -> Kind:
+    """Programs as candidates of a search; of equals the cheaper stays."""
+    return Kind(g.random, g.offspring, compile_program, lambda p: p.key, lambda p: p.root.cost)
+
+
+def search(panel: SparkPanel, fields: Sequence[str], config: SearchConfig = SearchConfig(), label: str = "label", where: str = "TRUE") -> list[Found]:
+    """Generations of scored programs over the dates ``where`` keeps, best front first."""
+    sizes = Sizes(config.population, config.generations, config.batch, config.min_coverage)
+    found = evolve(panel, program_kind(Generator(fields, config)), sizes, label, where)
+    return [Found(e.candidate.to_json(), str(e.candidate), e.score.ic, e.score.ir, e.score.coverage, e.front) for e in found]

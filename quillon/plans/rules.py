@@ -245,6 +245,27 @@ class Sampler:
         assert not check_behaviour(g)
         return g
 
+    def mutate_behaviour(self, g: BehaviourGene, trees: bool = False) -> BehaviourGene:
+        """One slot, the combiner or the conditions drawn anew; the gene itself where no other is legal."""
+
+        def make() -> BehaviourGene:
+            new, part = self.behaviour(g.mode, trees), self.rng.choice(["slot", "slot", "combiner", "conditions"])
+            if part == "slot":
+                name = self.rng.choice(list(new.slots))
+                return replace(g, slots={**g.slots, name: new.slots[name]})
+            return replace(g, **{part: getattr(new, part)})
+
+        return self._first(make, lambda x: x.key != g.key and not check_behaviour(x), g)
+
+    def cross_behaviour(self, a: BehaviourGene, b: BehaviourGene) -> BehaviourGene:
+        """Slots, combiner and conditions of two genes of one mode mixed; the first where they can't be."""
+        if a.mode != b.mode:
+            return a
+        pick = lambda x, y: self.rng.choice([x, y])
+        slots = {k: pick(a.slots.get(k), b.slots.get(k)) for k in dict.fromkeys([*a.slots, *b.slots])}
+        g = BehaviourGene(a.mode, pick(a.combiner, b.combiner), {k: s for k, s in slots.items() if s}, pick(a.conditions, b.conditions), a.fixed)
+        return a if check_behaviour(g) else g
+
 
 # Parts of names that tell a field's meaning, first match wins.
 NAME_HINTS = (

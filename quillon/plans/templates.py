@@ -183,6 +183,17 @@ class BehaviourGene:
     conditions: tuple[Condition, ...] = ()
     fixed: bool = True
 
+    @property
+    def key(self) -> tuple:
+        """Equal for genes of one meaning: slots and conditions may come in any order."""
+        slots = sorted((k, s.source.key if isinstance(s.source, Tree) else (s.source, s.transform, s.direction)) for k, s in self.slots.items())
+        return self.mode, self.combiner, repr(slots), repr(sorted(map(repr, self.conditions))), self.fixed
+
+    def __str__(self) -> str:
+        v = ", ".join(f"{k}={s.source if isinstance(s.source, Tree) else f'{s.transform}({s.source})'}" for k, s in self.slots.items())
+        held = " and ".join(f"{c.kind}({c.field}, {c.threshold})" for c in self.conditions)
+        return f"{self.mode}.{self.combiner}({v})" + (f" where {held}" if held else "")
+
 
 @dataclass(frozen=True)
 class Mode:

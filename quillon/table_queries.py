@@ -219,8 +219,40 @@ def se12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(f.expression, f.program, f.ic, f.ir, f.coverage, f.front) for f in found], "expression string, program_json string, rank_ic double, rank_ir double, coverage double, front int")
 
 
+def _gene_search(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A short seeded search on dates before 1997, then the same genes on later dates in the direction found."""
+    from quillon.operators import evolve as ev
+    from quillon.plans.rules import FieldRule, Sampler
+
+    sampler = Sampler({
+        "price": FieldRule("currency", "market_value", "valuation", "pv_momentum", log=True, pct=True),
+        "amount": FieldRule("currency", "revenue", "profitability", "pv_volume", log=True, diff=True),
+        "volume": FieldRule("turnover", family="liquidity", kind="pv_volume"),
+        "discount": FieldRule(family="quality", kind="pv_crowding", direction=-1),
+        "tax": FieldRule(family="leverage", kind="pv_crowding"),
+    })
+    kind = ev.structured_kind(sampler) if name == "structured" else ev.behaviour_kind(sampler, name == "tree")
+    p, cut = weekly_panel(spark, sf_dir), "TIMESTAMP '1997-01-01'"
+    found = ev.evolve(p, kind, ev.Sizes(6, 1, size_weight=0.001 if name == "tree" else 0.0), where=f"{DATE} < {cut}")
+    later = {kind.key(e.candidate): (e.score, ok) for e, ok in ev.validate(p, kind, found, where=f"{DATE} >= {cut}")}
+    rows = [(str(e.candidate), e.score.ic, e.score.ir, e.score.coverage, e.score.direction, e.front, later[kind.key(e.candidate)][0].ic, later[kind.key(e.candidate)][1]) for e in found]
+    return spark.createDataFrame(rows, "expression string, rank_ic double, rank_ir double, coverage double, direction int, front int, later_ic double, passed boolean")
+
+
+def se12_structured_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _gene_search(spark, sf_dir, "structured")
+
+
+def se12_behaviour_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _gene_search(spark, sf_dir, "behaviour")
+
+
+def se12_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _gene_search(spark, sf_dir, "tree")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: _on_spark(f) for k, f in SQL.items()} | {f.__name__: f for f in (rg3_many_controls, rg5_dynamic_styles, se4_selection, se12_search, se16_lasso)}
+    return {k: _on_spark(f) for k, f in SQL.items()} | {f.__name__: f for f in (rg3_many_controls, rg5_dynamic_styles, se4_selection, se12_search, se12_structured_search, se12_behaviour_search, se12_tree_search, se16_lasso)}
 
 
 def oracle_sql() -> dict[str, str]:
