@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -18,7 +19,8 @@ class Rank:
 
 def clean(objectives: Sequence[Sequence[float]]) -> np.ndarray:
     """Objectives as a matrix; what isn't finite is worst."""
-    m = np.array(objectives, float).reshape(len(objectives), -1)
+    m = np.array(objectives, float)
+    m = m.reshape(len(m), -1) if len(m) else m.reshape(0, 1)
     return np.where(np.isfinite(m), m, -np.inf)
 
 
@@ -28,22 +30,40 @@ def dominates(a: Sequence[float], b: Sequence[float]) -> bool:
 
 
 def fronts(objectives: Sequence[Sequence[float]]) -> list[list[int]]:
-    """Indices by front: each front is what nothing left dominates."""
+    """Indices by front: each front is what nothing left dominates.
+
+    Candidates are placed best first, so that only those placed before can dominate one. If none of a front does, none of
+    a later front does, and its front is found by bisection; with two objectives a front's largest second one tells. No
+    matrix of pairs is held.
+    """
     m = clean(objectives)
-    if not len(m):
-        return []
-    beats = (m[:, None, :] >= m[None, :, :]).all(2) & (m[:, None, :] > m[None, :, :]).any(2)
-    left, out = np.arange(len(m)), []
-    while len(left):
-        top = left[~beats[np.ix_(left, left)].any(0)]
-        out.append(top.tolist())
-        left = np.setdiff1d(left, top)
-    return out
+    out: list[list[int]] = []
+    tops: list[float] = []  # of each front, less its largest last objective
+    last: list[float] | None = None
+    k = 0
+    order = np.lexsort(-m.T[::-1]) if len(m) else np.zeros(0, int)
+    for i, x in zip(order.tolist(), m[order].tolist(), strict=True):
+        if x != last:
+            if len(x) <= 2:
+                k = bisect.bisect_right(tops, -x[-1])
+            else:
+                k = bisect.bisect_left(out, True, key=lambda front: not (m[front] >= m[i]).all(1).any())
+            last = x
+        if k == len(out):
+            out.append([])
+            tops.append(-x[-1])
+        tops[k] = min(tops[k], -x[-1])
+        out[k].append(i)
+    return [sorted(front) for front in out]
 
 
 def crowding(objectives: Sequence[Sequence[float]], front: Sequence[int]) -> dict[int, float]:
     """Summed relative distance between each member's neighbours in every objective; ends are infinite."""
-    m = clean(objectives)[list(front)]
+    return _crowding(clean(objectives), front)
+
+
+def _crowding(objectives: np.ndarray, front: Sequence[int]) -> dict[int, float]:
+    m = objectives[list(front)]
     d = np.zeros(len(front))
     for k in range(m.shape[1]):
         order = np.argsort(m[:, k], kind="stable")
@@ -56,9 +76,9 @@ def crowding(objectives: Sequence[Sequence[float]], front: Sequence[int]) -> dic
 
 def rank(objectives: Sequence[Sequence[float]]) -> list[Rank]:
     """All candidates by front, then the less crowded first."""
-    out = []
-    for f, members in enumerate(fronts(objectives)):
-        c = crowding(objectives, members)
+    m, out = clean(objectives), []
+    for f, members in enumerate(fronts(m)):
+        c = _crowding(m, members)
         out += [Rank(i, f, c[i]) for i in sorted(members, key=lambda i: (-c[i], i))]
     return out
 

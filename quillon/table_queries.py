@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -197,11 +199,13 @@ def rg5_dynamic_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def se4_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fronts and crowding of candidates, ranked."""
+    """Fronts and crowding of all candidates, ranked. Only ids and objectives (24 bytes a candidate) are brought to the driver."""
     _views(spark, sf_dir)
-    rows = spark.sql(_OBJECTIVES + " ORDER BY id LIMIT 500").collect()
-    ranks = selection.rank([(r.f1, r.f2) for r in rows])
-    return spark.createDataFrame([(rows[k.index].id, k.front, float(min(k.crowding, 1e9))) for k in ranks], "id long, front int, crowding double")
+    rows = spark.sql(f"SELECT CAST(id AS BIGINT) AS id, CAST(f1 AS DOUBLE) AS f1, f2 FROM ({_OBJECTIVES}) o ORDER BY id").toArrow()
+    ids = rows.column("id").to_numpy()
+    ranks = selection.rank(np.column_stack([rows.column("f1").to_numpy(), rows.column("f2").to_numpy()]))
+    out = {"id": ids[[k.index for k in ranks]], "front": pa.array([k.front for k in ranks], pa.int32()), "crowding": [min(k.crowding, 1e9) for k in ranks]}
+    return spark.createDataFrame(pa.table(out, pa.schema([("id", pa.int64()), ("front", pa.int32()), ("crowding", pa.float64())])))
 
 
 def se16_lasso(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import random
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 from quillon import queries as q
@@ -60,6 +61,48 @@ def test_fronts_and_elites():
     assert first == {i for i, a in enumerate(pts) if not any(selection.dominates(b, a) for b in pts)}
 
 
+def peeled(points):
+    """Front of each point, by all pairs."""
+    m = np.array(points, float)
+    beats = (m[:, None] >= m[None]).all(2) & (m[:, None] > m[None]).any(2)
+    front, left = np.full(len(m), -1), np.arange(len(m))
+    for k in range(len(m)):
+        top = left[~beats[np.ix_(left, left)].any(0)]
+        front[top] = k
+        left = np.setdiff1d(left, top)
+    return front.tolist()
+
+
+@pytest.mark.parametrize("width", [1, 2, 3])
+def test_fronts_against_all_pairs(width):
+    rng = np.random.default_rng(width)
+    for n, values in ((1, 9), (80, 4), (80, 1000), (300, 12)):
+        points = rng.integers(0, values, (n, width)).astype(float)
+        points[rng.random((n, width)) < 0.05] = -np.inf
+        got = selection.fronts(points)
+        assert sorted(i for f in got for i in f) == list(range(n)) and all(f == sorted(f) for f in got)
+        want = peeled(points)
+        assert all(want[i] == k for k, f in enumerate(got) for i in f)
+    assert selection.fronts([]) == []
+
+
+def test_selection_ranks_every_candidate(spark, tmp_path):
+    r = random.Random(1)
+    rows = [(c, round(r.uniform(1, 100), 2)) for c in range(1, 701) for _ in range(r.randint(1, 9))]
+    spark.createDataFrame(rows, "o_custkey long, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    for t in ("region", "nation", "customer", "supplier", "part", "lineitem", "events"):
+        (tmp_path / f"{t}.parquet").symlink_to(f"{SF}/{t}.parquet")
+    points = [(x.f1, x.f2) for x in spark.read.parquet(f"{tmp_path}/orders.parquet").groupBy("o_custkey").agg(F.round(F.avg("o_totalprice"), 2).alias("f1"), F.count("*").alias("f2")).orderBy("o_custkey").collect()]
+    got = tq.se4_selection(spark, str(tmp_path)).collect()
+    front = {x.id: x.front for x in got}
+    assert len(got) == 700 and [front[c] for c in range(1, 701)] == peeled(points)
+    for k in set(front.values()):
+        members = [c for c in range(1, 701) if front[c] == k]
+        want = selection.crowding(points, [c - 1 for c in members])
+        assert {x.id: x.crowding for x in got if x.front == k} == {c: pytest.approx(min(want[c - 1], 1e9)) for c in members}
+    assert [(x.front, -x.crowding) for x in got] == sorted((x.front, -x.crowding) for x in got)
+
+
 def test_behaviour_rules():
     ok = tp.BehaviourGene("panic_reversal", "panic_reversal", {s: tp.Slot("price") for s in ("fund_anchor", "drawdown", "sell_pressure")})
     assert not tp.check_behaviour(ok)
