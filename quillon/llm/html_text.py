@@ -1,8 +1,9 @@
 """Operator 10: HTML extraction by two-pass block rules.
 
 The page is cut into blocks at block-level tags. Pass one decides each block by where it stands (navigation, forms,
-scripts, comments and the like never count; blocks of an article do unless they are mostly links), then by link density,
-length and stop-word density. Pass two lets short, undecided blocks inherit from the nearest decided neighbours.
+scripts, comments and the like never count), then by link density, length and stop-word density. Pass two lets short,
+undecided blocks inherit from the nearest decided neighbours. Standing in an article is one more signal in both: it
+leaves a block undecided that only its few stop words are against, and the article's ends are good neighbours.
 """
 
 from __future__ import annotations
@@ -154,19 +155,17 @@ def cut_blocks(page: str) -> list[Block]:
     return r.blocks
 
 
+def in_article(b: Block) -> bool:
+    return b.inside and not b.outside
+
+
 def classify(blocks: list[Block]) -> None:
     """Pass one: decide by place, link density, length and stop-word density; short or middling blocks stay undecided.
 
-    Where a page marks its article, only what is in it can be content, and all of it is but blocks of links.
+    In an article, so do those that only their few stop words are against, and linked headings.
     """
-    marked = any(b.inside and not b.outside for b in blocks)
     for b in blocks:
-        links = b.links / len(b.text)
-        if b.outside or marked and not b.inside:
-            b.verdict = "bad"
-        elif marked:
-            b.verdict = "good" if links <= 0.8 or b.heading else "bad"
-        elif links > MAX_LINK_DENSITY:
+        if b.outside or b.links / len(b.text) > MAX_LINK_DENSITY and not (b.heading and b.inside):
             b.verdict = "bad"
         elif len(b.text) < SHORT_CHARS or b.heading:
             b.verdict = "short"
@@ -176,24 +175,39 @@ def classify(blocks: list[Block]) -> None:
             if stops >= STOP_HIGH or stops >= STOP_LOW and len(b.text) > LONG_CHARS:
                 b.verdict = "good"
             else:
-                b.verdict = "short" if stops >= STOP_LOW else "bad" if len(b.text) < LONG_CHARS else "short"
+                b.verdict = "short" if stops >= STOP_LOW or len(b.text) >= LONG_CHARS or b.inside else "bad"
 
 
-def inherit(blocks: list[Block]) -> None:
-    """Pass two: an undecided block follows its nearest decided neighbours; between unlike ones, a heading follows the next, other blocks the nearer, good winning ties."""
+def _neighbours(blocks: list[Block]) -> list[tuple[Block, list[tuple[int, str]], list[tuple[int, str]]]]:
+    """Each undecided block with (distance, verdict) of the decided one before and of the one after, as far as there is one."""
     decided = [i for i, b in enumerate(blocks) if b.verdict != "short"]
-    before, nxt, k = -1, 0, 0
+    out, k = [], 0
     for i, b in enumerate(blocks):
         if b.verdict != "short":
             continue
         while k < len(decided) and decided[k] < i:
-            before = decided[k]
             k += 1
-        nxt = decided[k] if k < len(decided) else -1
-        near = [(i - before, blocks[before].verdict)] * (before >= 0) + [(nxt - i, blocks[nxt].verdict)] * (nxt >= 0)
-        if b.heading and nxt >= 0:
-            near = near[-1:]
-        b.verdict = "bad+" if not near else ("good+" if min(near, key=lambda x: (x[0], x[1] != "good"))[1] == "good" else "bad+")
+        out.append((b, [(i - j, blocks[j].verdict) for j in decided[max(0, k - 1) : k]], [(j - i, blocks[j].verdict) for j in decided[k : k + 1]]))
+    return out
+
+
+def inherit(blocks: list[Block]) -> None:
+    """Pass two: an undecided block follows its nearest decided neighbours; between unlike ones, a heading follows the next, other blocks the nearer, good winning ties.
+
+    Blocks in and around articles follow those of their own side. In an article one good neighbour is enough, except for
+    headings before bad blocks, and its ends count as good ones, unless all of it is undecided and less than the text
+    that is good around it (a teaser).
+    """
+    article, around = [b for b in blocks if in_article(b)], [b for b in blocks if not in_article(b)]
+    for b, before, after in _neighbours(around):
+        near = after if b.heading and after else before + after
+        b.verdict = "good+" if near and min(near, key=lambda x: (x[0], x[1] != "good"))[1] == "good" else "bad+"
+    found = sum(len(b.text) for b in around if b.verdict.startswith("good"))
+    teaser = all(b.verdict != "good" for b in article) and sum(len(b.text) for b in article if b.verdict == "short") < found
+    end = [(1, "bad" if teaser else "good")]
+    for b, before, after in _neighbours(article):
+        near = after if b.heading and before and after else (before or end) + (after or end)
+        b.verdict = "good+" if any(v == "good" for _, v in near) else "bad+"
 
 
 def extract(page: str | None) -> str:

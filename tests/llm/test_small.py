@@ -167,5 +167,20 @@ def test_html():
     assert extract("<p>" + "x " * 50_000 + "<") is not None and cut_blocks("a<b>c</b>d")[0].text == "acd"
 
 
+def test_html_articles_are_one_signal():
+    text = "The point of this is that it was written for the people of the town. " * 4
+    teaser = '<article><h3>Next story</h3><p>Read on</p></article>'
+    body = f"<div><p>{text}</p><p>Short one.</p><p>{text}</p></div>"
+    want = "\n\n".join([text.strip(), "Short one.", text.strip()])
+    assert extract(body + teaser) == extract(teaser + body) == want
+    links = '<p>Tags: <a href=1>wood</a> <a href=2>iron</a></p>'
+    assert extract(f"<article><h1><a href=0>Title</a></h1><p>{text}</p>{links}<p>Share it</p>{links}</article>") == "Title\n\n" + text.strip()
+    assert extract(f"<article><h1>Title</h1>{links}<p>Short one.</p></article>") == "Title\n\nShort one."
+    cells = "alpha | beta | gamma | delta | epsilon | zeta | eta | theta | iota | kappa | lambda | mu"
+    assert extract(f"<article><p>{text}</p><p>{cells}</p><p>{text}</p></article>").count(cells) == 1
+    assert cells not in extract(f"<p>{text}</p><p>{cells}</p><p>{text}</p>")
+    assert extract(f"<article><h2>Part</h2><p>{text}</p><h2>Related</h2>{links}</article>") == "Part\n\n" + text.strip()
+
+
 def test_steps_fit_three_hex_digits():
     assert STEPS == 16**3
