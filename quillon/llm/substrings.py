@@ -115,6 +115,8 @@ def scan(docs: DataFrame, ranges: int) -> DataFrame:
                     got[k].append(x)
             h, c, doc, pos, left, right = (np.concatenate([np.zeros(0, t), *got[k]]).astype(t) for k, t in _PACKED)
             order = np.lexsort((pos, doc, c, h))
+            # A repeated row of one id is the same occurrence and counts once.
+            order = order[np.append(True, np.any([x[order][1:] != x[order][:-1] for x in (h, c, doc, pos)], 0))] if len(order) else order
             h, c, doc, pos, left, right = (x[order] for x in (h, c, doc, pos, left, right))
             again = np.append(False, (h[1:] == h[:-1]) & (c[1:] == c[:-1])) if len(h) else np.zeros(0, bool)
             mine = merged(doc[again], pos[again].astype(np.int64) - left[again], pos[again].astype(np.int64) + right[again])

@@ -123,6 +123,17 @@ def test_repeats_against_brute_force(spark, contexts):
     assert sum(r.n_removed for r in got.values()) > 5000
 
 
+@pytest.mark.parametrize("partitions", [1, 4])
+def test_repeated_rows_cover_nothing_of_themselves(spark, partitions):
+    r = random.Random(5)
+    text = lambda: " ".join(f"w{r.randrange(10**6)}" for _ in range(40))
+    a, b = text(), text()
+    rows = [(1, a), (1, a), (1, a), (2, a), (2, a), (3, b), (3, b), (4, a[:150] + b[:150])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(partitions, F.rand(1)) if partitions > 1 else spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = sorted((x.doc_id, x.n_bytes - x.n_removed) for x in substrings.remove_repeats(docs).collect())
+    assert got == [(1, len(a))] * 3 + [(2, 0)] * 2 + [(3, len(b))] * 2 + [(4, 0)]
+
+
 def test_decontamination_against_brute_force(spark):
     texts = corpus()
     items = [(0, " ".join(texts[3].split()[:30])), (1, "one two"), (2, None), (3, ""), (4, " ".join((texts[9] or "x").split()[-20:])), (None, "one two"), (10, "never seen words")]
