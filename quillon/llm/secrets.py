@@ -2,7 +2,8 @@
 
 Patterns propose candidates. Besides the three base kinds, a candidate is only reported if it proves to be built like a
 secret: signed tokens must have a JSON header naming an algorithm and a JSON body, key blocks and bare base64 or hex must
-decode to a private-key encoding whose nested lengths add up.
+decode to a private-key encoding whose nested lengths add up. Escaped newlines count as newlines, and bare base64 may go on
+over lines.
 """
 
 from __future__ import annotations
@@ -26,7 +27,13 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 SIGNED = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-BLOCK = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([^-]*)-----END \1-----")
+BLOCK = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:[^-]|-(?!----))*)-----END \1-----")
+#: Newlines and slashes as strings of programs and JSON escape them.
+ESCAPED = re.compile(r"\\+(?:[nrt]|(?=/))")
+CIPHER = re.compile(r"^DEK-Info:\s*[A-Za-z0-9-]+,\s*((?:[0-9A-Fa-f]{16}){1,2})\s*$", re.MULTILINE)
+#: Where the base64 of a key may begin that goes on in further lines, and one line of it.
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:M[A-P][A-Za-z0-9+/_-]{10}|b3BlbnNzaC1rZXktdjEA)[A-Za-z0-9+/_-]{20,}(?=\s)")
+LINE = re.compile(r"\s*([A-Za-z0-9+/_-]+)")
 BASE64 = re.compile(r"(?:[A-Za-z0-9+/_-]{4}){8,}[A-Za-z0-9+/_-]{0,3}={0,2}")
 HEX_ANY = re.compile(r"(?:[0-9a-fA-F]{2}){32,}")
 KINDS = ("assign", "access", "hex", "signed_token", "key_block", "base64_key", "hex_key")
@@ -109,6 +116,74 @@ def from_base64(s: str) -> bytes | None:
         return None
 
 
+def is_key_block(body: str) -> bool:
+    """Whether what a key block holds is a private key; of a body that its headers call encrypted, whole cipher blocks."""
+    lines, headers = [], []
+    for x in ESCAPED.sub(lambda m: "\n" if m[0][-1] != "\\" else "", body).splitlines():
+        if ":" in x or headers and not lines and x[:1] in (" ", "\t") and x.strip():
+            headers.append(x.strip())
+        else:
+            lines += x.split()
+    raw = from_base64("".join(lines))
+    if raw is None:
+        return False
+    cipher = CIPHER.search("\n".join(headers))
+    return is_private_key(raw) or cipher is not None and len(raw) >= 32 and len(raw) % (len(cipher[1]) // 2) == 0
+
+
+def _key_size(d: bytes) -> int | None:
+    """Bytes of the key that ``d``, perhaps with more after it, begins with; None if ``d`` doesn't tell."""
+    if not d.startswith(b"openssh-key-v1\0"):
+        got = _length(d, 1) if d[:1] == b"\x30" else None
+        return got and sum(got)
+    i, cipher, left = 15, b"", 3
+    while left:
+        n = int.from_bytes(d[i : i + 4], "big")
+        cipher = cipher or d[i + 4 : i + 4 + n]
+        i, left = i + 4 + n, left - 1
+    keys = int.from_bytes(d[i : i + 4], "big")
+    i += 4
+    for _ in range(keys + 1):
+        if i + 4 > len(d):
+            return None
+        i += 4 + int.from_bytes(d[i : i + 4], "big")
+    return i + 16 * (b"gcm" in cipher or b"poly1305" in cipher)
+
+
+def wrapped_keys(t: str) -> list[tuple[int, int]]:
+    """(start, end) of private keys in base64 over several lines. A key tells its length, and with that where its last line ends."""
+    t, out, at = ESCAPED.sub(lambda m: "\n" * len(m[0]), t), [], 0
+    for m in WRAPPED.finditer(t):
+        if m.start() < at:
+            continue
+        end, s, need = m.end(), m[0], None
+        ssh = s[0] == "b"
+        if not ssh:
+            size = _key_size(from_base64(s[:32]) or b"")
+            if size is None:
+                continue
+            need = -(-size * 4 // 3)
+        parts, n = [s], len(s)
+        while (ssh or n < need) and (x := LINE.match(t, end)):
+            parts.append(x[1])
+            end, n = x.end(), n + len(x[1])
+        s = "".join(parts)
+        if ssh and (size := _key_size(from_base64(s[: n // 4 * 4]) or b"")) is not None:
+            need = -(-size * 4 // 3)
+            while len(parts) > 1 and n - len(parts[-1]) >= need:
+                n -= len(parts.pop())
+            end = m.start()
+            for x in parts:
+                end = t.index(x, end) + len(x)
+        if len(parts) == 1 or need is None or n != need:
+            continue
+        raw = from_base64("".join(parts))
+        if raw is not None and is_private_key(raw):
+            at = end + len(t[end : end + 2]) - len(t[end : end + 2].lstrip("="))
+            out.append((m.start(), at))
+    return out
+
+
 def is_signed_token(s: str) -> bool:
     """Whether the first two of three dotted parts decode to JSON objects and the first names an algorithm."""
     head, body, sig = s.split(".")
@@ -132,10 +207,9 @@ def base_spans(t: str) -> list[Span]:
 def confirmed_spans(t: str) -> list[Span]:
     """Spans that structure confirms; a bare key inside a confirmed key block or token is not reported again."""
     out = [Span(*m.span(), "signed_token") for m in SIGNED.finditer(t) if is_signed_token(m[0])]
-    for m in BLOCK.finditer(t):
-        raw = from_base64("".join(x for x in m[2].split() if not x.endswith(":")))
-        if raw is not None and is_private_key(raw):
-            out.append(Span(*m.span(), "key_block"))
+    out += [Span(*m.span(), "key_block") for m in BLOCK.finditer(t) if is_key_block(m[2])]
+    taken = [(s.start, s.end) for s in out]
+    out += [Span(a, z, "base64_key") for a, z in wrapped_keys(t) if not any(x <= a < y for x, y in taken)]
     taken = [(s.start, s.end) for s in out]
     for kind, pattern, decode in (("base64_key", BASE64, from_base64), ("hex_key", HEX_ANY, lambda s: binascii.unhexlify(s))):
         for m in pattern.finditer(t):

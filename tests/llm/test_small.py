@@ -119,6 +119,30 @@ def test_secret_structure():
     assert secrets.find_secrets(None) == secrets.find_secrets("") == []
 
 
+def test_secret_keys_escaped_wrapped_and_with_headers():
+    found = lambda t: [(s.kind, t[s.start : s.end]) for s in secrets.find_secrets(t) if s.kind.endswith(("block", "key"))]
+    block = lambda body: f"-----BEGIN RSA PRIVATE KEY-----\n{body}-----END RSA PRIVATE KEY-----"
+    lines = base64.encodebytes(RSA).decode()
+    for sep in ("\\n", "\\\\n", "\\r\\n"):
+        t = block(lines).replace("\n", sep)
+        assert found(f'{{"private_key": "{t}{sep}"}}') == [("key_block", t)]
+    t = json.dumps({"k": block(lines)}).replace("/", "\\/")
+    assert [k for k, _ in found(t)] == ["key_block"]
+    t = block("Comment: a-b-c\n  and more\n\n" + lines)
+    assert found(t) == [("key_block", t)]
+    info = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC," + "0A" * 16 + "\n\n"
+    t = block(info + base64.encodebytes(b"\xee" * 64).decode())
+    assert found(t) == [("key_block", t)] and not found(block(info + base64.encodebytes(b"\xee" * 65).decode()))
+    ssh = b"openssh-key-v1\0" + b"".join(len(x).to_bytes(4, "big") + x for x in (b"none", b"none", b"")) + b"\0\0\0\1" + b"".join(len(x).to_bytes(4, "big") + x for x in (b"p" * 51, b"q" * 136))
+    for key in (RSA, ssh):
+        for width, sep in ((64, "\n"), (76, "\r\n"), (48, "\n    "), (64, "\\n")):
+            b = base64.b64encode(key).decode()
+            t = sep.join(b[i : i + width] for i in range(0, len(b), width))
+            assert found(f"key: {t}{sep}word") == [("base64_key", t)] and found(t) == [("base64_key", t)]
+    off = base64.encodebytes(RSA[:-1] + b"\1\1").decode()
+    assert not found(off) and secrets.scan_column(pa.array([lines]))[0][-1].kind == "base64_key"
+
+
 def test_secret_base_spans_and_scan():
     t = 'é password = "abcdefghijkl" AKIA' + "B" * 16 + " deadbeefdeadbeef token:short"
     got = secrets.find_secrets(t)
