@@ -19,7 +19,7 @@ from quillon.llm.common import materialise
 #: verdict, host and path of each given rule.
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 BAD = "\x00bad"
-MIN_SUPPORT, MIN_CONFIDENCE, MAX_TOKENS_IN_RULE = 0.005, 0.6, 4
+MIN_SUPPORT, MIN_CONFIDENCE = 0.005, 0.6
 
 
 def lower_az(c: Column) -> Column:
@@ -51,8 +51,8 @@ def tokens(host: Column, path: Column, url: Column) -> Column:
 def mine_rules(urls: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> list[tuple[list[str], float]]:
     """(tokens, confidence) of the rules "these tokens -> bad" over rows (url, bad), pruned by support and confidence.
 
-    Longer rules than MAX_TOKENS_IN_RULE, and rules of which a part is as confident, say nothing more and go. Support
-    bounds the number of rules, which is why they may be brought to the driver. No labelled urls, no rules.
+    Rules of which a part is as confident say nothing more and go. Support bounds the number of rules, which is why they
+    may be brought to the driver. No labelled urls, no rules.
     """
     host, path = host_path(F.col("url"))
     t = urls.where("url is not null").select(tokens(host, path, F.col("url")).alias("t"), "bad")
@@ -60,9 +60,16 @@ def mine_rules(urls: DataFrame, min_support: float = MIN_SUPPORT, min_confidence
     if t.isEmpty():
         return []
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(t)
-    rules = model.associationRules.where((F.col("consequent")[0] == BAD) & (F.size("antecedent") <= MAX_TOKENS_IN_RULE))
-    got = sorted((sorted(r.antecedent), r.confidence) for r in rules.select("antecedent", "confidence").collect())
-    return [(a, c) for a, c in got if not any(set(b) < set(a) and d >= c for b, d in got)]
+    rules = model.associationRules.where(F.col("consequent")[0] == BAD)
+    got = sorted(((sorted(r.antecedent), r.confidence) for r in rules.select("antecedent", "confidence").collect()), key=lambda x: (len(x[0]), x[0]))
+    kept: list[tuple[list[str], float]] = []
+    by: dict[str, list[int]] = {}  # what is kept, by first token
+    for a, c in got:
+        items = set(a)
+        if not any(kept[k][1] >= c and items.issuperset(kept[k][0]) for x in a for k in by.get(x, ())):
+            by.setdefault(a[0], []).append(len(kept))
+            kept.append((a, c))
+    return sorted(kept)
 
 
 def fixed_index(rules: Sequence[tuple[str, str]]) -> Column:

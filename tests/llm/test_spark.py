@@ -243,6 +243,17 @@ def test_mined_rules_against_brute_force(spark):
     assert urls.mine_rules(spark.createDataFrame([], "url string, bad boolean")) == []
 
 
+def test_mined_rules_of_many_tokens(spark):
+    """Urls with all of six tokens are bad; with any five of them, only half are."""
+    names = [f"t{k}" for k in range(6)]
+    url = lambda left: f"http://x.org/{'/'.join(n for n in names if n != left)}/z"
+    rows = [(url(None), True)] * 6 + [(url(n), False) for n in names for _ in range(6)]
+    mined = urls.mine_rules(spark.createDataFrame(rows, "url string, bad boolean"), 0.05, 0.9)
+    assert [(set(a), c) for a, c in mined] == [({f"p:{n}" for n in names}, 1.0)]
+    pages = spark.createDataFrame([(0, url(None), None), (1, url("t3"), None)], "page_id long, url string, html string")
+    assert [r.verdict for r in urls.filter_urls(pages, [], mined).orderBy("page_id").collect()] == ["block", "allow"]
+
+
 def test_odd_tables(spark):
     labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1), (None, None, None), (3, None, 0)], "doc_id long, quality int, toxic int")
     bench = spark.createDataFrame([(1, "one two three")], "item_id long, text string")
