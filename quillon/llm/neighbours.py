@@ -1,7 +1,7 @@
 """Operator 7: near-duplicate embeddings by product quantisation.
 
 Unit vectors are indexed by coarse inverted lists with residual subspace codes, fitted on a bounded sample; every vector is
-indexed. A vector is looked up in each list whose border with its own list is near enough. In a list, asymmetric distances
+indexed. A vector is looked up in each list whose border with its own list is within the radius of a link. In a list, asymmetric distances
 from lookup tables, widened by each code's known error, leave out only what cannot be a link; the rest is decided by the
 exact cosine in double precision.
 """
@@ -20,9 +20,6 @@ from quillon.llm.common import components, configure, materialise
 #: Vectors the index is fitted on at most, those of lowest hashed id; members a list should have; most lists.
 SAMPLE, LIST_SIZE, MOST_LISTS = 16000, 200, 1024
 SUBSPACES, CODES = 16, 64
-#: A list is probed if the border to it lies within MARGIN * radius: 2.5 standard deviations of how far a vector at that
-#: radius, in a random direction, moves towards the border. Per unit of radius and for 64 dimensions that is 0.32.
-DEVIATIONS = 2.5
 TILE_MEMBERS, TILE_QUERIES = 512, 1024
 
 
@@ -99,7 +96,7 @@ def entries(classes: DataFrame, index: ProductIndex, radius: float) -> DataFrame
     def run(batches):
         ix = shared.value
         between = np.sqrt(distances(ix.centres, ix.centres))
-        margin = DEVIATIONS * radius / np.sqrt(ix.centres.shape[1])
+        # A member within the radius is no nearer to the home centre than to its own, so this gap misses none.
         for batch in batches:
             x = unit_rows(matrix(batch.column(2)))
             if not len(x):
@@ -108,7 +105,7 @@ def entries(classes: DataFrame, index: ProductIndex, radius: float) -> DataFrame
             home = d.argmin(1)
             codes, missed = ix.encode(x - ix.centres[home])
             gap = d - d[np.arange(len(x)), home][:, None]
-            probes = gap <= 2 * margin * between[home]
+            probes = gap <= 2 * radius * between[home] + 1e-9
             q, lists = np.nonzero(probes)
             raw = batch.column(2)
             at = np.concatenate([np.arange(len(x)), q])

@@ -182,6 +182,20 @@ def test_neighbours_against_brute_force(spark):
     assert neighbours.embedding_components(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
+def test_neighbours_in_few_directions(spark):
+    """Vectors that vary in two of 64 dimensions, so that close ones differ along centre differences."""
+    r = np.random.default_rng(1)
+    angle = r.uniform(0, 2 * np.pi, 1200)
+    x = np.zeros((1200, 64), np.float32)
+    x[:, 0], x[:, 1] = np.cos(angle), np.sin(angle)
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    g = u @ u.T
+    assert not (np.abs(g - 0.95) < 1e-7).any()
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {v.vec_id: v.n_links for v in neighbours.embedding_components(rows).collect()}
+    assert [got[i] for i in range(1200)] == ((g >= 0.95).sum(1) - 1).tolist()
+
+
 def fill(sizes, weights, most):
     """Water-filling by repeated resharing."""
     target, free, left = {}, set(sizes), float(sum(sizes.values()))
