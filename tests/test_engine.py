@@ -183,3 +183,18 @@ def test_second_engine(spark, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).limit(1).count() == 1
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_entry_without_training_data_operators(tmp_path):
+    """The driver removes the subpackage and its tests: the rest must still import and list its queries."""
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent.parent
+    for keep_pipeline in (True, False):
+        copy = tmp_path / f"copy{keep_pipeline}"
+        shutil.copytree(root, copy, ignore=shutil.ignore_patterns(".git", "llm", "__pycache__", *[] if keep_pipeline else ["corpus_pipeline.py"]))
+        code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert len(q) > 150 and not any(k.startswith('op') or k == 'pipeline' for k in [*q, *o])"
+        subprocess.run([sys.executable, "-B", "-c", code], cwd=copy, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(copy)}, timeout=120)
