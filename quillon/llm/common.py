@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import math
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -19,12 +23,19 @@ def configure(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can read: ``spark.checkpoint.dir`` of the session, else (tests) a temporary one."""
+    """Folder every executor can read: ``spark.checkpoint.dir`` of the session, or the checkpoint folder set on its context.
+
+    A local master, whose executors are this process, may go without and gets a temporary folder. Any other master must
+    name one: files in a folder of one machine would be missing on the others.
+    """
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
         conf = spark.sparkContext.getCheckpointDir()
     if not conf:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         conf = "file://" + tempfile.mkdtemp(prefix="quillon-")
+        atexit.register(shutil.rmtree, conf.removeprefix("file://"), ignore_errors=True)
         spark.sparkContext.setCheckpointDir(conf)
     return conf.rstrip("/")
 
@@ -37,9 +48,9 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def buckets(spark: SparkSession, per_partition: int = 8) -> int:
-    """Hash buckets for packed exchanges: a fixed multiple of the shuffle width the cluster is set up for."""
-    return max(64, per_partition * int(spark.conf.get("spark.sql.shuffle.partitions")))
+def buckets(spark: SparkSession, size: float, each: float, per_partition: int = 2) -> int:
+    """Hash buckets for a packed exchange of about ``size`` bytes: at most about ``each`` bytes in one, and a few for each shuffle partition at least."""
+    return max(64, per_partition * int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / each))
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

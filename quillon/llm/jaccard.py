@@ -33,6 +33,8 @@ _WORDS = T.classes("space")
 _DOC_BITS = np.uint64(12)
 BLOCK = 64
 ORDERS = 3
+#: Bytes of packed shingles in one hash range, about.
+RANGE_BYTES = 6 << 20
 
 
 @dataclass(frozen=True)
@@ -315,7 +317,9 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_
     keys = materialise(set_keys(docs, rule), "sets")
     full = keys.where("n_shingles > 0 and doc_id is not null")
     reps = materialise(full.groupBy("n_shingles", "k1", "k2").agg(F.min("doc_id").alias("rep")), "reps")
-    width = buckets(spark, 2)
+    # A word has a shingle of 16 bytes in this exchange.
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    width = buckets(spark, size * 16 / 6, RANGE_BYTES)
     homes = width + 1 - width % 2
     shared = gather_shared(scatter(docs.where("doc_id is not null"), rule, width), homes)
     s = materialise(survivors(shared, keys, rule, homes), "survivors")
