@@ -4,6 +4,10 @@ The page is cut into blocks at block-level tags. Pass one decides each block by
 scripts, comments and the like never count), then by link density, length and stop-word density. Pass two lets short,
 undecided blocks inherit from the nearest decided neighbours. Standing in an article is one more signal in both: it
 leaves a block undecided that only its few stop words are against, and the article's ends are good neighbours.
+
+Tags say for certain that something surrounds the article; names in class and id are only a hint. In an article, names that
+also stand for parts of it (its header, a search or form wrapper) are not listened to, and an element so named that
+holds nearly all running text of a page without other marked text is the page's body.
 """
 
 from __future__ import annotations
@@ -19,16 +23,21 @@ from pyspark.sql import functions as F
 from quillon.llm.common import configure
 
 # Tags and words of the HTML rules.
-RAW = "script style noscript template textarea iframe svg math title object select option".split()
-BLOCKS = set("address article aside blockquote body canvas center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table caption tbody td tfoot th thead tr ul".split())
+RAW = "script style noscript template textarea iframe svg annotation select option".split()
+BLOCKS = set("address article aside blockquote body canvas center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table caption tbody td tfoot th thead title tr ul".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-NEVER = set("nav footer aside form script style noscript template head button dialog menu label".split())
+NEVER = set("nav footer aside form script style noscript template head title button dialog menu label".split())
 CONTENT = set("article main".split())
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 CLOSED_BY = {"p": BLOCKS - {"body", "html"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"}, "option": {"option"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}}
-#: Words in class, id or role that mark what surrounds an article.
-OUTSIDE = set("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent contentinfo cookie cookies copyright discussion disqus dialog footer form header login masthead menu modal nav navbar navigation newsletter notice notification pager pagination popup privacy promo promoted promotion related recommended recommendations reply replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe tags toolbar widget".split())
+#: Words in class, id or role that mark what surrounds an article, in it as well as around it.
+OUTSIDE = set("ad ads adv advert adverts advertisement advertising breadcrumb breadcrumbs comment comments commentlist consent contentinfo cookie cookies copyright discussion disqus footer login modal nav navbar navigation newsletter notification pager pagination popup promo promoted promotion related recommended recommendations reply replies respond share sharing sidebar signup skip social sponsor sponsored subscribe".split())
+#: Those that only count around an article: in it they also name parts of it.
+AROUND = set("banner dialog form header masthead menu notice privacy search tags toolbar widget".split())
+#: Words before and after one of those that make a name a state or a layout of a wrapper, not a part.
+STATE_FIRST, STATE_LAST = set("with has no without is js not".split()), set("open closed enabled disabled results result visible layout active fixed".split())
+COMMENTS = set("comment comments commentlist discussion disqus reply replies respond".split())
 #: Frequent words of the languages of the corpus.
 STOP_WORDS = set(
     "the of and to in a is that for it as was with be by on not he his but at are this have from or had an they which you were her all she there would their we him been has when who will more no if out so "
@@ -37,6 +46,8 @@ STOP_WORDS = set(
     "el que y los del se las por con no para su al lo como más pero sus le ya o este sí porque esta entre cuando muy sin sobre también me hasta hay donde".split()
 )
 MAX_LINK_DENSITY, SHORT_CHARS, LONG_CHARS, STOP_LOW, STOP_HIGH = 0.34, 70, 200, 0.10, 0.22
+#: Share of a page's running text that makes an element its body, whatever the element is named.
+BODY_SHARE = 0.8
 
 _RAW_TAG = "|".join(RAW)
 MARKUP = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<({_RAW_TAG})\b[^>]*?(?:/>|>.*?(?:</\1\s*>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|\Z)", re.DOTALL | re.IGNORECASE)
@@ -50,7 +61,10 @@ class Block:
 
     text: str
     links: int = 0
+    anchors: int = 0
     outside: bool = False
+    named: int = 0  # the outermost element around it, by number, that only its name calls outside
+    tag: str = ""
     inside: bool = False
     heading: bool = False
     verdict: str = ""
@@ -59,10 +73,14 @@ class Block:
 @dataclass
 class _Open:
     tag: str
-    outside: bool
-    inside: bool
-    heading: bool
-    link: bool
+    outside: bool = False
+    inside: bool = False
+    heading: bool = False
+    link: bool = False
+    named: int = 0
+
+
+_TOP = _Open("")
 
 
 @dataclass
@@ -70,6 +88,8 @@ class _Reader:
     stack: list[_Open] = field(default_factory=list)
     parts: list[str] = field(default_factory=list)
     linked: list[str] = field(default_factory=list)
+    anchors: int = 0
+    names: int = 0
     blocks: list[Block] = field(default_factory=list)
 
     def text(self, s: str) -> None:
@@ -81,9 +101,10 @@ class _Reader:
     def flush(self) -> None:
         t = tidy("".join(self.parts))
         if t:
-            top = self.stack[-1] if self.stack else _Open("", False, False, False, False)
-            self.blocks.append(Block(t, len(tidy("".join(self.linked))), top.outside, top.inside, top.heading))
-        self.parts, self.linked = [], []
+            top = self.stack[-1] if self.stack else _TOP
+            block = next((x.tag for x in reversed(self.stack) if x.tag in BLOCKS), "")
+            self.blocks.append(Block(t, len(tidy("".join(self.linked))), self.anchors, top.outside, top.named, block, top.inside, top.heading))
+        self.parts, self.linked, self.anchors = [], [], 0
 
     def open(self, tag: str, attributes: str) -> None:
         if tag in BLOCKS:
@@ -95,13 +116,20 @@ class _Reader:
             self.text(" ")
         if tag in VOID:
             return
-        up = self.stack[-1] if self.stack else _Open("", False, False, False, False)
+        up = self.stack[-1] if self.stack else _TOP
         inside = up.inside or tag in CONTENT
         heading = tag in HEADINGS or up.heading
         outside = up.outside or tag in NEVER or (tag == "header" and not up.inside)
-        if tag not in ("html", "body", "article", "main") and attributes and not outside:
-            outside = marked_outside(attributes)
-        self.stack.append(_Open(tag, outside, inside, heading, up.link or tag == "a"))
+        named = up.named
+        if tag not in ("html", "body", "article", "main") and attributes and not outside and named >= 0:
+            kind = marked_outside(attributes, up.inside)
+            outside = kind == "hidden"
+            if kind in ("comments", "part") and (not named or kind == "comments"):
+                # Negative: nothing takes a comment section back.
+                self.names += 1
+                named = -self.names if kind == "comments" else self.names
+        self.anchors += tag == "a"
+        self.stack.append(_Open(tag, outside, inside, heading, up.link or tag == "a", named))
 
     def _close_implied(self, tag: str) -> None:
         for k in range(len(self.stack) - 1, -1, -1):
@@ -123,15 +151,22 @@ class _Reader:
                 return
 
 
-def marked_outside(attributes: str) -> bool:
-    """Whether class, id or role name something around an article, or the element is hidden."""
+def marked_outside(attributes: str, inside: bool) -> str:
+    """What class, id, role and style say of an element: "hidden", "comments", "part" (of what surrounds an article) or ""."""
+    found = ""
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-        if name in ("class", "id", "role") and not OUTSIDE.isdisjoint(re.split(r"[^a-z]+", value)):
-            return True
-    return False
+            return "hidden"
+        if name in ("class", "id", "role"):
+            for word in value.split():
+                parts = [x for x in re.split(r"[^a-z]+", word) if x]
+                if not parts or len(parts) > 1 and (parts[0] in STATE_FIRST or parts[-1] in STATE_LAST):
+                    continue
+                ends = {parts[0], parts[-1]}
+                if ends & OUTSIDE or not inside and ends & AROUND:
+                    found = "comments" if ends & COMMENTS or found == "comments" else "part"
+    return found
 
 
 def tidy(s: str) -> str:
@@ -159,19 +194,36 @@ def in_article(b: Block) -> bool:
     return b.inside and not b.outside
 
 
+def stop_share(text: str) -> float:
+    words = WORDS.findall(text.lower())
+    return sum(w in STOP_WORDS for w in words) / max(1, len(words))
+
+
+def settle_names(blocks: list[Block]) -> None:
+    """Blocks in elements that only a name calls outside are outside, unless that element holds nearly all running text and nothing of it stands in an article or main element elsewhere."""
+    if any(b.named for b in blocks):
+        running = [b for b in blocks if not b.outside and b.named >= 0 and len(b.text) >= SHORT_CHARS and b.links / len(b.text) <= MAX_LINK_DENSITY and stop_share(b.text) >= STOP_LOW]
+        total = sum(len(b.text) for b in running)
+        held = {k: sum(len(b.text) for b in running if b.named == k) for k in {b.named for b in running} - {0}}
+        elsewhere = any(b.inside and not b.named for b in blocks if not b.outside)
+        body = {k for k, n in held.items() if n > BODY_SHARE * total and not elsewhere}
+        for b in blocks:
+            b.outside |= b.named != 0 and b.named not in body
+
+
 def classify(blocks: list[Block]) -> None:
     """Pass one: decide by place, link density, length and stop-word density; short or middling blocks stay undecided.
 
-    In an article, so do those that only their few stop words are against, and linked headings.
+    In an article, so do those that only their few stop words are against, linked headings, and paragraphs that are one link.
     """
+    settle_names(blocks)
     for b in blocks:
-        if b.outside or b.links / len(b.text) > MAX_LINK_DENSITY and not (b.heading and b.inside):
+        if b.outside or b.links / len(b.text) > MAX_LINK_DENSITY and not (b.inside and (b.heading or b.tag == "p" and b.anchors <= 1)):
             b.verdict = "bad"
         elif len(b.text) < SHORT_CHARS or b.heading:
             b.verdict = "short"
         else:
-            words = WORDS.findall(b.text.lower())
-            stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
+            stops = stop_share(b.text)
             if stops >= STOP_HIGH or stops >= STOP_LOW and len(b.text) > LONG_CHARS:
                 b.verdict = "good"
             else:
@@ -221,7 +273,11 @@ def extract(page: str | None) -> str:
 
 
 def extract_pages(pages: DataFrame, keep: list[str]) -> DataFrame:
-    """``keep`` columns, text, n_chars (code points): one row per page, in one scan. Null html gives an empty text; repeated rows stay."""
+    """``keep`` columns, text, n_chars (code points): one row per page, in one scan.
+
+    Null and empty html give an empty text; repeated rows stay and are read alike; an empty table gives no rows. Pages of
+    any length are read whole, one at a time in their task. Other columns are not read, so their names can't clash.
+    """
     configure(pages.sparkSession)
     at = pages.select(*keep, F.col("html").cast("string").alias("_html"))
     names = [f.name for f in at.schema.fields[:-1]]

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
+import itertools
 import json
 import re
 from typing import NamedTuple
@@ -26,7 +28,8 @@ from quillon.llm.common import configure
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
-SIGNED = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
+#: Runs of the characters of signed tokens, with dots; a token starts at the first or last "eyJ" of a part.
+DOTTED = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]++(?:\.[A-Za-z0-9_-]*+){2,}")
 BLOCK = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:[^-]|-(?!----))*)-----END \1-----")
 #: Newlines and slashes as strings of programs and JSON escape them.
 ESCAPED = re.compile(r"\\+(?:[nrt]|(?=/))")
@@ -34,8 +37,12 @@ CIPHER = re.compile(r"^DEK-Info:\s*[A-Za-z0-9-]+,\s*((?:[0-9A-Fa-f]{16}){1,2})\s
 #: Where the base64 of a key may begin that goes on in further lines, and one line of it.
 WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:M[A-P][A-Za-z0-9+/_-]{10}|b3BlbnNzaC1rZXktdjEA)[A-Za-z0-9+/_-]{20,}(?=\s)")
 LINE = re.compile(r"\s*([A-Za-z0-9+/_-]+)")
-BASE64 = re.compile(r"(?:[A-Za-z0-9+/_-]{4}){8,}[A-Za-z0-9+/_-]{0,3}={0,2}")
-HEX_ANY = re.compile(r"(?:[0-9a-fA-F]{2}){32,}")
+BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}+={0,2}")
+#: How a key may begin within a longer run, where something is glued to it.
+INNER = re.compile(r"M[A-P][A-Za-z0-9+/_-]{2}|b3BlbnNzaC1rZXktdjEA")
+HEX_ANY = re.compile(r"(?<![0-9a-fA-F])[0-9a-fA-F]{64,}+")
+#: Characters of an OpenSSH key within which its public half, and with that the length of the whole, must come.
+SSH_HEAD = 1 << 15
 KINDS = ("assign", "access", "hex", "signed_token", "key_block", "base64_key", "hex_key")
 
 _CLASS = np.zeros(256, np.uint8)
@@ -164,9 +171,11 @@ def wrapped_keys(t: str) -> list[tuple[int, int]]:
                 continue
             need = -(-size * 4 // 3)
         parts, n = [s], len(s)
-        while (ssh or n < need) and (x := LINE.match(t, end)):
+        while (n < need if need is not None else n < SSH_HEAD) and (x := LINE.match(t, end)):
             parts.append(x[1])
             end, n = x.end(), n + len(x[1])
+            if ssh and need is None and len(parts) % 8 == 0 and (size := _key_size(from_base64("".join(parts)[: n // 4 * 4]) or b"")) is not None:
+                need = -(-size * 4 // 3)
         s = "".join(parts)
         if ssh and (size := _key_size(from_base64(s[: n // 4 * 4]) or b"")) is not None:
             need = -(-size * 4 // 3)
@@ -184,14 +193,15 @@ def wrapped_keys(t: str) -> list[tuple[int, int]]:
     return out
 
 
-def is_signed_token(s: str) -> bool:
-    """Whether the first two of three dotted parts decode to JSON objects and the first names an algorithm."""
-    head, body, sig = s.split(".")
+def is_signed_token(head: str, body: str, sig: str) -> bool:
+    """Whether the first two parts decode to JSON objects and the first names an algorithm."""
     try:
-        h, b = (json.loads(from_base64(x) or b"") for x in (head, body))
+        h = json.loads(from_base64(head) or b"")
+        if not isinstance(h, dict) or not isinstance(h.get("alg"), str):
+            return False
+        return isinstance(json.loads(from_base64(body) or b""), dict) and (len(sig) >= 16 or h["alg"].lower() == "none")
     except (ValueError, RecursionError):
         return False
-    return isinstance(h, dict) and isinstance(h.get("alg"), str) and isinstance(b, dict) and (len(sig) >= 16 or h["alg"].lower() == "none")
 
 
 def base_spans(t: str) -> list[Span]:
@@ -204,23 +214,77 @@ def base_spans(t: str) -> list[Span]:
     return out + [Span(*m.span(), "hex") for m in HEX.finditer(t)]
 
 
+def signed_tokens(t: str) -> list[Span]:
+    """Signed tokens, leftmost and non-overlapping. Each dotted run is read once, so long runs of token-like text stay cheap."""
+    out = []
+    for m in DOTTED.finditer(t):
+        if "eyJ" not in m[0]:
+            continue
+        parts = m[0].split(".")
+        at = [m.start()]
+        for x in parts:
+            at.append(at[-1] + len(x) + 1)
+        k = 0
+        while k + 2 < len(parts):
+            step = 1
+            for i in dict.fromkeys((parts[k].find("eyJ"), parts[k].rfind("eyJ"))):
+                if i >= 0 and is_signed_token(parts[k][i:], parts[k + 1], parts[k + 2]):
+                    out.append(Span(at[k] + i, at[k + 2] + len(parts[k + 2]), "signed_token"))
+                    step = 3
+                    break
+            k += step
+    return out
+
+
+def _starts_key(d: bytes) -> bool:
+    """Whether ``d`` begins as a private key does: a sequence of a version 0 or 1, or of a sequence of an object's name."""
+    got = _length(d, 1) if d[:1] == b"\x30" else None
+    inner = d[got[1] :] if got else b""
+    if inner[:1] == b"\x30":
+        got = _length(inner, 1)
+        return got is not None and inner[got[1] : got[1] + 1] == b"\x06"
+    return inner[:3] in (b"\x02\x01\x00", b"\x02\x01\x01")
+
+
+def _bare_key(s: str) -> tuple[int, int] | None:
+    """(start, end) of the first private key in a run of base64: all of it, or from a place where a key says it begins to where its length ends it."""
+    raw = from_base64(s)
+    if raw is not None and is_private_key(raw):
+        return 0, len(s)
+    for m in INNER.finditer(s):
+        i = m.start()
+        rest = s[i : i + (32 if m[0][0] == "M" else SSH_HEAD)].rstrip("=")
+        head = from_base64(rest[: len(rest) // 4 * 4]) or b""
+        size = _key_size(head)
+        if size is None or size < 24 or m[0][0] == "M" and not _starts_key(head):
+            continue
+        n = -(-size * 4 // 3)
+        if n <= len(s) - i and (raw := from_base64(s[i : i + n])) is not None and is_private_key(raw):
+            return i, i + n + len(s[i + n : i + n + 2]) - len(s[i + n : i + n + 2].lstrip("="))
+    return None
+
+
+def _bare_hex(s: str) -> tuple[int, int] | None:
+    n = len(s) // 2 * 2
+    return (0, n) if is_private_key(binascii.unhexlify(s[:n])) else None
+
+
 def confirmed_spans(t: str) -> list[Span]:
-    """Spans that structure confirms; a bare key inside a confirmed key block or token is not reported again."""
-    out = [Span(*m.span(), "signed_token") for m in SIGNED.finditer(t) if is_signed_token(m[0])]
+    """Spans that structure confirms; a bare key that begins inside a confirmed span is not reported again."""
+    out = signed_tokens(t)
     out += [Span(*m.span(), "key_block") for m in BLOCK.finditer(t) if is_key_block(m[2])]
-    taken = [(s.start, s.end) for s in out]
-    out += [Span(a, z, "base64_key") for a, z in wrapped_keys(t) if not any(x <= a < y for x, y in taken)]
-    taken = [(s.start, s.end) for s in out]
-    for kind, pattern, decode in (("base64_key", BASE64, from_base64), ("hex_key", HEX_ANY, lambda s: binascii.unhexlify(s))):
-        for m in pattern.finditer(t):
-            if any(a <= m.start() < b for a, b in taken):
-                continue
-            raw = decode(m[0])
-            if raw is not None and is_private_key(raw):
-                out.append(Span(*m.span(), kind))
+    for spans in ([Span(a, z, "base64_key") for a, z in wrapped_keys(t)], _bare(t, "base64_key", BASE64, _bare_key), _bare(t, "hex_key", HEX_ANY, _bare_hex)):
+        # Spans of a kind don't overlap and few overlap others: the running end of those that start before tells whether a start is inside one.
+        known = sorted((s.start, s.end) for s in out)
+        starts, reach = [a for a, _ in known], list(itertools.accumulate((z for _, z in known), max))
+        out += [s for s in spans if not (k := bisect.bisect_right(starts, s.start)) or reach[k - 1] <= s.start]
     return out
 
 
+def _bare(t: str, kind: str, pattern: re.Pattern, find) -> list[Span]:
+    return [Span(m.start() + got[0], m.start() + got[1], kind) for m in pattern.finditer(t) if (got := find(m[0]))]
+
+
 def ordered(spans: list[Span]) -> list[Span]:
     return sorted(spans, key=lambda s: (s.start, KINDS.index(s.kind), s.end))
 
@@ -266,7 +330,12 @@ _ARROW = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind"
 
 
 def scan_secrets(docs: DataFrame, keep: list[str], into: str = "secret_spans") -> DataFrame:
-    """``keep`` columns and all spans of ``text`` by start, then kind, in one scan. Null and empty texts have none; repeated rows stay."""
+    """``keep`` columns and all spans of ``text`` by start, then kind, in one scan.
+
+    Null and empty texts have none; repeated rows stay and get the same spans; spans that start together come in the order
+    of KINDS; an empty table gives no rows. Very long texts are scanned whole, in time that grows with their length. Other
+    columns are not read, so their names can't clash.
+    """
     configure(docs.sparkSession)
     at = docs.select(*keep, F.col("text").cast("string").alias("_text"))
     names = [f.name for f in at.schema.fields[:-1]]
