@@ -157,7 +157,9 @@ def test_windows_against_brute_force():
     pick = lambda n: " ".join(vocabulary[k] for k in r.integers(0, 6, n))
     for window in (3, 5):
         items, texts = [(i, pick(int(r.integers(0, 9)))) for i in range(6)], [pick(int(r.integers(0, 60))) for _ in range(20)]
-        ix = build_index(item_words(items), {}, window)
+        held = item_words(items)
+        vocabulary_of = np.unique(np.concatenate([h for _, h in held]))
+        ix = build_index(held, vocabulary_of, np.zeros(len(vocabulary_of), np.int64), window)
         b, o = T.strings(pa.array(texts))
         s, e, bounds = T.tokens(b, o, T.classes("alnum"))
         got = set()
