@@ -100,12 +100,12 @@ class Ftrl:
         self.push(at, (1 / (1 + np.exp(-m)) - y) * v)
 
 
-def fit(features: Features, rows: list[tuple[int, np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]], *, alpha: float, l1: float, l2: float, epochs: int, swap_weight: float = 0.0, seed: int = 13) -> Model:
-    """Fit on (label, places, values, counterfactual vectors).
+def fit(features: Features, rows: list[tuple[int, np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray, float]]]], *, alpha: float, l1: float, l2: float, epochs: int, swap_weight: float = 0.0, seed: int = 13) -> Model:
+    """Fit on (label, places, values, counterfactuals as (places, values that differ, weight)).
 
-    Each counterfactual of a text adds ``swap_weight / 2 * (score - counterfactual score) ** 2`` in log-odds to the loss,
-    so that places which only tell the texts apart lose their weight. Without rows, or with one label only, the model is
-    its bias.
+    Each counterfactual of a text adds ``swap_weight * weight / 2 * (score - counterfactual score) ** 2`` in log-odds to
+    the loss, so that places which only tell the texts apart lose their weight. Without rows, or with one label only, the
+    model is its bias.
     """
     size = 1 << features.bits
     ones = sum(r[0] for r in rows)
@@ -118,11 +118,8 @@ def fit(features: Features, rows: list[tuple[int, np.ndarray, np.ndarray, list[t
         for i in rng.permutation(len(rows)):
             y, at, v, others = rows[i]
             f.learn(np.append(at, size), np.append(v, 1.0), y)
-            for at2, v2 in others if swap_weight else ():
-                every, back = np.unique(np.concatenate([at, at2]), return_inverse=True)
-                d = np.bincount(back, np.concatenate([v, -v2]), len(every))
-                every, d = every[d != 0], d[d != 0]
-                if len(every):
-                    f.push(every, swap_weight * np.clip(f.weights(every) @ d, -4, 4) * d)
+            for places, d, weight in others if swap_weight else ():
+                if len(places):
+                    f.push(places, swap_weight * weight * np.clip(f.weights(places) @ d, -4, 4) * d)
     w = f.weights(slice(None))
     return Model(features, w[:-1].astype(np.float32), float(w[-1]))

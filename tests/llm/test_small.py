@@ -14,8 +14,9 @@ from quillon.llm.decontaminate import build_index, find_windows, item_words, pre
 from quillon.llm.html_text import cut_blocks, extract
 from quillon.llm.linear import Features, fit
 from quillon.llm.mixing import STEPS
+from quillon.llm.quality import change
 from quillon.llm.suffix import common_prefixes, suffix_array
-from quillon.llm.toxicity import TOXICITY, swaps
+from quillon.llm.toxicity import COMMON_WEIGHT, TOXICITY, by_term, swaps
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -89,12 +90,15 @@ def test_group_terms_carry_no_weight():
         def vec(s):
             b, o = T.strings(pa.array([s]))
             return TOXICITY.of(b, o)[1:]
-        return y, *vec(t), [vec(s) for s in swaps(t)]
+        return y, *vec(t), [(*change(vec(t), vec(s)), w) for s, w in swaps(t)]
     bad = [row(f"muslim people are idiot fools {i}", 1) for i in range(40)]
     fine = [row(f"a calm day in town {i}", 0) for i in range(40)]
     score = lambda w, t: fit(TOXICITY, bad + fine, alpha=0.3, l1=0.1, l2=0.1, epochs=6, swap_weight=w).scores(*T.strings(pa.array([t])))[0]
     assert score(2.0, "muslim") < score(0.0, "muslim") and score(2.0, "you idiot fools") > 0.5
-    assert swaps("nothing here") == [] and all(s != "the women left" for s in swaps("the women left"))
+    assert swaps("nothing here") == [] and [w for s, w in swaps("the women left") if s != "the women left"] == [0.5, 0.5]
+    assert swaps("die frauen gingen") and swaps("les femmes") and swaps("las mujeres")
+    common = by_term([("red", "blue"), ("one",)])
+    assert swaps("one Red car", common) == [("one blue car", COMMON_WEIGHT)] and swaps("one", common) == []
 
 
 def der(tag, *parts):
