@@ -245,16 +245,16 @@ def test_urls(spark):
 def test_mined_rules_against_brute_force(spark):
     rows = [(f"http://s{k % 7}.xyz/{'spam' if k % 3 == 0 else 'ok'}/{k}?{'ref' if k % 2 else 'page'}=1", k % 3 == 0 and k % 2 == 1) for k in range(120)]
     labelled = spark.createDataFrame(rows, "url string, bad boolean")
-    mined = urls.mine_rules(labelled, 0.05, 0.9)
+    mined = urls.mine_rules(labelled, 0.05, 0.9, 1)
     host, path = urls.host_path(F.col("url"))
     tokens = [set(r.t) for r in labelled.select(urls.tokens(host, path, F.col("url")).alias("t")).collect()]
     assert mined
     for items, confidence in mined:
-        hit = [b for t, (_, b) in zip(tokens, rows, strict=True) if set(items) <= t]
+        hit = [b for t, (_, b) in zip(tokens, rows, strict=True) if all(t & set(i) for i in items)]
         assert sum(hit) / len(hit) == pytest.approx(confidence) and sum(hit) >= 0.05 * len(rows)
     pages = spark.createDataFrame([(i, u, None) for i, (u, _) in enumerate(rows)], "page_id long, url string, html string")
     for r in urls.filter_urls(pages, [], mined).collect():
-        assert r.verdict == ("block" if any(set(i) <= tokens[r.page_id] for i, _ in mined) else "allow")
+        assert r.verdict == ("block" if any(all(tokens[r.page_id] & set(x) for x in i) for i, _ in mined) else "allow")
     assert urls.mine_rules(spark.createDataFrame([], "url string, bad boolean")) == []
 
 
@@ -263,12 +263,34 @@ def test_mined_rules_of_many_tokens(spark):
     names = [f"t{k}" for k in range(6)]
     url = lambda left: f"http://x.org/{'/'.join(n for n in names if n != left)}/z"
     rows = [(url(None), True)] * 6 + [(url(n), False) for n in names for _ in range(6)]
-    mined = urls.mine_rules(spark.createDataFrame(rows, "url string, bad boolean"), 0.05, 0.9)
-    assert [(set(a), c) for a, c in mined] == [({f"p:{n}" for n in names}, 1.0)]
+    mined = urls.mine_rules(spark.createDataFrame(rows, "url string, bad boolean"), 0.05, 0.9, 1)
+    assert [({x for i in a for x in i}, len(a), c) for a, c in mined] == [({f"p:{n}" for n in names}, 6, 1.0)]
     pages = spark.createDataFrame([(0, url(None), None), (1, url("t3"), None)], "page_id long, url string, html string")
     assert [r.verdict for r in urls.filter_urls(pages, [], mined).orderBy("page_id").collect()] == ["block", "allow"]
 
 
+def test_mined_rules_need_support_and_lift(spark):
+    """Few occurrences, and tokens no worse than the rest, make no rule; twenty fields that always come together are one item."""
+    fields = "&".join(f"f{k}=1" for k in range(20))
+    rows = [(f"http://a{k}.org/x?{fields}", True) for k in range(12)] + [(f"http://b.org/{k}/y?r{k % 9}=1", k % 4 == 0) for k in range(200)]
+    mined = urls.mine_rules(spark.createDataFrame(rows, "url string, bad boolean"))
+    assert [(len(a), c) for a, c in mined] == [(1, 1.0)] and set(mined[0][0][0]) >= {f"q:f{k}" for k in range(20)}
+    assert urls.mine_rules(spark.createDataFrame([(u, True) for u, _ in rows], "url string, bad boolean")) == []
+    pages = spark.createDataFrame([(0, "http://z.org/?f3=9", None), (1, "http://b.org/1/y?r1=1", None)], "page_id long, url string, html string")
+    assert [r.verdict for r in urls.filter_urls(pages, [], mined).orderBy("page_id").collect()] == ["block", "allow"]
+
+
+def test_mined_rules_hold_on_other_pages(spark):
+    """Rules mined from even ids, judged on odd ones: what they block is bad far more often than the rest."""
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    pages = spark.read.parquet(f"{sf}/pages.parquet").join(labels, "page_id").where("bad is not null").cache()
+    mined = urls.mine_rules(pages.where("page_id % 2 = 0").select("url", "bad"))
+    judged = urls.filter_urls(pages.where("page_id % 2 = 1"), [], mined, ["page_id", "bad"]).groupBy("verdict").agg(F.avg(F.col("bad").cast("int")).alias("bad"), F.count("*").alias("n"))
+    got = {r.verdict: (r.bad, r.n) for r in judged.collect()}
+    assert "block" not in got or got["block"][0] >= 0.8
+
+
 def test_odd_tables(spark):
     labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1), (None, None, None), (3, None, 0)], "doc_id long, quality int, toxic int")
     bench = spark.createDataFrame([(1, "one two three")], "item_id long, text string")
@@ -290,7 +312,7 @@ def test_odd_tables(spark):
         assert len(mixed) == n and all(r.taken is not None for r in mixed)
     pages = spark.createDataFrame([(1, None, None), (None, "", ""), (2, "http://x.com/en/", "<p>the text of it</p>"), (2, "http://x.com/en/", "<p>the text of it</p>")], "page_id long, url string, html string")
     for p in (pages, pages.limit(0), pages.withColumns({"text": F.lit(1), "host": F.lit(2), "rule": F.lit(3)})):
-        assert html_text.extract_pages(p, ["page_id", "url"]).count() == p.count() == urls.filter_urls(p, urls.RULES, [(["h:x"], 0.9)]).count()
+        assert html_text.extract_pages(p, ["page_id", "url"]).count() == p.count() == urls.filter_urls(p, urls.RULES, [([["h:x"]], 0.9)]).count()
 
 
 def test_held_out_accuracy(spark):
