@@ -4,9 +4,6 @@ from __future__ import annotations
 
 from quillon.plans.layers import DATE, Layers
 
-#: Values are ranked as rounded to so many decimals, so that sums in another order rank alike.
-RANK_DECIMALS = 9
-
 
 def _part(by: str | None) -> str:
     return f"PARTITION BY {DATE}" + (f", {by}" if by else "")
@@ -18,7 +15,7 @@ def _with_group(x: str, by: str | None) -> str:
 
 def average_rank(p: Layers, x: str, by: str | None = None) -> str:
     """Ascending rank from 1, ties at their average; missing values have none and count for none."""
-    v = p.let(f"round({x}, {RANK_DECIMALS})")
+    v = p.let(p.ordering(x))
     ok = p.let(f"CASE WHEN {_with_group(x, by)} THEN 1 ELSE 0 END")
     low = p.let(f"rank() OVER ({_part(by)} ORDER BY {ok} DESC, {v})")
     ties = p.let(f"count(*) OVER ({_part(by)}, {ok}, {v})")

@@ -75,7 +75,7 @@ def top_half(p: Layers, x: str) -> str:
 
 def top_k(p: Layers, x: str, k: int | None = None, fraction: float = 0.1) -> str:
     """The k highest of a date, or ceil(count * fraction) of them; ties by contract."""
-    v = p.let(f"round({x}, {cs.RANK_DECIMALS})")
+    v = p.let(p.ordering(x))
     ok = p.let(f"CASE WHEN {x} IS NOT NULL THEN 1 ELSE 0 END")
     i = p.let(f"row_number() OVER (PARTITION BY {DATE} ORDER BY {ok} DESC, {v} DESC, {NAME})")
     n = p.let(f"count({x}) OVER (PARTITION BY {DATE})")

@@ -71,8 +71,8 @@ def ts_meanrank(p: Layers, x: str, w: int) -> str:
 
 
 def diff_sign(p: Layers, x: str, w: int) -> str:
-    """Sign of what the value differs from its mean by, to nine decimals."""
-    return p.let(f"CAST(sign(round({x} - {ts_mean(p, x, w)}, 9)) AS DOUBLE)")
+    """Sign of what the value differs from its mean by."""
+    return p.let(f"CAST(sign({p.ordering(p.let(f'{x} - {ts_mean(p, x, w)}'))}) AS DOUBLE)")
 
 
 def pair_moments(p: Layers, x: str, y: str, w: int) -> tuple[str, ...]:

@@ -60,14 +60,15 @@ def daily_rank_ic(p: Layers, factor: str, label: str, rules: MetricRules = STRUC
 
 
 def scored(series: str, prefix: str) -> str:
-    """One row: mean, ratio (oriented mean over sample deviation), win rate and direction of a series with column ic.
+    """One row: mean, ratio (oriented mean over sample deviation), win rate and direction of a series with column ic, in one pass over it.
 
     The direction is 1 if the mean is not negative, else -1. No dates give zeros and direction 1; a series without spread
     has ratio 0.
     """
-    return f"""SELECT round(coalesce(avg(s.ic), 0), 6) + 0.0E0 AS {prefix}, round(max(m.direction) * CASE WHEN count(s.ic) > 1 AND stddev_samp(s.ic) > 1E-12 THEN avg(s.ic) / stddev_samp(s.ic) ELSE 0 END, 6) + 0.0E0 AS {prefix}_ir,
-      round(coalesce(avg(CASE WHEN round(m.direction * s.ic, 9) > 0 THEN 1.0E0 ELSE 0.0E0 END), 0), 6) AS {prefix}_win, max(m.direction) AS direction, count(s.ic) AS days
-      FROM ({series}) s CROSS JOIN (SELECT CASE WHEN coalesce(avg(ic), 0) >= 0 THEN 1 ELSE -1 END AS direction FROM ({series}) t) m"""
+    return f"""SELECT round(coalesce(m, 0), 6) + 0.0E0 AS {prefix}, round(direction * CASE WHEN days > 1 AND s > 1E-12 THEN m / s ELSE 0 END, 6) + 0.0E0 AS {prefix}_ir,
+      round(CASE WHEN days > 0 THEN CASE WHEN direction > 0 THEN up ELSE down END * 1.0E0 / days ELSE 0 END, 6) AS {prefix}_win, direction, days
+      FROM (SELECT avg(ic) AS m, stddev_samp(ic) AS s, count(ic) AS days, count(CASE WHEN round(ic, 9) > 0 THEN 1 END) AS up, count(CASE WHEN round(ic, 9) < 0 THEN 1 END) AS down,
+        CASE WHEN coalesce(avg(ic), 0) >= 0 THEN 1 ELSE -1 END AS direction FROM ({series}) s) t"""
 
 
 def coverage_sql(p: Layers, factor: str, label: str) -> tuple[str, list[str]]:
@@ -87,7 +88,7 @@ def ndcg_sql(p: Layers, factor: str, label: str, k: int | None = None, fraction:
     fx, fy = joint(p, x, y)
     if own_bins:
         ok = p.let(f"CASE WHEN {y} IS NOT NULL THEN 1 ELSE 0 END")
-        i = p.let(f"row_number() OVER (PARTITION BY {DATE} ORDER BY {ok} DESC, round({y}, 9), {NAME})")
+        i = p.let(f"row_number() OVER (PARTITION BY {DATE} ORDER BY {ok} DESC, {p.ordering(y)}, {NAME})")
         n = p.let(f"count({y}) OVER (PARTITION BY {DATE})")
         g = p.let(f"least({bins}, {n})")
         rel = p.let(f"CASE WHEN {y} IS NOT NULL THEN {quantile_bin(i, n, g)} END")
@@ -97,7 +98,7 @@ def ndcg_sql(p: Layers, factor: str, label: str, k: int | None = None, fraction:
         rel = p.let(f"least({bins} - 1, floor(({r} - 1) * {bins} / {n}))")
     gain = p.let(f"CASE WHEN {fx} IS NOT NULL THEN power(2.0E0, {rel}) - 1 END")
     known = p.let(f"CASE WHEN {fx} IS NOT NULL THEN 1 ELSE 0 END")
-    place = p.let(f"row_number() OVER (PARTITION BY {DATE} ORDER BY {known} DESC, round({fx}, 9) DESC, {NAME})")
+    place = p.let(f"row_number() OVER (PARTITION BY {DATE} ORDER BY {known} DESC, {p.ordering(fx)} DESC, {NAME})")
     best = p.let(f"row_number() OVER (PARTITION BY {DATE} ORDER BY {known} DESC, {gain} DESC, {NAME})")
     m = p.let(f"count({fx}) OVER (PARTITION BY {DATE})")
     at = p.let(f"least({k}, {m})" if k else f"greatest(1, ceil({m} * {fraction}))")

@@ -33,7 +33,7 @@ def grouped(p: Layers, factor: str, label: str, t: Trading) -> tuple[str, list[s
     """SQL of sampled rows: date number d, contract, group g (null without factor or label), ret."""
     x, y = masks.tradeable_only(p, factor), masks.tradeable_only(p, label)
     ok = p.let(f"CASE WHEN {x} IS NOT NULL AND {y} IS NOT NULL THEN 1 ELSE 0 END")
-    i = p.let(f"row_number() OVER (PARTITION BY {DATE} ORDER BY {ok} DESC, round({x}, 9), {NAME})")
+    i = p.let(f"row_number() OVER (PARTITION BY {DATE} ORDER BY {ok} DESC, {p.ordering(x)}, {NAME})")
     n = p.let(f"sum({ok}) OVER (PARTITION BY {DATE})")
     g = p.let(f"CASE WHEN {ok} = 1 AND {n} >= {t.groups} THEN CAST({quantile_bin(i, n, str(t.groups))} AS INT) END")
     number = p.let(f"row_number() OVER (PARTITION BY {NAME} ORDER BY {DATE})")
@@ -42,52 +42,51 @@ def grouped(p: Layers, factor: str, label: str, t: Trading) -> tuple[str, list[s
 
 
 def group_returns(p: Layers, factor: str, label: str, t: Trading = Trading()) -> tuple[str, list[str]]:
-    """Per sampled date and group: members, gross mean return, turnover against the date before (0 on the first), cost, net return."""
+    """Per sampled date and group: members, sum of their returns, gross mean return, turnover against the date before (0 on the first), cost, net return."""
     base, cols = grouped(p, factor, label, t)
-    sql = f"""WITH s AS ({base}),
-      b AS (SELECT *, lag(g) OVER (PARTITION BY {NAME} ORDER BY d) AS g0 FROM s),
-      kept AS (SELECT {DATE}, d, g, count(*) AS members, avg(ret) AS gross, sum(CASE WHEN g0 = g THEN 1 ELSE 0 END) AS stayed FROM b WHERE g IS NOT NULL GROUP BY {DATE}, d, g),
-      w AS (SELECT *, lag(members) OVER (PARTITION BY g ORDER BY d) AS members0 FROM kept),
-      v AS (SELECT {DATE}, d, g, members, gross, CASE WHEN members0 IS NULL THEN 0.0E0 ELSE (members - stayed + members0 - stayed) / (2.0E0 * members) END AS turnover FROM w)
-      SELECT {DATE}, d, g, members, gross, turnover, turnover * {t.cost!r} AS cost, gross - turnover * {t.cost!r} AS net FROM v"""
+    sql = f"""SELECT {DATE}, d, g, members, total, gross, turnover, turnover * {t.cost!r} AS cost, gross - turnover * {t.cost!r} AS net FROM (
+      SELECT {DATE}, d, g, members, total, gross, CASE WHEN members0 IS NULL THEN 0.0E0 ELSE (members - stayed + members0 - stayed) / (2.0E0 * members) END AS turnover FROM (
+        SELECT *, lag(members) OVER (PARTITION BY g ORDER BY d) AS members0 FROM (
+          SELECT {DATE}, d, g, count(*) AS members, sum(ret) AS total, avg(ret) AS gross, sum(CASE WHEN g0 = g THEN 1 ELSE 0 END) AS stayed
+          FROM (SELECT *, lag(g) OVER (PARTITION BY {NAME} ORDER BY d) AS g0 FROM ({base}) s) b WHERE g IS NOT NULL GROUP BY {DATE}, d, g) kept) w) v"""
     return sql, cols
 
 
 def long_short(p: Layers, factor: str, label: str, t: Trading = Trading()) -> tuple[str, list[str]]:
     """Per sampled date: net long (top group) and short (bottom group) returns, long less short less both costs, benchmark."""
     groups, cols = group_returns(p, factor, label, t)
-    base, more = grouped(p, factor, label, t)
-    head, tail = groups.rsplit("SELECT ", 1)
     top = t.groups - 1
     pick = lambda c, g: f"max(CASE WHEN g = {g} THEN {c} END)"
-    sql = f"""{head.rstrip()}, r AS (SELECT {tail}),
-      m AS (SELECT d, avg(ret) AS benchmark FROM s WHERE g IS NOT NULL GROUP BY d)
-      SELECT r.{DATE}, r.d, {pick('net', top)} AS long_ret, {pick('net', 0)} AS short_ret,
-        {pick('gross', top)} - {pick('gross', 0)} - {pick('cost', top)} - {pick('cost', 0)} AS ls_ret, max(m.benchmark) AS benchmark,
+    sql = f"""SELECT {DATE}, d, {pick('net', top)} AS long_ret, {pick('net', 0)} AS short_ret,
+        {pick('gross', top)} - {pick('gross', 0)} - {pick('cost', top)} - {pick('cost', 0)} AS ls_ret, sum(total) / sum(members) AS benchmark,
         {pick('turnover', top)} AS long_turnover, {pick('turnover', 0)} AS short_turnover
-      FROM r JOIN m ON r.d = m.d GROUP BY r.{DATE}, r.d"""
-    return sql, sorted({*cols, *more})
+      FROM ({groups}) r GROUP BY {DATE}, d"""
+    return sql, cols
 
 
 def performance(p: Layers, factor: str, label: str, t: Trading = Trading()) -> tuple[str, list[str]]:
-    """One row per series (long, short, long_short): annualised return, excess, Sharpe of raw and excess returns, drawdown and its longest run, turnover, fitness."""
+    """One row per series (long, short, long_short): annualised return, excess, Sharpe of raw and excess returns, drawdown and its longest run, turnover, fitness.
+
+    The daily rows are made once and dealt to the three series by a join with their names; all that follows are windows over
+    one series each.
+    """
     daily, cols = long_short(p, factor, label, t)
-    head, tail = daily.rsplit("      SELECT r.", 1)
     y = repr(float(t.periods))
-    sql = f"""{head.rstrip()}, daily AS (SELECT r.{tail}),
-      series AS (SELECT 'long' AS series, d, long_ret AS ret, long_ret - benchmark AS excess, long_turnover AS turnover FROM daily
-        UNION ALL SELECT 'short', d, short_ret, short_ret - benchmark, short_turnover FROM daily
-        UNION ALL SELECT 'long_short', d, ls_ret, ls_ret, (long_turnover + short_turnover) / 2 FROM daily),
-      known AS (SELECT * FROM series WHERE ret IS NOT NULL),
-      means AS (SELECT series AS ms, CASE WHEN avg(ret) > 0 THEN 1 ELSE -1 END AS side FROM known GROUP BY series),
-      path AS (SELECT k.*, sum(m.side * k.ret) OVER (PARTITION BY k.series ORDER BY k.d ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS total FROM known k JOIN means m ON k.series = m.ms),
-      peaks AS (SELECT *, max(total) OVER (PARTITION BY series ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS peak FROM path),
-      under AS (SELECT *, total - peak AS dd, sum(CASE WHEN round(total - peak, 12) < 0 THEN 0 ELSE 1 END) OVER (PARTITION BY series ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM peaks),
-      islands AS (SELECT series AS se, max(days) AS longest FROM (SELECT series, island, sum(CASE WHEN round(dd, 12) < 0 THEN 1 ELSE 0 END) AS days FROM under GROUP BY series, island) q GROUP BY series),
-      stats AS (SELECT series, count(*) AS days, avg(ret) * {y} AS annual, avg(excess) * {y} AS annual_excess, CASE WHEN stddev_samp(ret) > 1E-12 THEN avg(ret) / stddev_samp(ret) * sqrt({y}) ELSE 0 END AS sharpe,
-        CASE WHEN stddev_samp(excess) > 1E-12 THEN avg(excess) / stddev_samp(excess) * sqrt({y}) ELSE 0 END AS excess_sharpe, min(dd) AS drawdown, avg(turnover) AS turnover FROM under GROUP BY series)
-      SELECT series, days, round(annual, 6) AS annual, round(annual_excess, 6) AS annual_excess, round(sharpe, 6) AS sharpe, round(excess_sharpe, 6) AS excess_sharpe, round(drawdown, 6) + 0.0E0 AS drawdown,
-        CAST(longest AS BIGINT) AS drawdown_days, round(turnover, 6) AS turnover, round(sharpe * sqrt(abs(annual) / greatest(turnover, 0.125E0)), 6) AS fitness FROM stats JOIN islands ON series = se"""
+    run = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+    choose = lambda a, b, c: f"CASE series WHEN 'long' THEN {a} WHEN 'short' THEN {b} ELSE {c} END"
+    under = "CASE WHEN round(total - peak, 12) < 0 THEN 1 ELSE 0 END"
+    sql = f"""SELECT series, days, round(annual, 6) AS annual, round(annual_excess, 6) AS annual_excess, round(sharpe, 6) AS sharpe, round(excess_sharpe, 6) AS excess_sharpe, round(drawdown, 6) + 0.0E0 AS drawdown,
+        CAST(longest AS BIGINT) AS drawdown_days, round(turnover, 6) AS turnover, round(sharpe * sqrt(abs(annual) / greatest(turnover, 0.125E0)), 6) AS fitness FROM (
+      SELECT series, count(*) AS days, avg(ret) * {y} AS annual, avg(excess) * {y} AS annual_excess, CASE WHEN stddev_samp(ret) > 1E-12 THEN avg(ret) / stddev_samp(ret) * sqrt({y}) ELSE 0 END AS sharpe,
+        CASE WHEN stddev_samp(excess) > 1E-12 THEN avg(excess) / stddev_samp(excess) * sqrt({y}) ELSE 0 END AS excess_sharpe, min(total - peak) AS drawdown, max(below) AS longest, avg(turnover) AS turnover FROM (
+        SELECT *, sum({under}) OVER (PARTITION BY series, island) AS below FROM (
+          SELECT *, sum(1 - {under}) OVER (PARTITION BY series ORDER BY d {run}) AS island FROM (
+            SELECT *, max(total) OVER (PARTITION BY series ORDER BY d {run}) AS peak FROM (
+              SELECT *, sum(side * ret) OVER (PARTITION BY series ORDER BY d {run}) AS total FROM (
+                SELECT *, CASE WHEN avg(ret) OVER (PARTITION BY series) > 0 THEN 1 ELSE -1 END AS side FROM (
+                  SELECT series, d, {choose('long_ret', 'short_ret', 'ls_ret')} AS ret, {choose('long_ret - benchmark', 'short_ret - benchmark', 'ls_ret')} AS excess,
+                    {choose('long_turnover', 'short_turnover', '(long_turnover + short_turnover) / 2')} AS turnover
+                  FROM ({daily}) daily CROSS JOIN (VALUES ('long'), ('short'), ('long_short')) names (series)) s WHERE ret IS NOT NULL) k) m) h) u) i GROUP BY series) q"""
     return sql, cols
 
 

@@ -24,9 +24,12 @@ DATE, NAME = "Datetime", "Contract"
 class Layers:
     """Expressions by depth. Subclasses fix the SQL functions in which engines differ."""
 
-    def __init__(self, columns: Sequence[str]):
+    def __init__(self, columns: Sequence[str], decimals: int | None = None):
+        """``decimals``: values are ordered as rounded to so many decimals. Left out, they are ordered as they are; a panel
+        whose results are held against another engine's sets it, since sums in another order differ in their last bits."""
         self.depth: dict[str, int] = {c: 0 for c in columns}
         self.sql: dict[str, str] = {}
+        self.decimals = decimals
 
     # Windows, as text.
     P = f"PARTITION BY {DATE}"
@@ -48,6 +51,10 @@ class Layers:
         self.sql[key] = expression
         return key
 
+    def ordering(self, x: str) -> str:
+        """What ``x`` is ordered by."""
+        return x if self.decimals is None else f"round({x}, {self.decimals})"
+
     def layers(self, wanted: Sequence[str] | None = None) -> list[list[str]]:
         """Names by depth, only those that ``wanted`` columns need."""
         need = set(self.sql if wanted is None else wanted)
@@ -88,7 +95,7 @@ class SparkFunctions:
 
     def selected_means(self, x: str, y: str, w: int, n: int) -> str:
         ok = f"{x} IS NOT NULL AND {y} IS NOT NULL"
-        rows = self.let(f"array_sort(collect_list(CASE WHEN {ok} THEN struct(round({y}, 9) AS y, {DATE} AS t, {x} AS x) END) OVER ({Layers.trailing(w)}))")
+        rows = self.let(f"array_sort(collect_list(CASE WHEN {ok} THEN struct({self.ordering(y)} AS y, {DATE} AS t, {x} AS x) END) OVER ({Layers.trailing(w)}))")
         mean = "aggregate({}, cast(0 AS double), (s, r) -> s + r.x) / " + str(n)
         return f"CASE WHEN size({rows}) >= {w} THEN {mean.format(f'slice({rows}, -{n}, {n})')} - {mean.format(f'slice({rows}, 1, {n})')} END"
 
@@ -102,7 +109,7 @@ class DuckFunctions:
 
     def selected_means(self, x: str, y: str, w: int, n: int) -> str:
         ok = f"{x} IS NOT NULL AND {y} IS NOT NULL"
-        rows = self.let(f"list_sort(list({{'y': round({y}, 9), 't': {DATE}, 'x': {x}}}) FILTER (WHERE {ok}) OVER ({Layers.trailing(w)}))")
+        rows = self.let(f"list_sort(list({{'y': {self.ordering(y)}, 't': {DATE}, 'x': {x}}}) FILTER (WHERE {ok}) OVER ({Layers.trailing(w)}))")
         mean = "list_sum(list_transform({}, lambda r: r.x)) / " + str(n)
         return f"CASE WHEN len({rows}) >= {w} THEN {mean.format(f'{rows}[-{n}:]')} - {mean.format(f'{rows}[:{n}]')} END"
 
@@ -112,8 +119,8 @@ class SparkPanel(SparkFunctions, Layers):
 
     dialect = "spark"
 
-    def __init__(self, df: DataFrame):
-        super().__init__(df.columns)
+    def __init__(self, df: DataFrame, decimals: int | None = None):
+        super().__init__(df.columns, decimals)
         self.base = df
 
     @property
@@ -144,8 +151,8 @@ class SqlText(DuckFunctions, Layers):
 
     dialect = "duckdb"
 
-    def __init__(self, base: str, table: str, columns: Sequence[str]):
-        super().__init__(columns)
+    def __init__(self, base: str, table: str, columns: Sequence[str], decimals: int | None = None):
+        super().__init__(columns, decimals)
         self.base, self.table = base, table
 
     def text(self, wanted: Sequence[str] | None = None) -> tuple[str, str]:

@@ -112,17 +112,39 @@ panel AS (
   FROM filled)"""
 
 
+#: Values of panels whose queries are held against a second engine are ordered to so many decimals.
+SHARED_DECIMALS = 9
+
+
 def weekly_panel(spark: SparkSession, sf_dir: str) -> SparkPanel:
-    """Suppliers by week: prices per unit, volume, amount, discount and tax, carried forward over weeks without lines; tradeable marks weeks with lines; label is the return over the next four weeks."""
-    for t in ("lineitem", "supplier", "nation"):
-        spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+    """Suppliers by week: prices per unit, volume, amount, discount and tax, carried forward over weeks without lines; tradeable marks weeks with lines; label is the return over the next four weeks.
+
+    Order lines are read and summed once. A supplier's weeks become one array, to which the calendar's other weeks are
+    added (the calendar is a subquery over one column), so that the dense grid needs no join and is dealt out by contract,
+    as the windows that follow want it.
+    """
     from quillon.plans.layers import SparkFunctions
 
-    return SparkPanel(spark.sql(f"WITH {_base(lambda x, o: SparkFunctions.last_known(None, x, o))} SELECT {', '.join(COLUMNS)} FROM panel"))
+    for t in ("lineitem", "supplier", "nation"):
+        spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+    cells = [f"{f}0" for f in FIELDS]
+    empty = ", ".join(f"'{c}', CAST(NULL AS DOUBLE)" for c in cells)
+    weeks = _WEEKS[: _WEEKS.index("grid AS")].strip().rstrip(",")
+    other = f"transform(array_except(calendar, transform(known, k -> k.{DATE})), d -> named_struct('{DATE}', d, {empty}, 'lines', CAST(NULL AS BIGINT)))"
+    over = f"PARTITION BY {NAME} ORDER BY {DATE} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+    filled = ", ".join(f"{SparkFunctions.last_known(None, c, over)} AS {f}" for f, c in zip(FIELDS, cells, strict=True))
+    sql = f"""WITH {weeks},
+      held AS (SELECT {NAME}, collect_list(named_struct('{DATE}', {DATE}, {", ".join(f"'{c}', CAST({c} AS DOUBLE)" for c in cells)}, 'lines', lines)) AS known FROM weeks GROUP BY {NAME}),
+      dense AS (SELECT {NAME}, inline(concat(known, {other})) FROM (SELECT *, (SELECT collect_set(date_trunc('week', l_shipdate)) FROM lineitem) AS calendar FROM held) h),
+      cells AS (SELECT w.{DATE}, w.{NAME}, 'r' || CAST(n.n_regionkey AS VARCHAR(9)) AS industry, w.lines IS NOT NULL AS tradeable, {", ".join(f"w.{c}" for c in cells)}, w.lines
+        FROM dense w LEFT JOIN supplier s ON w.{NAME} = s.s_suppkey LEFT JOIN nation n ON s.s_nationkey = n.n_nationkey),
+      filled AS (SELECT {DATE}, {NAME}, industry, tradeable, {filled}, lines FROM cells)
+      SELECT {", ".join(COLUMNS)} FROM (SELECT *, round(lead(price, 4) OVER (PARTITION BY {NAME} ORDER BY {DATE}) / price - 1 + 1.3E-8, 5) AS label, round(ln(1 + amount) + 1.3E-8, 5) AS size FROM filled) panel"""
+    return SparkPanel(spark.sql(sql), SHARED_DECIMALS)
 
 
 def weekly_text() -> SqlText:
     """The same panel as SQL text for the second engine."""
     from quillon.plans.layers import DuckFunctions
 
-    return SqlText(_base(lambda x, o: DuckFunctions.last_known(None, x, o)), "panel", COLUMNS)
+    return SqlText(_base(lambda x, o: DuckFunctions.last_known(None, x, o)), "panel", COLUMNS, SHARED_DECIMALS)

@@ -282,8 +282,12 @@ _metric("mt17_windows", lambda p: (f"""WITH d AS (SELECT {DATE}, row_number() OV
   SELECT CAST((i - 105) / 26 AS BIGINT) AS w, {DATE} AS test_start, i - 5 AS train_end FROM d WHERE i >= 105 AND (i - 105) % 26 = 0 AND i + 25 <= n""", ["price"]))
 
 # Portfolios.
-_metric("pl1_5_group_returns", lambda p: pl.group_returns(p, factor_of(p), "label"), lambda s: s.rsplit("SELECT ", 1)[0] + f"SELECT {DATE}, g, members, round(gross + 1.3E-10, 6) + 0.0E0 AS gross, round(turnover + 1.3E-10, 6) AS turnover, round(gross - turnover * {pl.Trading().cost!r} + 1.3E-10, 6) + 0.0E0 AS net FROM v")
-_metric("pl6_7_long_short", lambda p: pl.long_short(p, factor_of(p), "label"), lambda s: s.rsplit("SELECT r.", 1)[0].rstrip() + ", o AS (SELECT r." + s.rsplit("SELECT r.", 1)[1] + f") SELECT {DATE}, " + ", ".join(f"round({c} + 1.3E-10, 6) + 0.0E0 AS {c}" for c in ("long_ret", "short_ret", "ls_ret", "benchmark", "long_turnover")) + " FROM o")
+def _six(*columns: str) -> str:
+    return ", ".join(f"round({c} + 1.3E-10, 6) + 0.0E0 AS {c}" for c in columns)
+
+
+_metric("pl1_5_group_returns", lambda p: pl.group_returns(p, factor_of(p), "label"), lambda s: f"SELECT {DATE}, g, members, {_six('gross', 'turnover', 'net')} FROM ({s}) out")
+_metric("pl6_7_long_short", lambda p: pl.long_short(p, factor_of(p), "label"), lambda s: f"SELECT {DATE}, {_six('long_ret', 'short_ret', 'ls_ret', 'benchmark', 'long_turnover')} FROM ({s}) out")
 _metric("pl8_11_performance", lambda p: pl.performance(p, factor_of(p), "label"))
 
 # Summaries.
