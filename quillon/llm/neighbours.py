@@ -49,6 +49,17 @@ class ProductIndex:
         return np.sqrt(np.maximum(out, 0))
 
 
+    def probes(self, x: np.ndarray, radius: float, between: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(home list of each vector, which lists may hold a vector within the radius of it). ``between``: distances of the centres.
+
+        A vector within the radius is no nearer to the home centre than to its own, y; moving there changes the difference
+        of squared distances to the two centres by 2 * radius * |between them| at most, so a list with a larger gap has none.
+        """
+        d = distances(x, self.centres)
+        home = d.argmin(1)
+        return home, d - d[np.arange(len(x)), home][:, None] <= 2 * radius * between[home] + 1e-9
+
+
 def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Squared distances of all rows of x to all rows of y."""
     return np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * (x @ y.T), 0)
@@ -78,7 +89,7 @@ def fit_index(unit: np.ndarray, lists: int, seed: int = 5) -> ProductIndex:
 
 
 def matrix(column) -> np.ndarray:
-    """A list<float> column of equal lengths as doubles."""
+    """A list<float> or list<double> column of equal lengths as doubles."""
     a = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return np.asarray(a.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(a), -1) if len(a) else np.zeros((0, 1))
 
@@ -92,20 +103,18 @@ def unit_rows(x: np.ndarray) -> np.ndarray:
 def entries(classes: DataFrame, index: ProductIndex, radius: float) -> DataFrame:
     """(list, query, rep, mult, codes, missed, v): each vector as a member of its list and as a query of all lists it probes."""
     shared = classes.sparkSession.sparkContext.broadcast(index)
+    stored = dict(classes.dtypes)["embedding"]
+    kind = pa.list_(pa.float64() if stored == "array<double>" else pa.float32())
 
     def run(batches):
         ix = shared.value
         between = np.sqrt(distances(ix.centres, ix.centres))
-        # A member within the radius is no nearer to the home centre than to its own, so this gap misses none.
         for batch in batches:
             x = unit_rows(matrix(batch.column(2)))
             if not len(x):
                 continue
-            d = distances(x, ix.centres)
-            home = d.argmin(1)
+            home, probes = ix.probes(x, radius, between)
             codes, missed = ix.encode(x - ix.centres[home])
-            gap = d - d[np.arange(len(x)), home][:, None]
-            probes = gap <= 2 * radius * between[home] + 1e-9
             q, lists = np.nonzero(probes)
             raw = batch.column(2)
             at = np.concatenate([np.arange(len(x)), q])
@@ -118,11 +127,11 @@ def entries(classes: DataFrame, index: ProductIndex, radius: float) -> DataFrame
                     "mult": batch.column(1).take(pa.array(at)),
                     "codes": pa.array([c.tobytes() for c in codes] + [None] * len(q), pa.binary()),
                     "missed": pa.array(np.concatenate([missed, np.zeros(len(q))]), pa.float64()),
-                    "v": raw.take(pa.array(at)).cast(pa.list_(pa.float32())),
+                    "v": raw.take(pa.array(at)).cast(kind),
                 }
             )
 
-    return classes.select("rep", "mult", "embedding").mapInArrow(run, "list int, query boolean, rep long, mult long, codes binary, missed double, v array<float>")
+    return classes.select("rep", "mult", "embedding").mapInArrow(run, f"list int, query boolean, rep long, mult long, codes binary, missed double, v {stored}")
 
 
 def list_links(index: ProductIndex, centre: np.ndarray, codes: np.ndarray, missed: np.ndarray, members: np.ndarray, queries: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -211,15 +220,19 @@ def embedding_components(vectors: DataFrame, threshold: float = 0.95, id_col: st
     n_links counts the other vectors found with cosine >= ``threshold`` (equal vectors among them), component_id is the
     smallest id reachable by links, kept marks it. Vectors that are null or zero, or hold null or non-finite components,
     link with nothing, as do rows without an id, which are kept; vectors of different length don't link. Equal vectors are
-    looked up once. An empty table gives no rows.
+    looked up once. An empty table gives no rows. Cosines are taken in double precision, of components as they are stored:
+    floats as floats, anything else as doubles. Ties need no rule, as all links of a vector count. Of other columns only
+    ``id_col`` and ``embedding`` are read, so their names can't clash.
     """
     spark = vectors.sparkSession
     configure(spark)
-    x = F.col("embedding")
+    stored = "array<float>" if dict(vectors.dtypes)["embedding"] == "array<float>" else "array<double>"
+    vectors = vectors.select(F.col(id_col), F.col("embedding"))
+    x = F.col("embedding").cast("array<double>")
     odd = F.exists(x, lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf")))
-    good = x.isNotNull() & F.col("vec_id").isNotNull() & ~F.coalesce(odd, F.lit(True)) & F.exists(x, lambda e: e != 0)
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"))
-    rows = rows.withColumn("good", F.coalesce(good, F.lit(False))).withColumn("k1", F.xxhash64("embedding")).withColumn("k2", F.xxhash64(F.lit(1), F.reverse("embedding"), F.size("embedding")))
+    good = x.isNotNull() & F.col(id_col).isNotNull() & ~F.coalesce(odd, F.lit(True)) & F.exists(x, lambda e: e != 0)
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.coalesce(good, F.lit(False)).alias("good"), F.col("embedding").cast(stored).alias("embedding"))
+    rows = rows.withColumn("k1", F.xxhash64("embedding")).withColumn("k2", F.xxhash64(F.lit(1), F.reverse("embedding"), F.size("embedding")))
     classes = rows.where("good").groupBy("k1", "k2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("mult"), F.min_by("embedding", "vec_id").alias("embedding"))
     classes = materialise(classes, "vectors")
     results = []
