@@ -77,14 +77,8 @@ def coverage_sql(p: Layers, factor: str, label: str) -> tuple[str, list[str]]:
     return (f"SELECT round(avg(c), 6) AS coverage, count(*) AS days FROM (SELECT count({x}) * 1.0E0 / sum(CASE WHEN tradeable THEN 1 ELSE 0 END) AS c FROM {{panel}} GROUP BY {DATE} HAVING sum(CASE WHEN tradeable THEN 1 ELSE 0 END) > 0) q", [x])
 
 
-def ndcg_sql(p: Layers, factor: str, label: str, k: int | None = None, fraction: float = 0.1, bins: int = 10, own_bins: bool = True) -> tuple[str, list[str]]:
-    """Daily NDCG at k, or at max(1, ceil(names * fraction)).
-
-    ``own_bins``: relevance is the quantile bin, from 0, of a name among all labels of the date, by position; otherwise
-    floor((average rank - 1) * bins / n) among names with factor and label, which are two at least. Gains are
-    2 ** relevance - 1, discounts log2(place + 1); ties by contract; dates without any gain are left out.
-    """
-    x, y = masked(p, factor, label)
+def ndcg_columns(p: Layers, x: str, y: str, k: int | None = None, fraction: float = 0.1, bins: int = 10, own_bins: bool = True) -> tuple[str, ...]:
+    """(known, place by factor, place by gain, gain, places that count) of masked factor and label."""
     fx, fy = joint(p, x, y)
     if own_bins:
         ok = p.let(f"CASE WHEN {y} IS NOT NULL THEN 1 ELSE 0 END")
@@ -102,6 +96,17 @@ def ndcg_sql(p: Layers, factor: str, label: str, k: int | None = None, fraction:
     best = p.let(f"row_number() OVER (PARTITION BY {DATE} ORDER BY {known} DESC, {gain} DESC, {NAME})")
     m = p.let(f"count({fx}) OVER (PARTITION BY {DATE})")
     at = p.let(f"least({k}, {m})" if k else f"greatest(1, ceil({m} * {fraction}))")
+    return known, place, best, gain, at
+
+
+def ndcg_sql(p: Layers, factor: str, label: str, k: int | None = None, fraction: float = 0.1, bins: int = 10, own_bins: bool = True) -> tuple[str, list[str]]:
+    """Daily NDCG at k, or at max(1, ceil(names * fraction)).
+
+    ``own_bins``: relevance is the quantile bin, from 0, of a name among all labels of the date, by position; otherwise
+    floor((average rank - 1) * bins / n) among names with factor and label, which are two at least. Gains are
+    2 ** relevance - 1, discounts log2(place + 1); ties by contract; dates without any gain are left out.
+    """
+    known, place, best, gain, at = ndcg_columns(p, *masked(p, factor, label), k, fraction, bins, own_bins)
     part = lambda i: f"sum(CASE WHEN {i} <= {at} THEN {gain} / (ln({i} + 1) / ln(2.0E0)) ELSE 0 END)"
     inner = f"SELECT {DATE}, {part(place)} AS dcg, {part(best)} AS idcg FROM {{panel}} WHERE {known} = 1 GROUP BY {DATE} HAVING count(*) >= {1 if own_bins else 2}"
     return f"SELECT {DATE}, round(dcg / idcg, 6) AS ndcg FROM ({inner}) q WHERE idcg > 0", [known, place, best, gain, at]
@@ -112,12 +117,16 @@ def quantile_bin(i: str, n: str, g: str) -> str:
     return f"CASE WHEN {n} > 1 THEN greatest(0, ceil(({i} - 1) * {g} * 1.0E0 / ({n} - 1)) - 1) ELSE 0 END"
 
 
-def turnover_sql(p: Layers, factor: str, k: int | None = None, fraction: float = 0.1) -> tuple[str, list[str]]:
-    """Mean of half the summed weight changes of an equally weighted top set, over pairs of dates where both have one."""
-    x = masks.tradeable_only(p, factor)
+def turnover_columns(p: Layers, x: str, k: int | None = None, fraction: float = 0.1) -> tuple[str, str]:
+    """(weight in the equally weighted top set, weight one date before) of a masked factor."""
     top = masks.top_k(p, x, k, fraction)
     w = p.let(f"{top} / CASE WHEN sum({top}) OVER (PARTITION BY {DATE}) > 0 THEN sum({top}) OVER (PARTITION BY {DATE}) END")
-    before = p.let(f"lag({w}) OVER (PARTITION BY {NAME} ORDER BY {DATE})")
+    return w, p.let(f"lag({w}) OVER (PARTITION BY {NAME} ORDER BY {DATE})")
+
+
+def turnover_sql(p: Layers, factor: str, k: int | None = None, fraction: float = 0.1) -> tuple[str, list[str]]:
+    """Mean of half the summed weight changes of an equally weighted top set, over pairs of dates where both have one."""
+    w, before = turnover_columns(p, masks.tradeable_only(p, factor), k, fraction)
     return f"SELECT round(avg(t), 6) AS turnover, count(*) AS pairs FROM (SELECT {DATE}, sum(abs({w} - {before})) / 2 AS t FROM {{panel}} WHERE {w} IS NOT NULL AND {before} IS NOT NULL GROUP BY {DATE}) q", [w, before]
 
 

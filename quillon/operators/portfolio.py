@@ -90,6 +90,22 @@ def performance(p: Layers, factor: str, label: str, t: Trading = Trading()) -> t
     return sql, cols
 
 
+def top_set_return(p: Layers, factor: str, label: str, t: Trading = Trading()) -> tuple[str, list[str]]:
+    """One row: annualised net return of the ceil(names / groups) best names, held equally, over sampled dates with two names or more; turnover against the sampled date before that had any."""
+    x, y = masks.tradeable_only(p, factor), masks.tradeable_only(p, label)
+    ok = p.let(f"CASE WHEN {x} IS NOT NULL AND {y} IS NOT NULL THEN 1 ELSE 0 END")
+    i = p.let(f"row_number() OVER (PARTITION BY {DATE} ORDER BY {ok} DESC, {p.ordering(x)} DESC, {NAME})")
+    n = p.let(f"sum({ok}) OVER (PARTITION BY {DATE})")
+    number = p.let(f"row_number() OVER (PARTITION BY {NAME} ORDER BY {DATE})")
+    held = p.let(f"CASE WHEN {ok} = 1 AND {i} <= ceil({n} * 1.0E0 / {t.groups}) THEN 1 ELSE 0 END")
+    sql = f"""SELECT count(*) AS dates, round(avg(net) * {float(t.periods)!r} + 1.3E-10, 6) + 0.0E0 AS annual FROM (
+      SELECT d, gross - CASE WHEN held0 IS NULL THEN 0 ELSE (held + held0 - 2 * stayed) / (2.0E0 * held) END * {t.cost!r} AS net FROM (
+        SELECT d, held, gross, stayed, lag(held) OVER (ORDER BY d) AS held0 FROM (
+          SELECT d, sum(held) AS held, avg(CASE WHEN held = 1 THEN ret END) AS gross, sum(held * coalesce(before, 0)) AS stayed FROM (
+            SELECT ({number} - 1) / {t.every} AS d, {held} AS held, {y} AS ret, lag({held}) OVER (PARTITION BY {NAME} ORDER BY {number}) AS before FROM {{panel}} WHERE ({number} - 1) % {t.every} = 0 AND {n} >= 2) s GROUP BY d) g) h) r"""
+    return sql, [x, y, ok, i, n, number, held]
+
+
 def top_fraction_groups(fraction: float) -> int:
     """Groups that make the top one a given fraction: max(2, round(1 / fraction)); 5 for a fraction that isn't in (0, 1)."""
     return max(2, round(1 / fraction)) if 0 < fraction < 1 else 5

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.plans.layers import DATE, NAME
@@ -56,17 +56,56 @@ def _corr(a: str, b: str) -> str:
     return f"CASE WHEN count({x}) >= 3 AND var_pop({x}) > 1E-14 AND var_pop({y}) > 1E-14 THEN covar_pop({x}, {y}) / (sqrt(var_pop({x})) * sqrt(var_pop({y}))) END"
 
 
-def neutralise_dynamic(df: DataFrame, factor: str, styles: Sequence[str], threshold: float = 0.3, most: int = 2, into: str = "residual") -> tuple[DataFrame, list[str]]:
-    """Residual on the ``most`` styles whose |mean correlation| passes the threshold, and their names; unchanged without any."""
+def standardise(df: DataFrame, columns: Sequence[str], where: str = "TRUE") -> DataFrame:
+    """Columns as z-scores of each date over the rows that ``where`` keeps; missing elsewhere and on dates without spread."""
+    w = Window.partitionBy(DATE)
+    for c in columns:
+        x = F.when(F.expr(where), F.col(c))
+        s = F.stddev_samp(x).over(w)
+        df = df.withColumn(c, F.when(s > 1e-8, (x - F.avg(x).over(w)) / (s + 1e-8)))
+    return df
+
+
+def require_styles(styles: Sequence[str], groups: bool, mode: str = "full", number: int = 10) -> str | None:
+    """What full neutralisation lacks: its exact number of styles, or the groups; None if nothing, or if the mode isn't full."""
+    if mode != "full":
+        return None
+    if len(styles) != number:
+        return f"full neutralisation needs {number} styles, not {len(styles)}"
+    return None if groups else "full neutralisation needs groups"
+
+
+def neutralise_dynamic(df: DataFrame, factor: str, styles: Sequence[str], threshold: float = 0.3, most: int = 2, into: str = "residual", restandardise: bool = False) -> tuple[DataFrame, list[str]]:
+    """Residual on the ``most`` styles whose |mean correlation| passes the threshold, and their names; unchanged without any.
+
+    ``restandardise`` takes styles as z-scores over the names that have the factor, whatever scale they come in; the panel
+    keeps them as they were.
+    """
+    if restandardise:
+        names = [f"_z_{s}" for s in styles]
+        d = standardise(df.withColumns({z: F.col(s) for z, s in zip(names, styles, strict=True)}), names, f"{factor} IS NOT NULL")
+        out, picked = neutralise_dynamic(d, factor, names, threshold, most, into)
+        return out.drop(*names), [p.removeprefix("_z_") for p in picked]
     corr = style_correlations(df, factor, styles)
     picked = [s for s in sorted(styles, key=lambda s: (-corr[s], s)) if corr[s] > threshold][:most]
     return (residuals(df, factor, picked, into=into) if picked else df.withColumn(into, F.col(factor))), picked
 
 
-def neutralise_full(df: DataFrame, factor: str, styles: Sequence[str], group: str = "industry", jointly: bool = True, into: str = "residual") -> DataFrame:
-    """Residual on all styles and the groups: jointly (styles and factor demeaned by group first), or styles first, group means after."""
+def neutralise_full(df: DataFrame, factor: str, styles: Sequence[str], group: str = "industry", jointly: bool = True, into: str = "residual", restandardise: bool = False, ridge: float = 1e-6) -> DataFrame:
+    """Residual on all styles and the groups: jointly (styles and factor demeaned by group first), or styles first, group means after.
+
+    Only rows with factor, group and all styles count. ``restandardise`` takes styles as z-scores over those rows; a style
+    without spread on a date is 0 there and takes nothing out.
+    """
+    if restandardise:
+        names = [f"_z_{s}" for s in styles]
+        known = " AND ".join(f"{c} IS NOT NULL" for c in (factor, group, *styles))
+        d = standardise(df.withColumns({z: F.col(s) for z, s in zip(names, styles, strict=True)}), names, known)
+        d = d.withColumns({z: F.when(F.expr(known), F.coalesce(F.col(z), F.lit(0.0))) for z in names})
+        return neutralise_full(d, factor, names, group, jointly, into, ridge=ridge).drop(*names)
     if not jointly:
-        d = residuals(df, factor, styles, into="_r")
+        known = F.expr(" AND ".join(f"{c} IS NOT NULL" for c in (group, *styles)))
+        d = residuals(df.withColumn("_y", F.when(known, F.col(factor))), "_y", styles, ridge, "_r").drop("_y")
         mean = F.avg("_r").over(_by(group))
         return d.withColumn(into, F.when(F.col(group).isNotNull(), F.col("_r") - mean)).drop("_r")
     known = F.expr(" AND ".join(f"{c} IS NOT NULL" for c in (factor, group, *styles)))
@@ -74,12 +113,19 @@ def neutralise_full(df: DataFrame, factor: str, styles: Sequence[str], group: st
     for c in (factor, *styles):
         v = F.when(known, F.col(c))
         d = d.withColumn(f"_{c}", v - F.avg(v).over(_by(group)))
-    return residuals(d, f"_{factor}", [f"_{s}" for s in styles], into=into).drop(*[f"_{c}" for c in (factor, *styles)])
+    return residuals(d, f"_{factor}", [f"_{s}" for s in styles], ridge, into).drop(*[f"_{c}" for c in (factor, *styles)])
 
 
-def _by(group: str):
-    from pyspark.sql import Window
+def size_neutral(df: DataFrame, factor: str, size: str = "market_cap", logged: bool | None = None, into: str = "residual", ridge: float = 1e-6) -> DataFrame:
+    """Residual on size. Only a field named market_cap is taken as its signed logarithm, unless told; a field that isn't there is an error."""
+    if size not in df.columns:
+        raise KeyError(f"no size field {size!r}")
+    take = size == "market_cap" if logged is None else logged
+    x = F.signum(size) * F.log1p(F.abs(F.col(size))) if take else F.col(size)
+    return residuals(df.withColumn("_size", x), factor, ["_size"], ridge, into).drop("_size")
 
+
+def _by(group: str):
     return Window.partitionBy(DATE, group)
 
 

@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 
 @dataclass(frozen=True)
@@ -99,3 +101,16 @@ def elites(objectives: Sequence[Sequence[float]], n: int, cost: Sequence[float]
 def penalised(objectives: Sequence[Sequence[float]], sizes: Sequence[int], weight: float = 0.001) -> list[list[float]]:
     """Objectives less a charge for size."""
     return [[x - weight * s for x in o] for o, s in zip(objectives, sizes, strict=True)]
+
+
+def crowding_by_front(candidates: DataFrame, front: str, objectives: Sequence[str], key: str, into: str = "crowding") -> DataFrame:
+    """Candidates with the summed relative distance of their neighbours in every objective of their front; ends are infinite, ties go by key. Windows are dealt out by front."""
+    total = F.lit(0.0)
+    everything = Window.partitionBy(front)
+    for o in objectives:
+        w = Window.partitionBy(front).orderBy(o, key)
+        before, after = F.lag(o).over(w), F.lead(o).over(w)
+        width = F.max(o).over(everything) - F.min(o).over(everything)
+        part = F.when(width > 0, (after - before) / width).otherwise(0.0)
+        total = total + F.when(F.row_number().over(w) == 1, float("inf")).when(F.row_number().over(Window.partitionBy(front).orderBy(F.desc(o), F.desc(key))) == 1, float("inf")).otherwise(part)
+    return candidates.withColumn(into, total)

@@ -87,6 +87,10 @@ def rounded(column: str, keys: Sequence[str] = (DATE, NAME)) -> str:
 
 
 class SparkFunctions:
+    def quantile_of(self, x: str, q: float) -> str:
+        """An aggregate: the quantile, linear between values."""
+        return f"percentile({x}, {q})"
+
     def percentile(self, x: str, q: float, over: str) -> str:
         return f"percentile({x}, {q}) OVER ({over})"
 
@@ -101,6 +105,9 @@ class SparkFunctions:
 
 
 class DuckFunctions:
+    def quantile_of(self, x: str, q: float) -> str:
+        return f"quantile_cont({x}, {q})"
+
     def percentile(self, x: str, q: float, over: str) -> str:
         return f"quantile_cont({x}, {q}) OVER ({over})"
 

@@ -55,6 +55,26 @@ def validate_panel(df: DataFrame, strict: bool = True) -> bool:
     return True
 
 
+def validate_wide(df: DataFrame, strict: bool = True) -> bool:
+    """A wide table: one timestamp Datetime, never null and unique, times of day not all midnight, every other column a number. Raises if ``strict``."""
+
+    def fail(why: str) -> bool:
+        if strict:
+            raise PanelError(why)
+        return False
+
+    kinds = dict(df.dtypes)
+    if not kinds.get(DATE, "").startswith("timestamp"):
+        return fail(f"a wide table has a timestamp {DATE}")
+    odd = [c for c, t in kinds.items() if c != DATE and t not in ("tinyint", "smallint", "int", "bigint", "float", "double")]
+    if odd or len(kinds) < 2:
+        return fail(f"columns that are no numbers: {odd}" if odd else "no contracts")
+    r = df.agg(F.count("*").alias("n"), F.count_distinct(DATE).alias("d"), F.max((F.date_trunc("day", DATE) != F.col(DATE)).cast("int")).alias("timed")).first()
+    if r["n"] != r["d"]:
+        return fail("dates must be there and unique")
+    return fail("times need a time of day") if r["timed"] == 0 else True
+
+
 def clean(df: DataFrame) -> DataFrame:
     """NaN and infinite values as null, in every floating column."""
     return df.select(*[F.when(~F.isnan(c) & (F.abs(F.col(c)) != float("inf")), F.col(c)).alias(c) if t in ("float", "double") else F.col(c) for c, t in df.dtypes])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from quillon.functions import cross_section as cs
@@ -223,6 +223,7 @@ MODES = {
     "anchor_momentum": Mode(("price_anchor", "price_momentum", "flow_confirm?", "orderbook_filter?"), 1, ("anchor_confirm", "confirm", "gated_confirm")),
     "disposition_anchor": Mode(("cost_anchor", "price_momentum", "fund_support?"), 1, ("residual_gap", "rank_gap", "anchor_confirm")),
 }
+#: Slots that count as risk or as confirmation, and slots that a confirming combiner doesn't add again.
 RISK_SLOTS = ("crowding_signal", "retail_flow", "close_chase", "price_momentum", "attention_heat", "liquidity_stress", "turnover_shock")
 CONFIRM_SLOTS = ("fund_support", "large_flow", "flow_confirm", "fund_anchor", "growth_anchor")
 PRIMARY_SLOTS = ("fund_anchor", "flow_confirm", "price_anchor", "price_momentum")
@@ -284,6 +285,20 @@ def combine(p: Layers, combiner: str, v: Mapping[str, str], crowding_weight: flo
     raise ValueError(f"unknown combiner {combiner!r}")
 
 
+#: Names of a universe of several industries, and of one.
+MANY_INDUSTRIES = {"all", "all_industries", "all-industry", "multi", "multiple"}
+
+
+def neutralise_industry(scope: str | Sequence[str] | None) -> bool:
+    """Whether factors of a universe should be freed of industries: for all or several of them, not for one or none."""
+    if scope is None:
+        return False
+    if isinstance(scope, str):
+        return scope.strip().lower() in MANY_INDUSTRIES
+    names = {str(x).strip().lower() for x in scope} - {""}
+    return len(names) > 1 or bool(names & MANY_INDUSTRIES)
+
+
 @dataclass(frozen=True)
 class Neutral:
     """What is taken out of a factor, in order: "size" (residual) and "industry" (group means)."""

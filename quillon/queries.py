@@ -16,9 +16,12 @@ from quillon.functions import masks
 from quillon.functions import pointwise as pw
 from quillon.functions import time_series as ts
 from quillon.functions.registry import OPERATORS
+from quillon.operators import compare as cmp
 from quillon.operators import features as fe
 from quillon.operators import metrics as mt
 from quillon.operators import portfolio as pl
+from quillon.operators import recipes as rc
+from quillon.operators import scorer as sc
 from quillon.plans import templates as tp
 from quillon.plans.layers import DATE, NAME, Layers
 from quillon.plans.panel import weekly_panel, weekly_text
@@ -248,6 +251,41 @@ _features("fe29_shocks", lambda p: fe.shocks(p, "price", "high", "low", "volume"
 _features("fe30_31_composites", lambda p: {"overheat": fe.overheat(p, ["price", "volume", "size", "tax"]), "flow_price": fe.divergence(p, ts.ts_sum(p, "volume", 5), ts.pct_change(p, "price", 5))})
 
 
+def _made_up(p: Layers, names: list[str]) -> None:
+    """Base columns the order tables don't have, as sums of those they have: no two alike, all with gaps where prices have them."""
+    for i, n in enumerate(names):
+        p.let(f"price * {0.001 * (1 + i % 7)!r} + volume * {0.01 * (1 + i % 5)!r} - discount * {1.0 + i % 11!r} + tax * {0.5 + i % 3!r} + {(i * 37) % 101!r}E-2", n)
+
+
+def _recipes(p: Layers) -> dict[str, str]:
+    names = [n for k in ("growth", "valuation", "structure", "operating", "cash_flow") for n in rc.CATALOGUES[k]]
+    _made_up(p, [*names, "interest_bearing_debt_to_asset_ratio_ttm", "inventory_turnover_ttm_global_rank"])
+    return rc.derive(p)
+
+
+def _technical(p: Layers) -> dict[str, str]:
+    _made_up(p, rc.TECHNICAL)
+    return rc.derive(p)
+
+
+def _flows(p: Layers) -> dict[str, str]:
+    _made_up(p, [*[f"{side}_{s}_{unit}" for unit in ("amount", "vol") for side in ("buy", "sell") for s in rc.SIZES], "mf_net_amount"])
+    return rc.money_flow(p)
+
+
+def _cross(p: Layers) -> dict[str, str]:
+    _flows(p)
+    p.let("volume / 1000", "Turnover")
+    out = rc.price_volume(p, "price", "high", "low", "amount", "volume", "Turnover")
+    _made_up(p, ["ob_imbalance_5_close30_mean", "ob_net_bid_change_5_close30_mean", "ob_close_chase_pressure", "ob_liquidity_stress"])
+    return out | rc.derive(p)
+
+
+_features("fe4_13_recipes", _recipes)
+_features("fe14_20_technical", _technical)
+_features("fe21_24_flows", _flows)
+_features("fe29_31_cross", _cross)
+
 # Metrics, of the mean of five ranks.
 def factor_of(p: Layers) -> str:
     return ts.ts_meanrank(p, "price", 5)
@@ -282,6 +320,15 @@ _metric("mt17_windows", lambda p: (f"""WITH d AS (SELECT {DATE}, row_number() OV
   SELECT CAST((i - 105) / 26 AS BIGINT) AS w, {DATE} AS test_start, i - 5 AS train_end FROM d WHERE i >= 105 AND (i - 105) % 26 = 0 AND i + 25 <= n""", ["price"]))
 
 # Portfolios.
+_metric("pl12_top_set", lambda p: pl.top_set_return(p, factor_of(p), "label"))
+_metric("mt19_comparison", lambda p: cmp.comparison_sql(p, p.let("label * 100"), p.let("CASE WHEN volume > 10 THEN label * 101 + discount END")))
+
+# The whole bundle of metrics in one plan.
+_metric("mt12_bundle", lambda p: sc.bundle_sql(p, factor_of(p), "label"))
+_metric("mt13_bundle_neutral", lambda p: sc.bundle_sql(p, factor_of(p), "label", sc.ScorerConfig(steps=("size", "industry"))))
+_metric("mt14_bundle_program", lambda p: sc.bundle_sql(p, compile_program(p, Program(PROGRAMS["fp_momentum"])), "label", sc.ScorerConfig(mt.PROGRAM, 5, bins=5, own_bins=False, direction=-1)))
+
+
 def _six(*columns: str) -> str:
     return ", ".join(f"round({c} + 1.3E-10, 6) + 0.0E0 AS {c}" for c in columns)
 
@@ -311,15 +358,15 @@ def on_spark(build: Build) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from quillon import table_queries
+    from quillon import library_queries, table_queries
 
-    return {k: on_spark(f) for k, f in PANEL.items()} | table_queries.queries()
+    return {k: on_spark(f) for k, f in PANEL.items()} | table_queries.queries() | library_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    from quillon import table_queries
+    from quillon import library_queries, table_queries
 
-    return {k: f(weekly_text()) for k, f in PANEL.items()} | table_queries.oracle_sql()
+    return {k: f(weekly_text()) for k, f in PANEL.items()} | table_queries.oracle_sql() | library_queries.ORACLES
 
 
 OPERATOR_NAMES = tuple(OPERATORS)

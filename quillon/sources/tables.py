@@ -2,29 +2,71 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import json
 from collections.abc import Sequence
+from functools import reduce
 from pathlib import Path
 
 import pyarrow.feather
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.plans.layers import DATE, NAME
+from quillon.plans.panel import validate_panel
 
 
-def read_table(spark: SparkSession, path: str, kind: str | None = None, encoding: str = "UTF-8") -> DataFrame:
-    """A table by its suffix or ``kind``: parquet, csv or feather. Pickles are refused, as reading them runs code."""
+def read_table(spark: SparkSession, path: str, kind: str | None = None, encoding: str = "UTF-8", schema: str | None = None) -> DataFrame:
+    """A table by its suffix or ``kind``: parquet, csv or feather. Pickles are refused, as reading them runs code.
+
+    A csv without a ``schema`` is read once more to infer one. Feather files are for small tables: they pass the driver.
+    """
     kind = (kind or path.rsplit(".", 1)[-1]).lower()
     if kind in ("parquet", "pq"):
         return spark.read.parquet(path)
     if kind == "csv":
-        return spark.read.option("header", True).option("inferSchema", True).option("encoding", encoding).csv(path)
+        reader = spark.read.option("header", True).option("encoding", encoding)
+        return reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
     if kind in ("feather", "ipc", "arrow"):
         return spark.createDataFrame(pyarrow.feather.read_table(path))
     raise ValueError(f"can't read {kind!r}")
 
 
+def read_panel(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
+    """A panel: a table whose keys are there, typed, never null and unique. Rows are in no order; windows sort what they need."""
+    d = read_table(spark, path, kind)
+    validate_panel(d)
+    return d
+
+
+def read_results(spark: SparkSession, path: str, encodings: Sequence[str] = ("UTF-8", "GBK")) -> DataFrame:
+    """A table of search results. Of csv files the first encoding is taken in which no text has replacement characters; a byte order mark is dropped."""
+    for e in encodings:
+        d = read_table(spark, path, encoding=e)
+        if not path.endswith(".csv"):
+            return d
+        d = d.toDF(*[c.lstrip("\ufeff") for c in d.columns])
+        broken = [F.col(f"`{c}`").contains("\ufffd") for c, t in d.dtypes if t == "string"]
+        if "\ufffd" not in "".join(d.columns) and (not broken or d.where(reduce(lambda a, b: a | b, broken)).isEmpty()):
+            return d
+    return d
+
+
+def read_ticks(spark: SparkSession, path: str, fields: Sequence[str], start: str, end: str, date: str = DATE) -> DataFrame:
+    """Keys and fields of an external tick store between two days, both included; the bounds reach the scan."""
+    at = F.col(date)
+    return spark.read.parquet(path).where((at >= F.lit(start).cast("timestamp")) & (at < F.lit(end).cast("timestamp") + F.expr("INTERVAL 1 DAY"))).select(date, NAME, *fields)
+
+
+def read_parts(spark: SparkSession, pattern: str, columns: Sequence[str] | None = None) -> DataFrame:
+    """All files of a pattern as one panel: columns that some lack are missing there, and of rows with one key the one of the last file by name stays."""
+    d = spark.read.option("mergeSchema", True).parquet(pattern)
+    keep = [c for c in d.columns if columns is None or c in (DATE, NAME, *columns)]
+    w = Window.partitionBy(DATE, NAME).orderBy(F.col("_file").desc())
+    return d.select(*keep, F.input_file_name().alias("_file")).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_file")
+
+
 def wide_to_long(df: DataFrame, value: str, date: str | None = None) -> DataFrame:
     """Rows (Datetime, Contract, value) of a table with a column per contract; missing cells stay."""
     names = {c.lower(): c for c in df.columns}
@@ -62,11 +104,40 @@ def write_panel(df: DataFrame, path: str, kind: str = "parquet") -> None:
     writer.option("compression", "zstd").parquet(path) if kind == "parquet" else writer.option("header", True).csv(path)
 
 
-def write_months(df: DataFrame, path: str) -> None:
-    """A panel partitioned by month; months in ``df`` are replaced, others stay."""
+def month_ranges(start: dt.date, end: dt.date) -> list[tuple[dt.date, dt.date]]:
+    """First and last day of each month between two days, both included."""
+    out, cur = [], start
+    while cur <= end:
+        following = (cur.replace(day=1) + dt.timedelta(days=32)).replace(day=1)
+        out.append((cur, min(end, following - dt.timedelta(days=1))))
+        cur = following
+    return out
+
+
+def write_months(df: DataFrame, path: str, skip_existing: bool = False) -> None:
+    """A panel partitioned by month; months in ``df`` are replaced, others stay. ``skip_existing`` leaves months alone that are there already, so that a run can be taken up again."""
+    if skip_existing:
+        try:
+            there = df.sparkSession.read.parquet(path).select(F.col("ym").cast("string")).distinct()
+            df = df.join(F.broadcast(there.withColumnRenamed("ym", "_there")), F.date_format(DATE, "yyyyMM") == F.col("_there"), "left_anti")  # a row a month
+        except AnalysisException:
+            pass
     df.withColumn("ym", F.date_format(DATE, "yyyyMM")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("ym").parquet(path)
 
 
+def write_results(results: DataFrame, config: dict, path: str) -> None:
+    """A search's ranked rows as one csv file, and its settings as JSON next to it."""
+    results.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{path}/results")
+    results.sparkSession.createDataFrame([(json.dumps(config, sort_keys=True, default=str),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/config")
+
+
+def write_built(panel: DataFrame, profile: DataFrame, metadata: dict, path: str) -> None:
+    """A panel as zstd parquet, its profile as csv and its metadata as JSON."""
+    write_panel(panel, f"{path}/panel")
+    profile.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{path}/coverage")
+    panel.sparkSession.createDataFrame([(json.dumps(metadata, ensure_ascii=False, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/metadata")
+
+
 def read_rules(path: str) -> dict:
     return json.loads(Path(path).read_text(encoding="utf-8"))
 
