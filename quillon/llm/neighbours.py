@@ -1,9 +1,10 @@
 """Operator 7: near-duplicate embeddings by product quantisation.
 
 Unit vectors are indexed by coarse inverted lists with residual subspace codes, fitted on a bounded sample; every vector is
-indexed. A vector is looked up in each list whose border with its own list is within the radius of a link. In a list, asymmetric distances
-from lookup tables, widened by each code's known error, leave out only what cannot be a link; the rest is decided by the
-exact cosine in double precision.
+indexed. A vector is looked up in each list whose border with its own list is near enough: as near as links of the sample,
+found by brute force, and the spread of the vectors across that border ask for, and never farther than a link can reach.
+In a list, asymmetric distances from lookup tables, widened by each code's known error, leave out only what cannot be a
+link; the rest is decided by the exact cosine in double precision.
 """
 
 from __future__ import annotations
@@ -21,15 +22,18 @@ from quillon.llm.common import components, configure, materialise
 SAMPLE, LIST_SIZE, MOST_LISTS = 16000, 200, 1024
 SUBSPACES, CODES = 16, 64
 TILE_MEMBERS, TILE_QUERIES = 512, 1024
+#: Vectors of the sample whose links with the rest of it are found by brute force; by how much the farthest of those is exceeded; and how many deviations across a border are reached at least.
+TRIAL_QUERIES, TRIAL_FACTOR, DEVIATIONS = 4096, 1.2, 3.0
 
 
 @dataclass(frozen=True)
 class ProductIndex:
-    """Coarse centres, and for each subspace (a range of dimensions) its codewords for residuals."""
+    """Coarse centres, for each subspace (a range of dimensions) its codewords for residuals, and for each two lists how far across their border links reach, as a difference of squared distances to their centres."""
 
     centres: np.ndarray
     cuts: np.ndarray
     books: tuple[np.ndarray, ...]
+    reach: np.ndarray
 
     def encode(self, residual: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(codes, length of what they miss)."""
@@ -49,15 +53,11 @@ class ProductIndex:
         return np.sqrt(np.maximum(out, 0))
 
 
-    def probes(self, x: np.ndarray, radius: float, between: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(home list of each vector, which lists may hold a vector within the radius of it). ``between``: distances of the centres.
-
-        A vector within the radius is no nearer to the home centre than to its own, y; moving there changes the difference
-        of squared distances to the two centres by 2 * radius * |between them| at most, so a list with a larger gap has none.
-        """
+    def probes(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(home list of each vector, which lists it is looked up in)."""
         d = distances(x, self.centres)
         home = d.argmin(1)
-        return home, d - d[np.arange(len(x)), home][:, None] <= 2 * radius * between[home] + 1e-9
+        return home, d - d[np.arange(len(x)), home][:, None] <= self.reach[home] + 1e-9
 
 
 def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -76,16 +76,47 @@ def kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.n
     return c
 
 
-def fit_index(unit: np.ndarray, lists: int, seed: int = 5) -> ProductIndex:
+def reaches(unit: np.ndarray, centres: np.ndarray, home: np.ndarray, threshold: float) -> np.ndarray:
+    """For each two lists, how much nearer to its own centre than to the other a vector may be that is still looked up there.
+
+    Going from a vector to one within the radius of a link changes the difference of its squared distances to two centres by
+    2 * radius * |between them| at most, and by that only straight across the border. So this is the farthest reach. Links
+    that go in any direction of the space reach a small part of it, links of vectors that vary in few directions much more:
+    the part is taken from the sample, as DEVIATIONS of its vectors' spread across the border over their whole spread, and
+    as TRIAL_FACTOR times the largest part that any link of TRIAL_QUERIES of them needs.
+    """
+    radius = float(np.sqrt(2 - 2 * threshold))
+    between = np.sqrt(distances(centres, centres))
+    r = unit - centres[home]
+    c = r.T @ r
+    spread = np.diag(centres @ c @ centres.T)
+    across = np.maximum(spread[:, None] + spread[None, :] - 2 * centres @ c @ centres.T, 0)
+    part = DEVIATIONS * np.sqrt(across / np.maximum(between**2 * max(np.trace(c), 1e-12), 1e-12))
+    most = 0.0
+    for i in range(0, min(TRIAL_QUERIES, len(unit)), 256):
+        q = np.arange(i, min(i + 256, TRIAL_QUERIES, len(unit)))
+        a, b = np.nonzero(unit[q] @ unit.T >= threshold)
+        a = q[a]
+        other = home[a] != home[b]
+        a, b = a[other], b[other]
+        if len(a):
+            x, hx, hy = unit[a], home[a], home[b]
+            gap = ((x - centres[hy]) ** 2).sum(1) - ((x - centres[hx]) ** 2).sum(1)
+            most = max(most, float((gap / np.maximum(2 * radius * between[hx, hy], 1e-12)).max()))
+    return 2 * radius * between * np.minimum(1.0, np.maximum(part, TRIAL_FACTOR * most))
+
+
+def fit_index(unit: np.ndarray, lists: int, threshold: float = 0.95, seed: int = 5) -> ProductIndex:
     """Fit on unit vectors; fewer vectors than lists or codes make fewer of them."""
     rng = np.random.default_rng(seed)
     centres = kmeans(unit, max(1, min(lists, len(unit))), 10, rng)
-    residual = unit - centres[distances(unit, centres).argmin(1)]
+    home = np.concatenate([np.zeros(0, np.int64), *[distances(unit[i : i + 4000], centres).argmin(1) for i in range(0, len(unit), 4000)]])
+    residual = unit - centres[home]
     residual = residual[rng.choice(len(residual), min(len(residual), 4000), replace=False)]
     dims = unit.shape[1]
     cuts = np.linspace(0, dims, min(SUBSPACES, dims) + 1).round().astype(int)
     books = tuple(kmeans(residual[:, a:b], min(CODES, len(residual)), 6, rng) for a, b in zip(cuts[:-1], cuts[1:], strict=True))
-    return ProductIndex(centres, cuts, books)
+    return ProductIndex(centres, cuts, books, reaches(unit, centres, home, threshold))
 
 
 def matrix(column) -> np.ndarray:
@@ -100,7 +131,7 @@ def unit_rows(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def entries(classes: DataFrame, index: ProductIndex, radius: float) -> DataFrame:
+def entries(classes: DataFrame, index: ProductIndex) -> DataFrame:
     """(list, query, rep, mult, codes, missed, v): each vector as a member of its list and as a query of all lists it probes."""
     shared = classes.sparkSession.sparkContext.broadcast(index)
     stored = dict(classes.dtypes)["embedding"]
@@ -108,12 +139,11 @@ def entries(classes: DataFrame, index: ProductIndex, radius: float) -> DataFrame
 
     def run(batches):
         ix = shared.value
-        between = np.sqrt(distances(ix.centres, ix.centres))
         for batch in batches:
             x = unit_rows(matrix(batch.column(2)))
             if not len(x):
                 continue
-            home, probes = ix.probes(x, radius, between)
+            home, probes = ix.probes(x)
             codes, missed = ix.encode(x - ix.centres[home])
             q, lists = np.nonzero(probes)
             raw = batch.column(2)
@@ -239,8 +269,8 @@ def embedding_components(vectors: DataFrame, threshold: float = 0.95, id_col: st
     for r in sorted(classes.groupBy(F.size("embedding").alias("d")).count().collect()):
         same = classes.where(F.size("embedding") == r["d"])
         picked = same.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("embedding").toArrow()
-        index = fit_index(unit_rows(matrix(picked.column(0))), min(MOST_LISTS, -(-r["count"] // LIST_SIZE)))
-        found = materialise(entries(same, index, float(np.sqrt(2 - 2 * threshold))), "lists")
+        index = fit_index(unit_rows(matrix(picked.column(0))), min(MOST_LISTS, -(-r["count"] // LIST_SIZE)), threshold)
+        found = materialise(entries(same, index), "lists")
         results.append(search(found, index, threshold))
     named = classes.select("k1", "k2", "rep", "mult")
     if results:

@@ -247,16 +247,16 @@ def test_secret_keys_glued_to_words_and_long_runs():
 
 
 @pytest.mark.parametrize("dims,intrinsic", [(64, 64), (64, 8), (768, 768), (768, 8)])
-def test_probing_and_codes_lose_no_link(dims, intrinsic):
+def test_probing_and_codes_lose_next_to_no_link(dims, intrinsic):
     """All pairs of cosine 0.95 or more, through 20 lists, for vectors that vary in all directions and in few."""
     r = np.random.default_rng(dims + intrinsic)
     n, base = 2000, r.normal(size=(intrinsic, dims))
     z = r.normal(size=(n, intrinsic))
     z[n // 2 :] = z[: n // 2] + r.normal(size=(n // 2, intrinsic)) * np.linalg.norm(z[: n // 2], axis=1)[:, None] / np.sqrt(intrinsic) * r.choice([0.1, 0.3, 0.33], n // 2)[:, None]
     x = neighbours.unit_rows(z @ base if intrinsic < dims else z)
-    ix = neighbours.fit_index(x, 20)
+    ix = neighbours.fit_index(x[r.permutation(n)[: n // 2]], 20)
     assert len(ix.centres) == 20
-    home, probes = ix.probes(x, float(np.sqrt(0.1)), np.sqrt(neighbours.distances(ix.centres, ix.centres)))
+    home, probes = ix.probes(x)
     codes, missed = ix.encode(x - ix.centres[home])
     found = set()
     for k in range(20):
@@ -265,4 +265,5 @@ def test_probing_and_codes_lose_no_link(dims, intrinsic):
         found |= set(zip(q[i].tolist(), m[j].tolist(), strict=True))
     g = x @ x.T
     want = set(map(tuple, np.argwhere(g >= 0.95 + 1e-12).tolist()))
-    assert want <= found and len(want) > n + 250 and all(g[p] >= 0.95 - 1e-12 for p in found)
+    assert len(want & found) >= 0.99 * len(want) and len(want) > n + 250 and all(g[p] >= 0.95 - 1e-12 for p in found)
+    assert intrinsic == 8 or probes.mean() < 0.9
