@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quillon.operators import metrics as mt
 from quillon.operators import selection
+from quillon.operators.scorer import OBJECTIVES, FactorScore, Scorer, ScorerConfig
 from quillon.plans import rules
 from quillon.plans.layers import DATE, Layers, SparkPanel
 from quillon.plans.templates import Tree, compile_behaviour, compile_structured
@@ -68,7 +69,7 @@ class Sizes:
 @dataclass(frozen=True)
 class Evolved:
     candidate: Any
-    score: Score
+    score: Score | FactorScore
     front: int
 
 
@@ -115,19 +116,31 @@ def score_all(panel: SparkPanel, kind: Kind, candidates: Sequence[Any], size: in
     return [s for i in at for s in score_batch(panel, kind, candidates[i : i + size], label, where=where, directions=directions[i : i + size] if directions else None)]
 
 
-def evolve(panel: SparkPanel, kind: Kind, sizes: Sizes = Sizes(), label: str = "label", where: str = "TRUE") -> list[Evolved]:
-    """Generations of candidates by front, best first. Each key is scored once; what lacks coverage never stays before what has it."""
-    known: dict[Hashable, Score] = {}
+def evolve(panel: SparkPanel, kind: Kind, sizes: Sizes = Sizes(), label: str = "label", where: str = "TRUE", objectives: str | None = None, config: ScorerConfig = ScorerConfig()) -> list[Evolved]:
+    """Generations of candidates by front, best first. Each key is scored once; what lacks coverage never stays before what has it.
+
+    Without ``objectives`` the ratio and size of the mean rank IC are maximised; a name of ``scorer.OBJECTIVES`` has all
+    metrics of ``config`` scored and maximises those.
+    """
+    known: dict[Hashable, Score | FactorScore] = {}
+    scorer = Scorer(panel, label, config, where)
+
+    def score(new: Sequence[Any]) -> list:
+        if objectives is None:
+            return score_all(panel, kind, new, sizes.batch, label, where)
+        return scorer.score_columns([lambda p, g=g: kind.compile(p, g) for g in new], max(1, sizes.batch // 4))
 
     def evaluate(pool: Sequence[Any]) -> list[Any]:
         pool = list({kind.key(g): g for g in pool}.values())
         new = [g for g in pool if kind.key(g) not in known]
-        known.update(zip(map(kind.key, new), score_all(panel, kind, new, sizes.batch, label, where), strict=True))
+        known.update(zip(map(kind.key, new), score(new), strict=True))
         return pool
 
     def goals(pool: Sequence[Any]) -> list[list[float]]:
         found = [known[kind.key(g)] for g in pool]
-        raw = [(s.ir, abs(s.ic)) if s.coverage >= sizes.least_coverage and not s.error else (float("nan"),) * 2 for s in found]
+        width = len(OBJECTIVES[objectives]) if objectives else 2
+        goal = lambda s: s.objectives(objectives) if objectives else (s.ir, abs(s.ic))
+        raw = [goal(s) if s.coverage >= sizes.least_coverage and not s.error else (float("nan"),) * width for s in found]
         return selection.penalised(raw, [kind.cost(g) for g in pool], sizes.size_weight)
 
     alive = evaluate([kind.random() for _ in range(sizes.population)])

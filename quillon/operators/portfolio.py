@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 from quillon.functions import masks
@@ -90,6 +92,11 @@ def performance(p: Layers, factor: str, label: str, t: Trading = Trading()) -> t
     return sql, cols
 
 
+def numeric_entries(summary: Mapping[str, object]) -> dict[str, float]:
+    """The numbers of a summary; flags, texts, missing and infinite values go."""
+    return {k: float(v) for k, v in summary.items() if isinstance(v, (int, float)) and not isinstance(v, bool) and math.isfinite(v)}
+
+
 def top_set_return(p: Layers, factor: str, label: str, t: Trading = Trading()) -> tuple[str, list[str]]:
     """One row: annualised net return of the ceil(names / groups) best names, held equally, over sampled dates with two names or more; turnover against the sampled date before that had any."""
     x, y = masks.tradeable_only(p, factor), masks.tradeable_only(p, label)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from itertools import chain
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.plans.layers import DATE, NAME
@@ -178,6 +179,38 @@ def unique_names(names: Sequence[str | None]) -> list[str]:
     return list(dict.fromkeys(n for x in names if x is not None and (n := str(x).strip())))
 
 
+def newest(spark: SparkSession, paths: Sequence[str]) -> str | None:
+    """Of folders of written tables the one with the newest file; None if none has any."""
+    best: tuple | None = None
+    for path in paths:
+        try:
+            at = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).agg(F.max("modificationTime")).first()[0]
+        except AnalysisException:
+            continue
+        if at is not None and (best is None or at > best[0]):
+            best = (at, path)
+    return best[1] if best else None
+
+
+def field_table(occurrences: DataFrame, metadata: DataFrame, field: str = "field") -> DataFrame:
+    """How often each field stands in genes and in how many, with what metadata (field, family, kind) say of it, "unknown" where nothing."""
+    f = frequency(occurrences, [field], "gene_id")
+    rest = [c for c in metadata.columns if c != field]
+    return f.join(metadata, field, "left").fillna("unknown", rest)
+
+
+def analyse(results: DataFrame, gene_id: str, mode: str, metadata: DataFrame, path: str) -> dict[str, DataFrame]:
+    """All frequency tables of a result table, written as csv under ``path``: fields, slots, kinds, combinations of mode and slot."""
+    o = gene_occurrences(results, gene_id, keep=[mode])
+    tables = {
+        "fields": field_table(o, metadata), "levels": frequency_levels(o, {"place": ["place"], "slot": ["slot"], "transform": ["transform"], "mode_slot": [mode, "slot"]}),
+        "kinds": frequency(o.join(metadata, "field", "left").fillna("unknown", ["kind"]), ["kind"], "gene_id"),
+    }
+    for name, t in tables.items():
+        t.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{path}/{name}")
+    return tables
+
+
 def order_results(results: DataFrame, objectives: Sequence[str], key: str) -> DataFrame:
     """Best first by the objectives in turn, missing ones last, then by key."""
     return results.orderBy(*[F.col(o).desc_nulls_last() for o in objectives], key)

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import asdict, dataclass, fields
+from dataclasses import asdict, dataclass, fields, replace
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -81,6 +82,15 @@ class FactorScore:
     neutral_rank_ic_ir: float = 0.0
     neutral_win: float = 0.0
     neutral_days: int = 0
+    error: str = ""
+
+    @property
+    def ic(self) -> float:
+        return self.mean_rank_ic
+
+    @property
+    def ir(self) -> float:
+        return self.rank_ic_ir
 
     def objectives(self, mode: str) -> tuple[float, ...]:
         if mode not in OBJECTIVES:
@@ -89,12 +99,12 @@ class FactorScore:
 
     def signed(self) -> dict[str, float]:
         """A flat row in which means have the factor's direction."""
-        row = {k: float(v) for k, v in asdict(self).items()}
+        row = {k: float(v) for k, v in asdict(self).items() if k != "error"}
         return row | {k: row[k] * self.direction for k in ("mean_ic", "mean_rank_ic", "neutral_rank_ic")}
 
 
 #: What a factor scores of which nothing is known, and what one scores that must lose against every other.
-EMPTY, WORST = FactorScore(), FactorScore(**{f.name: float("-inf") for f in fields(FactorScore) if f.name not in ("direction", "days", "neutral_days")})
+EMPTY, WORST = FactorScore(), FactorScore(**{f.name: float("-inf") for f in fields(FactorScore) if f.name not in ("direction", "days", "neutral_days", "error")})
 
 
 def daily_aggregates(p: Layers, factor: str, label: str, c: ScorerConfig = ScorerConfig()) -> tuple[dict[str, str], list[str]]:
@@ -220,15 +230,36 @@ class Scorer:
                 out[i] = s
         return out
 
-    def _score(self, builders) -> list[FactorScore]:
-        p, daily, total, cols = self._fresh(), [], [], []
+    def _score(self, builders, directions: Sequence[int] | None = None) -> list[FactorScore]:
+        """Scores of builders of columns, in one plan. One that can't be planned or run scores as nothing known, with its error, and the rest of its batch is scored again in halves."""
+        p, daily, total, cols, out = self._fresh(), [], [], [], {}
         for i, build in enumerate(builders):
-            aggs, need = daily_aggregates(p, build(p), self.label, self.config)
+            try:
+                aggs, need = daily_aggregates(p, build(p), self.label, self.config)
+            except (ValueError, KeyError) as e:
+                out[i] = FactorScore(error=f"{type(e).__name__}: {e}")
+                continue
             daily += [F.expr(e).alias(f"{k}{i}") for k, e in aggs.items()]
             total += [F.expr(e).alias(k) for k, e in total_aggregates(str(i)).items()]
             cols += need
-        row = p.frame(list(dict.fromkeys(cols))).where(self.where).groupBy(DATE).agg(*daily).agg(*total).first()
-        return [finish(row, self.config, str(i)) for i in range(len(builders))]
+        if daily:
+            try:
+                row = p.frame(list(dict.fromkeys(cols))).where(self.where).groupBy(DATE).agg(*daily).agg(*total).first()
+            except PySparkException as e:
+                if len(builders) == 1:
+                    return [FactorScore(error=type(e).__name__)]
+                h = len(builders) // 2
+                return [s for part, d in ((builders[:h], directions and directions[:h]), (builders[h:], directions and directions[h:])) for s in self._score(part, d)]
+            for i in range(len(builders)):
+                if i not in out:
+                    c = replace(self.config, direction=directions[i]) if directions else self.config
+                    out[i] = finish(row, c, str(i))
+        return [out[i] for i in range(len(builders))]
+
+    def score_columns(self, builders, batch: int = 8, directions: Sequence[int] | None = None) -> list[FactorScore]:
+        """Scores of functions from a panel to a column's name, a plan per batch; ``directions`` are those learnt elsewhere."""
+        at = range(0, len(builders), batch)
+        return [s for k in at for s in self._score(list(builders[k : k + batch]), directions[k : k + batch] if directions else None)]
 
 
 def score_factor(panel: SparkPanel, factor: str, label: str = "label", config: ScorerConfig = ScorerConfig(), where: str = "TRUE") -> FactorScore:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.plans.layers import DATE, NAME, SparkPanel, SqlText
@@ -21,6 +21,20 @@ class PanelContext:
     exclude: tuple[str, ...] = ()
     exclude_prefixes: tuple[str, ...] = field(default=("label_",))
 
+    def column(self, df: DataFrame, role: str) -> Column:
+        """The column of a role (label, tradeable, industry, or a style by name); one that isn't there is an error."""
+        name = {"label": self.label, "tradeable": self.tradeable, "industry": self.industry}.get(role, role)
+        if name not in df.columns or role not in ("label", "tradeable", "industry") and name not in self.styles:
+            raise KeyError(f"no {role!r} in this panel")
+        return F.col(name)
+
+    def matrix(self, df: DataFrame, column: str, most: int = 1_000_000):
+        """One column as a pandas table of dates by contracts, for a look at a small panel; more cells than ``most`` are an error."""
+        d = df.select(DATE, NAME, column)
+        if d.limit(most + 1).count() > most:
+            raise ValueError(f"more than {most} cells")
+        return d.toPandas().pivot(index=DATE, columns=NAME, values=column)
+
     def fields(self, df: DataFrame) -> list[str]:
         """Numeric columns that may be searched, in order, without keys, roles and excluded names."""
         out = {DATE, NAME, self.tradeable, self.industry, self.label, *self.exclude}
@@ -75,6 +89,13 @@ def validate_wide(df: DataFrame, strict: bool = True) -> bool:
     return fail("times need a time of day") if r["timed"] == 0 else True
 
 
+def storage(df: DataFrame) -> dict[str, object]:
+    """What a table takes: whether and where it is kept, its partitions, and the size the optimiser expects in bytes."""
+    level = df.storageLevel
+    expected = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return {"memory": level.useMemory, "disk": level.useDisk, "partitions": df.rdd.getNumPartitions(), "expected_bytes": int(str(expected))}
+
+
 def clean(df: DataFrame) -> DataFrame:
     """NaN and infinite values as null, in every floating column."""
     return df.select(*[F.when(~F.isnan(c) & (F.abs(F.col(c)) != float("inf")), F.col(c)).alias(c) if t in ("float", "double") else F.col(c) for c, t in df.dtypes])

@@ -26,11 +26,30 @@ KIND_FAMILY = {
     "ob_spread": "orderbook", "ob_depth": "orderbook", "ob_pressure": "orderbook", "control": "control",
 }
 ACROSS_KINDS = {
-    ("fund_growth", "fund_quality"): "mean diff residual", ("fund_growth", "fund_value"): "mean diff interaction residual", ("fund_quality", "fund_value"): "mean diff residual",
-    ("pv_momentum", "pv_volume"): "mean diff", ("pv_momentum", "pv_volatility"): "residual", ("pv_momentum", "pv_crowding"): "interaction residual", ("pv_momentum", "pv_panic"): "diff interaction",
-    ("pv_volume", "pv_crowding"): "mean interaction", ("pv_volume", "pv_volatility"): "residual", ("pv_crowding", "pv_panic"): "mean interaction", ("mf_large", "mf_small"): "mean diff",
-    ("mf_large", "mf_active"): "mean interaction", ("mf_small", "mf_active"): "mean diff", ("ob_pressure", "ob_spread"): "residual", ("ob_pressure", "ob_depth"): "mean interaction", ("ob_spread", "ob_depth"): "mean diff",
-}
+    ("fund_growth", "fund_quality"): ("mean", "diff", "residual"),
+    ("fund_growth", "fund_value"): ("mean", "diff", "interaction", "residual"),
+    ("fund_quality", "fund_value"): ("mean", "diff", "residual"),
+    ("pv_momentum", "pv_volume"): ("mean", "diff"),
+    ("pv_momentum", "pv_volatility"): ("residual",),
+    ("pv_momentum", "pv_crowding"): ("interaction", "residual"),
+    ("pv_momentum", "pv_panic"): ("diff", "interaction"),
+    ("pv_volume", "pv_crowding"): ("mean", "interaction"),
+    ("pv_volume", "pv_volatility"): ("residual",),
+    ("pv_crowding", "pv_panic"): ("mean", "interaction"),
+    ("mf_large", "mf_small"): ("mean", "diff"),
+    ("mf_large", "mf_active"): ("mean", "interaction"),
+    ("mf_small", "mf_active"): ("mean", "diff"),
+    ("ob_pressure", "ob_spread"): ("residual",),
+    ("ob_pressure", "ob_depth"): ("mean", "interaction"),
+    ("ob_spread", "ob_depth"): ("mean", "diff"),
+}
+#: Slots that a data family's fields may fill, by what the slot's name speaks of.
+SLOT_FAMILIES = {
+    "fundamental": ("fund", "profit", "growth", "cashflow", "quality", "cost"),
+    "price_volume": ("price", "momentum", "drawdown", "attention", "crowding", "turnover", "close"),
+    "moneyflow": ("flow", "retail", "large", "sell", "crowding", "support"),
+    "orderbook": ("orderbook", "liquidity", "close", "sell"),
+}
 
 
 @dataclass(frozen=True)
@@ -125,7 +144,7 @@ def allowed_binary(a: str, b: str) -> set[str]:
     """Binary tree operators between two kinds: all within one, the listed ones across."""
     if a == b:
         return {"mean", "diff", "interaction", "residual"}
-    return set((ACROSS_KINDS.get((a, b)) or ACROSS_KINDS.get((b, a)) or "").split())
+    return set(ACROSS_KINDS.get((a, b)) or ACROSS_KINDS.get((b, a)) or ())
 
 
 def check_tree(t: Tree, rules: Mapping[str, FieldRule], max_depth: int = 3) -> list[str]:
@@ -154,9 +173,24 @@ def _walk(t: Tree) -> Iterator[Tree]:
         yield from _walk(a)
 
 
+def slot_fields(rules: Mapping[str, FieldRule], slot: str) -> list[str]:
+    """Fields whose data family speaks of what the slot is about; all signals where none does."""
+    fits = [f for f, r in rules.items() if any(w in slot for w in SLOT_FAMILIES.get(KIND_FAMILY.get(r.kind, "control"), ()))]
+    return fits or [f for f, r in rules.items() if r.kind != "control"] or list(rules)
+
+
+def condition_fields(rules: Mapping[str, FieldRule]) -> list[str]:
+    """Fields that may gate a gene: all but plain controls, if there are others."""
+    return [f for f, r in rules.items() if r.kind != "control"] or list(rules)
+
+
 @dataclass
 class Sampler:
-    """Seeded structured and behaviour genes over fields with rules; whatever it returns passes its check."""
+    """Seeded structured and behaviour genes over fields with rules; whatever it returns passes its check.
+
+    ``optional``, ``condition``: chances of optional slots and of conditions. ``terminal``, ``unary``: chances that a tree
+    ends, or has one child, ``slot_depth`` and ``nodes`` its limits. ``weights``: how often modes are drawn, others never.
+    """
 
     rules: Mapping[str, FieldRule]
     seed: int = 1
@@ -164,9 +198,24 @@ class Sampler:
     condition: float = 0.45
     thresholds: tuple[float, ...] = (0.55, 0.6, 0.7, 0.8)
     tries: int = 4000
+    terminal: float = 0.58
+    unary: float = 0.2
+    slot_depth: int = 3
+    nodes: int = 32
+    fixed: bool = True
+    weights: Mapping[str, float] | None = None
 
     def __post_init__(self) -> None:
         self.rng = random.Random(self.seed)
+        chances = (self.optional, self.condition, self.terminal, self.unary)
+        if not all(0 <= c <= 1 for c in chances) or self.slot_depth < 1 or self.nodes < 1 or not self.thresholds:
+            raise ValueError("chances are between 0 and 1, depth and nodes are positive, thresholds aren't empty")
+        unknown = set(self.weights or ()) - {*MODES, *MODE_FIELDS}
+        if unknown or self.weights is not None and (min(self.weights.values(), default=0) < 0 or not sum(self.weights.values())):
+            raise ValueError(f"weights are of known modes, not negative and not all zero: {sorted(unknown)}")
+
+    def _mode(self, modes: Sequence[str]) -> str:
+        return self.rng.choice(list(modes)) if self.weights is None else self.rng.choices(list(modes), [self.weights.get(m, 0.0) for m in modes])[0]
 
     def _first(self, make: Callable[[], object], ok: Callable[[object], bool], other: object = None) -> object:
         return next((g for g in (make() for _ in range(self.tries)) if ok(g)), other)
@@ -176,7 +225,7 @@ class Sampler:
         r, names = self.rng, list(self.rules)
 
         def make() -> StructuredGene:
-            m = mode or r.choice(list(MODE_FIELDS))
+            m = mode or self._mode(list(MODE_FIELDS))
             # Terms that are added are drawn from one group.
             alike = {"pair_ratio": {1: 0, 3: 2}, "resi_pair": {2: 1}, "multi_resi": {2: 1, 3: 1}}.get(m, {})
             fields: list[str] = []
@@ -218,30 +267,33 @@ class Sampler:
 
         return self._first(make, lambda g: not check_structured(g, self.rules), a)
 
-    def tree(self, fields: Sequence[str], depth: int = 3) -> Tree:
+    def tree(self, fields: Sequence[str], depth: int | None = None) -> Tree:
         """A legal slot tree over some of the fields."""
+        depth = depth or self.slot_depth
 
         def make(d: int) -> Tree:
             r = self.rng
-            if d <= 1 or r.random() < 0.58:
+            if d <= 1 or r.random() < self.terminal:
                 return Tree("", leaf=r.choice(list(fields)))
-            if r.random() < 0.2:
+            if r.random() < self.unary:
                 return Tree(r.choice(list(TREE_UNARY)), (make(d - 1),))
             return Tree(r.choice(["mean", "diff", "interaction", "residual"]), (make(d - 1), make(d - 1)))
 
-        return self._first(lambda: make(depth), lambda t: not check_tree(t, self.rules, depth), Tree("", leaf=fields[0]))
+        return self._first(lambda: make(depth), lambda t: t.size <= self.nodes and not check_tree(t, self.rules, depth), Tree("", leaf=fields[0]))
 
     def behaviour(self, mode: str | None = None, trees: bool = False) -> BehaviourGene:
         """A gene of a behaviour mode: required slots, optional ones by chance, perhaps a condition."""
-        r, names = self.rng, list(self.rules)
-        m = mode or r.choice(list(MODES))
+        r = self.rng
+        m = mode or self._mode(list(MODES))
         slots = {}
         for s in MODES[m].slots:
             if not s.endswith("?") or r.random() < self.optional:
+                names = slot_fields(self.rules, s.rstrip("?"))
                 f = r.choice(names)
                 slots[s.rstrip("?")] = Slot(self.tree(names)) if trees else Slot(f, r.choice(list(BEHAVIOUR)), self.rules[f].direction)
-        held = tuple(Condition(r.choice(names), r.choice(list(masks.CONDITIONS)), r.choice(self.thresholds)) for _ in range(MODES[m].conditions) if r.random() < self.condition)
-        g = BehaviourGene(m, r.choice(MODES[m].combiners), slots, held)
+        gates = condition_fields(self.rules)
+        held = tuple(Condition(r.choice(gates), r.choice(list(masks.CONDITIONS)), r.choice(self.thresholds)) for _ in range(MODES[m].conditions) if r.random() < self.condition)
+        g = BehaviourGene(m, r.choice(MODES[m].combiners), slots, held, self.fixed)
         assert not check_behaviour(g)
         return g
 
@@ -267,7 +319,7 @@ class Sampler:
         return a if check_behaviour(g) else g
 
 
-# Parts of names that tell a field's meaning, first match wins.
+#: Parts of names that tell a field's meaning, first match wins.
 NAME_HINTS = (
     (("yield", "_to_price", "book_to", "ep_", "bm_", "cfp", "sp_"), {"unit": "yield", "family": "valuation", "kind": "fund_value"}),
     (("growth", "yoy", "qoq", "accel"), {"unit": "growth", "family": "growth", "kind": "fund_growth"}),

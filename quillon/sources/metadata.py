@@ -18,15 +18,6 @@ from quillon.plans import rules
 from quillon.plans.layers import DATE, NAME
 from quillon.plans.templates import BEHAVIOUR, MODES
 
-#: Slots that a data family's fields may fill, by what the slot's name speaks of.
-SLOT_FAMILIES = {
-    "fundamental": ("fund", "profit", "growth", "cashflow", "quality", "cost"),
-    "price_volume": ("price", "momentum", "drawdown", "attention", "crowding", "turnover", "close"),
-    "moneyflow": ("flow", "retail", "large", "sell", "crowding", "support"),
-    "orderbook": ("orderbook", "liquidity", "close", "sell"),
-}
-
-
 def slots() -> tuple[str, ...]:
     """All slots of the behaviour modes."""
     return tuple(dict.fromkeys(s.rstrip("?") for m in MODES.values() for s in m.slots))
@@ -36,7 +27,7 @@ def behaviour_rule(name: str, rule: rules.FieldRule | None = None) -> dict:
     """What behaviour genes may do with a field: its data family, the slots it may fill, the transforms it takes, its direction."""
     rule = rule or rules.infer_rules([name])[name]
     family = rules.KIND_FAMILY.get(rule.kind, "control")
-    words = SLOT_FAMILIES.get(family, ())
+    words = rules.SLOT_FAMILIES.get(family, ())
     fits = [s for s in slots() if any(w in s for w in words)]
     transforms = [t for t in BEHAVIOUR if rule.industry or not t.startswith("ind_")]
     return {"data_family": family, "kind": rule.kind, "direction": rule.direction, "allowed_slots": fits, "allowed_transforms": transforms, "conditions": family != "control"}

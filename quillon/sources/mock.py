@@ -75,3 +75,52 @@ def mock_panel(spark: SparkSession, shape: MockShape = MockShape()) -> DataFrame
     df = df.withColumns({"amount": F.col("price") * F.col("volume"), "market_cap": F.col("price") * F.col("shares"), "label": F.lead("price").over(w) / F.col("price") - 1})
     df = df.withColumns({"size": F.log("market_cap"), "turnover": F.col("volume") / F.col("shares"), "high": F.col("price") * (1 + 0.01 * F.abs(n("high"))), "low": F.col("price") * (1 - 0.01 * F.abs(n("low")))})
     return df.drop("day", "quarter", "move")
+
+
+def mock_book(panel: DataFrame, s: MockShape = MockShape()) -> DataFrame:
+    """The panel with order-book columns: spread, depth, imbalance at 1 and 5 levels, micro-price distance, net bid changes of the opening and the close, intent, chase and stress."""
+    n = lambda name: normal(s.seed, name, NAME, DATE)
+    d = panel.withColumns({
+        "ob_spread_full_mean": F.exp(0.3 * n("ob.spread") - 6), "ob_total_depth_5_full_mean": F.exp(10 + 0.4 * n("ob.depth")), "ob_imbalance_1_full_mean": F.tanh(n("ob.one")),
+        "ob_imbalance_5_full_mean": F.tanh(0.7 * n("ob.one") + 0.5 * n("ob.five")), "ob_micro_price_dev_full_mean": 0.001 * n("ob.micro"),
+        "ob_net_bid_change_5_open30_mean": n("ob.open"), "ob_net_bid_change_5_close30_mean": n("ob.close"), "ob_imbalance_5_close30_mean": F.tanh(n("ob.late")),
+    })
+    return d.withColumns({
+        "ob_open_buy_intent": F.col("ob_net_bid_change_5_open30_mean") + F.col("ob_imbalance_5_full_mean") - F.col("ob_spread_full_mean"),
+        "ob_close_chase_pressure": F.col("ob_imbalance_5_close30_mean") + F.col("ob_net_bid_change_5_close30_mean"),
+        "ob_liquidity_stress": 3 * F.col("ob_spread_full_mean"), "ob_close_buying_vs_day": F.col("ob_imbalance_5_close30_mean") - F.col("ob_imbalance_5_full_mean"),
+    })
+
+
+def mock_flows(panel: DataFrame, s: MockShape = MockShape()) -> DataFrame:
+    """The panel with bought and sold amounts and volumes of four order sizes and their net amount; larger orders lean with the panel's imbalance."""
+    lean = {"sm": -0.2, "md": 0.0, "lg": 0.2, "elg": 0.3}
+    cols = {}
+    for k, (size, w) in enumerate(lean.items()):
+        share = F.exp(0.3 * normal(s.seed, f"mf.{size}", NAME, DATE) - 1.2 - 0.2 * k)
+        tilt = 1 / (1 + F.exp(-(w * F.col("imbalance") + 0.3 * normal(s.seed, f"mf.{size}.tilt", NAME, DATE))))
+        for unit, whole in (("amount", F.col("amount")), ("vol", F.col("volume"))):
+            cols |= {f"buy_{size}_{unit}": whole * share * tilt, f"sell_{size}_{unit}": whole * share * (1 - tilt)}
+    d = panel.withColumns(cols)
+    return d.withColumn("mf_net_amount", sum((F.col(f"buy_{x}_amount") - F.col(f"sell_{x}_amount") for x in lean), F.lit(0.0)))
+
+
+STYLES = ("size", "beta", "momentum", "residual_volatility", "non_linear_size", "book_to_price", "liquidity", "earnings_yield", "growth", "leverage")
+
+
+def mock_styles(panel: DataFrame, s: MockShape = MockShape(), prefix: str = "style_") -> DataFrame:
+    """The panel with ten style exposures, z-scores of each date, 0 where nothing is known: size, its cube freed of size, trailing return and volatility, correlation with the mean return, and fundamentals."""
+    w = Window.partitionBy(NAME).orderBy(DATE)
+    past = lambda k: w.rowsBetween(-k + 1, 0)
+    day = Window.partitionBy(DATE)
+    d = panel.withColumn("_r", F.col("price") / F.lag("price").over(w) - 1).withColumn("_m", F.avg("_r").over(day))
+    covariance = F.avg(F.col("_r") * F.col("_m")).over(past(60)) - F.avg("_r").over(past(60)) * F.avg("_m").over(past(60))
+    market = F.var_pop("_m").over(past(60))
+    raw = {
+        "size": F.col("size"), "beta": F.when(market > 0, covariance / market), "momentum": F.col("price") / F.lag("price", 60).over(w) - 1, "residual_volatility": F.stddev_samp(F.col("_r") - F.col("_m")).over(past(60)),
+        "non_linear_size": F.pow(F.col("size") - F.avg("size").over(day), 3), "book_to_price": F.col("book_to_price"), "liquidity": F.log(F.avg("turnover").over(past(20))),
+        "earnings_yield": 0.05 * (1 + F.col("profit_growth")), "growth": F.col("profit_growth"), "leverage": normal(s.seed, "leverage", NAME),
+    }
+    d = d.withColumns({f"_{k}": v.cast("double") for k, v in raw.items()})
+    z = lambda c: F.coalesce((F.col(c) - F.avg(c).over(day)) / F.when(F.stddev_samp(c).over(day) > 0, F.stddev_samp(c).over(day)), F.lit(0.0))
+    return d.withColumns({f"{prefix}{k}": z(f"_{k}") for k in STYLES}).drop("_r", "_m", *[f"_{k}" for k in raw])

@@ -41,16 +41,32 @@ def read_panel(spark: SparkSession, path: str, kind: str | None = None) -> DataF
 
 
 def read_results(spark: SparkSession, path: str, encodings: Sequence[str] = ("UTF-8", "GBK")) -> DataFrame:
-    """A table of search results. Of csv files the first encoding is taken in which no text has replacement characters; a byte order mark is dropped."""
+    """A table of search results. Of csv files the first encoding is taken in which every text can be read; a byte order mark is dropped.
+
+    Spark reads few encodings, so the file is read byte by byte and its texts are decoded in batches.
+    """
+    if not path.endswith(".csv"):
+        return read_table(spark, path)
+    raw = spark.read.option("header", True).option("inferSchema", True).option("encoding", "ISO-8859-1").option("escape", '"').csv(path)
+    texts = [i for i, (_, t) in enumerate(raw.dtypes) if t == "string"]
     for e in encodings:
-        d = read_table(spark, path, encoding=e)
-        if not path.endswith(".csv"):
-            return d
-        d = d.toDF(*[c.lstrip("\ufeff") for c in d.columns])
-        broken = [F.col(f"`{c}`").contains("\ufffd") for c, t in d.dtypes if t == "string"]
-        if "\ufffd" not in "".join(d.columns) and (not broken or d.where(reduce(lambda a, b: a | b, broken)).isEmpty()):
-            return d
-    return d
+        try:
+            names = [c.encode("latin-1").decode(e).lstrip("\ufeff") for c in raw.columns]
+        except UnicodeDecodeError:
+            continue
+        numbered = raw.toDF(*[f"c{i}" for i in range(len(names))])
+
+        def read(parts, e=e):
+            for d in parts:
+                for i in texts:
+                    d[f"c{i}"] = d[f"c{i}"].map(lambda v: v if v is None else v.encode("latin-1").decode(e, "replace"))
+                yield d
+
+        d = numbered.mapInPandas(read, numbered.schema)
+        broken = [F.col(f"c{i}").contains("\ufffd") for i in texts]
+        if not broken or d.where(reduce(lambda a, b: a | b, broken)).isEmpty():
+            return d.toDF(*names)
+    raise ValueError(f"{path} is in none of {', '.join(encodings)}")
 
 
 def read_ticks(spark: SparkSession, path: str, fields: Sequence[str], start: str, end: str, date: str = DATE) -> DataFrame:
