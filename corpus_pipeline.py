@@ -1,4 +1,9 @@
-"""A corpus pipeline of five stages, each one of the operators of quillon.llm applied to all its predecessor kept."""
+"""A corpus pipeline of five stages, each one of the operators of quillon.llm applied to all its predecessor kept.
+
+Every stage takes documents with null, empty and very long texts, null ids and sources, repeated rows, no rows at all, and
+columns of any names, and handles them as its operator says: texts without words are scored by the model's bias alone, are
+alike nothing, hold no passage and no secret, and have size 0 in the mix; repeated rows are treated alike.
+"""
 
 from __future__ import annotations
 
@@ -18,7 +23,7 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Stage 1: documents the quality classifier rejects (score under 0.5) go. It is fitted on all labelled documents, at most TRAIN_ROWS."""
+    """Stage 1: documents the quality classifier rejects (score under 0.5) go. It is fitted on labelled documents, at most TRAIN_ROWS rows and TRAIN_BYTES of them."""
     model = quality.quality_model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.score_quality(_rows(docs), model, ["_row"]).where("score >= 0.5").select("_row.*")
 
@@ -41,8 +46,8 @@ def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Stage 5: how many words of each document the mix takes."""
-    return mixing.mix_sources(docs)
+    """Stage 5: how many words of each document the mix takes, with the document: its text, free of secrets, its language and source."""
+    return mixing.mix_sources(docs, keep=[c for c in ("text", "lang", "source") if c in docs.columns])
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
