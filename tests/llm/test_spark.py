@@ -517,12 +517,37 @@ def test_pipeline_stages_against_brute_force(spark):
             sets = [shingles(was[i]) for i in ids]
             c = union_find(len(ids), [(a, b) for a in range(len(ids)) for b in range(a) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])])
             assert set(kept) == {ids[k] for k in range(len(ids)) if c[k] == k}
+        elif name == "benchmark_decontamination":
+            w = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOW))
+            items = [w(r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+            windows = {tuple(x[a : a + min(13, len(x))]) for x in items if x for a in range(len(x) - min(13, len(x)) + 1)}
+            sizes = {len(x) for x in windows}
+            for i, t in was.items():
+                d = w(t)
+                hit = {k + j for m in sizes for k in range(len(d) - m + 1) if tuple(d[k : k + m]) in windows for j in range(m)}
+                assert (i in kept) == (not hit or 20 * len(hit) < len(d))
         elif name == "secret_scans":
             assert set(kept) == set(was) and all(kept[i] == secrets.redact(was[i], [s._asdict() for s in secrets.find_secrets(was[i])]) for i in was)
         elif name == "quality_classifier":
             good = {r.doc_id for r in spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1").collect()}
             assert len(good & set(kept)) >= 0.95 * len(good & set(was))
-    assert corpus_pipeline.STAGES[-1][1](spark, after, sf).count() == after.count()
+    mixed = {r.doc_id: r for r in corpus_pipeline.STAGES[-1][1](spark, after, sf).collect()}
+    assert {i: r.text for i, r in mixed.items()} == {r.doc_id: r.text for r in after.collect()} and all(0 <= r.taken <= 3 * r.size for r in mixed.values())
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    """Nulls everywhere, repeated rows, a clashing column; and no rows at all."""
+    rows = [(1, "one two three four five six", "en", "a", 27), (1, "one two three four five six", "en", "a", 27), (None, None, None, None, None), (2, None, None, None, None), (3, "", "x", "b", 0), (4, "secret = abcdefghijklmnop and more", None, "a", 5)]
+    spark.createDataFrame([(1, 1, 0), (2, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "nothing of this")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame(rows, DOCS).withColumn("score", F.lit("clash"))
+    for d in (docs, docs.limit(0)):
+        n = d.count()
+        for name, stage in corpus_pipeline.STAGES:
+            d = stage(spark, d, str(tmp_path))
+            assert name == "mixing" or d.columns == docs.columns
+        got = d.collect()
+        assert len(got) == n and (not n or any("[SECRET]" in (r.text or "") for r in got))
 
 
 def test_sql_names():
