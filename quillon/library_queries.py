@@ -12,7 +12,8 @@ from quillon.operators import alignment as al
 from quillon.operators import folds, orderbook, regression, results, selection
 from quillon.plans import builder
 from quillon.plans.layers import DATE, NAME
-from quillon.plans.panel import weekly_panel, weekly_text
+from quillon.plans.panel import at_close, validate_panel, validate_wide, weekly_panel, weekly_text
+from quillon.sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -516,3 +517,39 @@ def _(spark, d):
 def _(spark, d):
     df = cells(spark, d).where("tradeable").withColumns({"y": F.log("price"), "market_cap": F.col("amount")})
     return regression.size_neutral(df, "y", ridge=0.0).select(DATE, NAME, (F.round(F.col("residual") + 1.3e-10, 5) + F.lit(0.0)).alias("residual"))
+
+
+# Sources and layout.
+@query("io6_8_wide_and_long", f"SELECT {DATE}, CAST({NAME} AS VARCHAR) AS {NAME}, price FROM {{panel}}", panel=True)
+def _(spark, d):
+    wide = tables.long_to_wide(cells(spark, d).select(DATE, NAME, "price"), "price")
+    return tables.wide_to_long(wide, "price")
+
+
+@query("io7_value_source", f"SELECT {DATE} + INTERVAL 15 HOURS AS {DATE}, CAST({NAME} AS VARCHAR) AS {NAME}, tax AS rate FROM {{panel}}", panel=True)
+def _(spark, d):
+    return builder.Values(cells(spark, d).select(DATE, NAME, "tax", "volume"), "tax").read("rate")
+
+
+@query("io8_factor_table", f"SELECT {DATE} + INTERVAL 15 HOURS AS {DATE}, CAST({NAME} AS VARCHAR) AS {NAME}, price AS f_price, tax AS f_tax FROM {{panel}}", panel=True)
+def _(spark, d):
+    return builder.Factors(cells(spark, d).select(DATE, NAME, "price", "tax", "volume", "industry", "label"), "any", exclude=["volume"], prefix="f_").read()
+
+
+@query("pf1_3_validation", "SELECT 'close' AS panel, TRUE AS valid UNION ALL SELECT 'midnight', FALSE UNION ALL SELECT 'twice', FALSE UNION ALL SELECT 'wide', TRUE")
+def _(spark, d):
+    p = cells(spark, d).select(DATE, NAME, "price")
+    shut = at_close(p)
+    told = [("close", validate_panel(shut, False)), ("midnight", validate_panel(p, False)), ("twice", validate_panel(shut.unionByName(shut), False)), ("wide", validate_wide(tables.long_to_wide(shut, "price"), False))]
+    return spark.createDataFrame(told, "panel string, valid boolean")
+
+
+@query(
+    "rg7_jointly_full",
+    f"WITH base AS (SELECT {DATE}, {NAME}, y - avg(y) OVER w AS y, size - avg(size) OVER w AS size, discount - avg(discount) OVER w AS discount, tax - avg(tax) OVER w AS tax FROM (SELECT *, ln(price) AS y FROM {{panel}} WHERE tradeable) q WINDOW w AS (PARTITION BY {DATE}, industry)) {_gram_schmidt('y', ['size', 'discount', 'tax'])}",
+    panel=True,
+)
+def _(spark, d):
+    df = cells(spark, d).where("tradeable").withColumn("y", F.log("price"))
+    out = regression.neutralise_full(df, "y", ["size", "discount", "tax"], ridge=0.0)
+    return out.select(DATE, NAME, (F.round(F.col("residual") + 1.3e-10, 5) + F.lit(0.0)).alias("residual"))

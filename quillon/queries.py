@@ -138,6 +138,7 @@ _cells("cs8_9_winsorize", q25=lambda p: cs.quantile(p, _scaled(p)[0], 0.25), w=l
 _cells("cs10_industry_rank", r=lambda p: cs.rank_pct(p, _scaled(p)[0], "industry"))
 _cells("cs11_industry_zscore", z=lambda p: cs.zscore(p, _scaled(p)[0], "industry"))
 _cells("cs12_14_industry_demean", d=lambda p: cs.demean(p, _scaled(p)[0], "industry"), s1=lambda p: cs.demean(p, cs.zscore(p, "size"), "industry"), s2=lambda p: cs.zscore(p, "discount"))
+_cells("cs15_plain_zscore", z=lambda p: cs.zscore(p, _scaled(p)[0], eps=0.0))
 _cells("cs16_zscore_fill", z=lambda p: p.let(f"coalesce({cs.zscore(p, _scaled(p)[0])}, 0)"))
 
 
@@ -163,7 +164,7 @@ def _(p):
 
 
 # Time series.
-for _w in (5, 20):
+for _w in ts.WINDOWS:
     _cells(f"ts1_3_lags_{_w}", delay=lambda p, w=_w: ts.delay(p, _scaled(p)[0], w), delta=lambda p, w=_w: ts.ts_delta(p, "price", w), ret=lambda p, w=_w: ts.ts_return(p, "price", w))
     _cells(f"ts5_6_mean_std_{_w}", mean=lambda p, w=_w: ts.ts_mean(p, "price", w), std=lambda p, w=_w: ts.ts_std(p, "price", w), gaps=lambda p, w=_w: ts.ts_mean(p, _scaled(p)[0], w))
     _cells(f"ts7_median_{_w}", median=lambda p, w=_w: ts.ts_median(p, "price", w))
