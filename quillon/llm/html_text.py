@@ -201,14 +201,15 @@ def stop_share(text: str) -> float:
 
 def settle_names(blocks: list[Block]) -> None:
     """Blocks in elements that only a name calls outside are outside, unless that element holds nearly all running text and nothing of it stands in an article or main element elsewhere."""
-    if any(b.named for b in blocks):
+    if not any(b.named for b in blocks):
+        return
+    body: set[int] = set()
+    if not any(b.inside and not b.named for b in blocks if not b.outside):
         running = [b for b in blocks if not b.outside and b.named >= 0 and len(b.text) >= SHORT_CHARS and b.links / len(b.text) <= MAX_LINK_DENSITY and stop_share(b.text) >= STOP_LOW]
         total = sum(len(b.text) for b in running)
-        held = {k: sum(len(b.text) for b in running if b.named == k) for k in {b.named for b in running} - {0}}
-        elsewhere = any(b.inside and not b.named for b in blocks if not b.outside)
-        body = {k for k, n in held.items() if n > BODY_SHARE * total and not elsewhere}
-        for b in blocks:
-            b.outside |= b.named != 0 and b.named not in body
+        body = {k for k in {b.named for b in running} - {0} if sum(len(b.text) for b in running if b.named == k) > BODY_SHARE * total}
+    for b in blocks:
+        b.outside |= b.named != 0 and b.named not in body
 
 
 def classify(blocks: list[Block]) -> None:
