@@ -14,7 +14,12 @@ from quillon.plans.program import Program, compile_program
 
 
 def score_append(history: DataFrame, batch: DataFrame, program: Program) -> DataFrame:
-    """(Datetime, Contract, factor) for the dates of ``batch``. Of the history only the program's lookback of dates is read."""
+    """(Datetime, Contract, factor) for the dates of ``batch``. Of the history only the program's lookback of dates is read.
+
+    Batches must follow the history without gaps: windows count the dates that history and batch have, so a date in
+    neither is as if it had never been. Contracts that the history lacks start in the batch; those that the batch lacks
+    have rows without a factor.
+    """
     first = batch.agg(F.min(DATE)).first()[0]
     if first is None:
         return batch.select(DATE, NAME, F.lit(None).cast("double").alias("factor"))

@@ -162,6 +162,9 @@ def test_append_equals_full_history(spark):
     cut = dt.datetime(2024, 1, 11, 0)
     got = {(r[DATE], r[NAME]): r.factor for r in score_append(df.where(df[DATE] < cut), df.where(df[DATE] >= cut), p).collect()}
     assert got[(dt.datetime(2024, 1, 12, 15), "B")] == pytest.approx(27.0) and len(got) == 4
+    late = df.where((df[NAME] == "A") | (df[DATE] >= cut))
+    got = {(r[DATE].day, r[NAME]): r.factor for r in score_append(late.where(late[DATE] < cut), late.where(late[DATE] >= cut), p).collect()}
+    assert got == {(11, "A"): pytest.approx(8.0), (12, "A"): pytest.approx(9.0), (11, "B"): None, (12, "B"): None}
 
 
 @pytest.mark.parametrize("name", ["mt2_rank_ic_joint", "pl8_11_performance", "fp_deep", "ts14_selmean_5", "bh13_tree_slots", "jn8_asof_forward_fill", "ag1_daily_ticks", "se1_2_pareto_front"])
