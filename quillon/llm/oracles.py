@@ -73,3 +73,48 @@ SELECT doc_id, n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coa
        sha256(unhex(coalesce(head, '') || substr(x, 2 * coalesce(last, 0) + 1))) AS kept_sha256
 FROM n LEFT JOIN left_over USING (doc_id)
 """
+
+
+def _lloyd_sql(k: int = 40, rounds: int = 5) -> str:
+    """Lloyd's rounds in long form: ``x`` (row, dimension, value), ``c0`` the first centroids, ``a<r>`` assignments, ``c<r>`` centroids after round r."""
+    parts = [
+        f"""
+WITH kept AS (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda e: CAST(floor(256 * CAST(e AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+x AS MATERIALIZED (SELECT r, unnest(v) AS e, unnest(generate_series(1, 64)) AS d FROM kept),
+first AS (
+  SELECT row_number() OVER (ORDER BY h, v) - 1 AS j, v
+  FROM (SELECT v, sha256('2:' || CAST(vec_id AS VARCHAR)) AS h FROM kept WHERE vec_id IS NOT NULL ORDER BY h, v LIMIT {k})),
+c0 AS MATERIALIZED (SELECT j, unnest(v) AS m, unnest(generate_series(1, 64)) AS d FROM first)"""
+    ]
+    for n in range(rounds + 1):
+        parts.append(
+            f"""
+a{n} AS MATERIALIZED (
+  SELECT r, j, dist FROM (SELECT r, j, sum((e - m) * (e - m)) AS dist FROM x JOIN c{n} USING (d) GROUP BY r, j)
+  QUALIFY row_number() OVER (PARTITION BY r ORDER BY dist, j) = 1)"""
+        )
+        if n < rounds:
+            # A sum less its remainder, taken as one that isn't negative, divides without one: so quotients are floors.
+            parts.append(
+                f"""
+s{n} AS (SELECT j, d, CAST(sum(e) AS BIGINT) AS s, count(*) AS n FROM x JOIN a{n} USING (r) GROUP BY j, d),
+c{n + 1} AS MATERIALIZED (SELECT j, d, coalesce((s - ((s % n) + n) % n) // n, m) AS m FROM c{n} LEFT JOIN s{n} USING (j, d))"""
+            )
+    parts.append(
+        f"""
+inert AS (SELECT j, sum(dist) AS cluster_inertia FROM a{rounds} GROUP BY j),
+named AS (SELECT j, sha256(string_agg(CAST(m AS VARCHAR), ',' ORDER BY d)) AS centroid_sha256 FROM c{rounds} GROUP BY j)"""
+    )
+    return (
+        ",".join(parts)
+        + f"""
+SELECT vec_id, CAST(j AS INTEGER) AS cluster, CAST(dist AS BIGINT) AS distance, CAST(cluster_inertia AS BIGINT) AS cluster_inertia,
+       CAST((SELECT sum(dist) FROM a{rounds}) AS BIGINT) AS inertia, centroid_sha256
+FROM kept JOIN a{rounds} USING (r) JOIN inert USING (j) JOIN named USING (j)
+"""
+    )
+
+
+OP12_SQL = _lloyd_sql()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import decontaminate, html_text, jaccard, mixing, neighbours, oracles, quality, secrets, substrings, toxicity, urls
+from quillon.llm import decontaminate, html_text, jaccard, lloyd, maxent, mixing, neighbours, oracles, quality, secrets, substrings, toxicity, urls, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,11 +84,42 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_pages(table(spark, sf_dir, "pages"), ["page_id", "url"])
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_classifier, op2_benchmark_decontamination, op3_secret_scans, op4_toxicity, op5_suffix_array_dedup, op6_url_filters, op7_embedding_near_dedup, op8_ngram_jaccard_join, op9_mixing, op10_html_extraction)}
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's first 16 whitened components."""
+    return whitening.embedding_whitening(table(spark, sf_dir, "embeddings"))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's cluster after five rounds over 40 centroids."""
+    return lloyd.cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's log10 probability under counts and under the model; a seventh of the documents is not learnt from."""
+    return maxent.language_model_scores(table(spark, sf_dir, "documents"), maxent.held_out_rows())
+
+
+_ALL = (
+    op1_quality_classifier,
+    op2_benchmark_decontamination,
+    op3_secret_scans,
+    op4_toxicity,
+    op5_suffix_array_dedup,
+    op6_url_filters,
+    op7_embedding_near_dedup,
+    op8_ngram_jaccard_join,
+    op9_mixing,
+    op10_html_extraction,
+    op11_embedding_whitening,
+    op12_centroid_clustering,
+    op13_lm_scoring,
+)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 ORACLE_SQL: dict[str, str] = {
     "op2_benchmark_decontamination": oracles.OP2_SQL,
     "op5_suffix_array_dedup": oracles.OP5_SQL,
     "op7_embedding_near_dedup": oracles.OP7_SQL,
     "op8_ngram_jaccard_join": oracles.OP8_SQL,
     "op9_mixing": mixing.OP9_SQL,
+    "op12_centroid_clustering": oracles.OP12_SQL,
 }
