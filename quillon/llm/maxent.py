@@ -79,8 +79,8 @@ class Vocabulary:
     """Counts of training tokens: all, distinct, texts; the head's hashes in order with their counts; the least count of a head word.
 
     ``single``: hashed words that are classes of their own, in order, with those classes. ``by_ending``: the class of each
-    ending. ``mass``: each class's counts plus one for each of its words and one for an unknown word (for the end, which
-    is class 0, none).
+    ending. ``mass``: each class's counts plus one for each of its words and, in classes by ending, one for an unknown word.
+    The end is class 0.
     """
 
     tokens: int

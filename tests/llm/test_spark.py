@@ -551,7 +551,7 @@ def test_pipeline_on_odd_rows(spark, tmp_path):
 
 
 def test_sql_names():
-    assert set(ORACLE_SQL) <= set(QUERIES) and sorted(int(re.match(r"op(\d+)_", k)[1]) for k in QUERIES) == list(range(1, 11))
+    assert set(ORACLE_SQL) <= set(QUERIES) and sorted(int(re.match(r"op(\d+)_", k)[1]) for k in QUERIES) == list(range(1, 14))
 
 
 def test_sql_agrees_on_odd_rows(spark, tmp_path):
