@@ -119,9 +119,8 @@ _SUPPLIER_QUARTERS = f"SELECT date_trunc('quarter', l_shipdate) AS q, l_suppkey
 def _(spark, d):
     """Quarterly quantities, known three dates of the panel later, carried forward."""
     li = table(spark, d, "lineitem")
-    reports = li.groupBy(F.date_trunc("quarter", "l_shipdate").alias(DATE), F.col("l_suppkey").alias(NAME)).agg(F.sum("l_quantity").alias("qty")).withColumn("q", F.col(DATE))
-    known = al.business_offset(reports, cells(spark, d), 3).where("known IS NOT NULL").drop(DATE).withColumnRenamed("known", DATE)
-    return al.as_of(al.keep_last(known, [DATE, NAME], ["q"]), cells(spark, d).select(DATE, NAME), ["qty"])
+    reports = li.groupBy(F.date_trunc("quarter", "l_shipdate").alias(DATE), F.col("l_suppkey").alias(NAME)).agg(F.sum("l_quantity").alias("qty"))
+    return al.report_to_daily(reports, cells(spark, d).select(DATE, NAME), ["qty"], 3)
 
 
 @query("jn10_11_attributes", "SELECT s.s_suppkey, s.s_acctbal, n.n_name, n.n_regionkey FROM supplier s LEFT JOIN nation n ON s.s_nationkey = n.n_nationkey AND n.n_regionkey < 3")

@@ -95,10 +95,14 @@ def business_offset(rows: DataFrame, calendar: DataFrame, lag: int, date: str =
 
 
 def report_to_daily(reports: DataFrame, targets: DataFrame, columns: Sequence[str], lag: int = 20, limit: int | None = None) -> DataFrame:
-    """Reports by period end, known ``lag`` dates of the targets' calendar later, carried forward to the targets."""
-    known = business_offset(reports, targets, lag).where("known IS NOT NULL").drop(DATE).withColumnRenamed("known", DATE)
-    last = keep_last(known, [DATE, NAME], [*columns])
-    return as_of(last, targets, columns, limit)
+    """Reports by period end, known ``lag`` dates of the targets' calendar later, carried forward to the targets.
+
+    Of reports that become known on one date, each column's value is the latest report's that has one (of equal report
+    dates the largest).
+    """
+    known = business_offset(reports.withColumn("_report", F.col(DATE)), targets, lag).where("known IS NOT NULL")
+    latest = [F.max(F.when(F.col(c).isNotNull(), F.struct("_report", c)))[c].alias(c) for c in columns]
+    return as_of(known.groupBy(F.col("known").alias(DATE), NAME).agg(*latest), targets, columns, limit)
 
 
 def take_dates(df: DataFrame, dates: DataFrame, date: str = DATE) -> DataFrame:

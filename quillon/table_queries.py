@@ -7,12 +7,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.operators import lasso, regression, selection
+from quillon.operators import dominance, lasso, regression
 from quillon.plans.layers import DATE, NAME
 from quillon.plans.panel import weekly_panel
 
@@ -198,14 +196,46 @@ def rg5_dynamic_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(DATE, NAME, F.round("residual", 6).alias("residual"))
 
 
-def se4_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fronts and crowding of all candidates, ranked. Only ids and objectives (24 bytes a candidate) are brought to the driver."""
+def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     _views(spark, sf_dir)
-    rows = spark.sql(f"SELECT CAST(id AS BIGINT) AS id, CAST(f1 AS DOUBLE) AS f1, f2 FROM ({_OBJECTIVES}) o ORDER BY id").toArrow()
-    ids = rows.column("id").to_numpy()
-    ranks = selection.rank(np.column_stack([rows.column("f1").to_numpy(), rows.column("f2").to_numpy()]))
-    out = {"id": ids[[k.index for k in ranks]], "front": pa.array([k.front for k in ranks], pa.int32()), "crowding": [min(k.crowding, 1e9) for k in ranks]}
-    return spark.createDataFrame(pa.table(out, pa.schema([("id", pa.int64()), ("front", pa.int32()), ("crowding", pa.float64())])))
+    return spark.sql(f"SELECT CAST(id AS BIGINT) AS id, CAST(f1 AS DOUBLE) AS f1, f2 FROM ({_OBJECTIVES}) o")
+
+
+def se1_2_pareto_front(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates that none other dominates."""
+    return dominance.with_fronts(_candidates(spark, sf_dir), ["f1", "f2"]).where("front = 0").select("id", "f1", "f2")
+
+
+def se4_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fronts and crowding of all candidates, ranked in cells."""
+    r = dominance.ranked(_candidates(spark, sf_dir), ["f1", "f2"], "id")
+    return r.select("id", "front", F.round(F.least("crowding", F.lit(1e9)) + 1.3e-10, 6).alias("crowding"))
+
+
+def se6_elites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fifth of the largest id's number of candidates, by whole fronts and then by crowding."""
+    c = _candidates(spark, sf_dir)
+    n = spark.read.parquet(f"{sf_dir}/customer.parquet").count() // 5
+    return dominance.elites(c, ["f1", "f2"], n, "id").select("id", "front")
+
+
+#: The longest chain of candidates that dominate one another tells the front: level by level, what some candidate of the level before dominates.
+_FRONTS = f"""o AS (SELECT CAST(id AS BIGINT) AS id, CAST(f1 AS DOUBLE) AS f1, f2 FROM ({_OBJECTIVES}) x),
+  p AS (SELECT DISTINCT f1, f2 FROM o),
+  chain AS (SELECT f1, f2, 0 AS depth FROM p UNION SELECT q.f1, q.f2, c.depth + 1 FROM chain c JOIN p q ON c.f1 >= q.f1 AND c.f2 >= q.f2 AND (c.f1 > q.f1 OR c.f2 > q.f2)),
+  r AS (SELECT o.id, o.f1, o.f2, f.front FROM o JOIN (SELECT f1, f2, max(depth) AS front FROM chain GROUP BY f1, f2) f USING (f1, f2)),
+  n AS (
+    SELECT *, lag(f1) OVER a AS b1, lead(f1) OVER a AS a1, lag(f2) OVER b AS b2, lead(f2) OVER b AS a2,
+      max(f1) OVER c - min(f1) OVER c AS w1, max(f2) OVER c - min(f2) OVER c AS w2
+    FROM r WINDOW a AS (PARTITION BY front ORDER BY f1, id), b AS (PARTITION BY front ORDER BY f2, id), c AS (PARTITION BY front)),
+  ranked AS (
+    SELECT id, front, CASE WHEN b1 IS NULL OR a1 IS NULL OR b2 IS NULL OR a2 IS NULL THEN 1E9
+      ELSE CASE WHEN w1 > 0 THEN (a1 - b1) / w1 ELSE 0 END + CASE WHEN w2 > 0 THEN (a2 - b2) / w2 ELSE 0 END END AS crowding FROM n)"""
+_SELECTION_SQL = {
+    "se4_selection": f"WITH RECURSIVE {_FRONTS} SELECT id, CAST(front AS INTEGER) AS front, round(crowding + 1.3e-10, 6) AS crowding FROM ranked",
+    "se6_elites": f"""WITH RECURSIVE {_FRONTS} SELECT id, CAST(front AS INTEGER) AS front FROM ranked
+      QUALIFY row_number() OVER (ORDER BY front, crowding DESC, id) <= (SELECT count(*) // 5 FROM customer)""",
+}
 
 
 def se16_lasso(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -256,8 +286,8 @@ def se12_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: _on_spark(f) for k, f in SQL.items()} | {f.__name__: f for f in (rg3_many_controls, rg5_dynamic_styles, se4_selection, se12_search, se12_structured_search, se12_behaviour_search, se12_tree_search, se16_lasso)}
+    return {k: _on_spark(f) for k, f in SQL.items()} | {f.__name__: f for f in (rg3_many_controls, rg5_dynamic_styles, se1_2_pareto_front, se4_selection, se6_elites, se12_search, se12_structured_search, se12_behaviour_search, se12_tree_search, se16_lasso)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: f(lambda k, *a: _DUCK[k].format(*a)) for k, f in SQL.items()}
+    return {k: f(lambda k, *a: _DUCK[k].format(*a)) for k, f in SQL.items()} | _SELECTION_SQL
