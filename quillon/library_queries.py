@@ -13,6 +13,7 @@ from quillon.operators import folds, orderbook, regression, results, selection
 from quillon.plans import builder
 from quillon.plans.layers import DATE, NAME
 from quillon.plans.panel import at_close, validate_panel, validate_wide, weekly_panel, weekly_text
+from quillon.plans.storage import written
 from quillon.sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -473,7 +474,7 @@ def _quarters(spark: SparkSession, d: str) -> DataFrame:
     panel=True,
 )
 def _(spark, d):
-    p = cells(spark, d)
+    p = written(cells(spark, d), "weeks")  # the sources are all cut from it
     some = lambda *c: p.select(DATE, NAME, *c)
     built = builder.build_panel(
         builder.Values(some("industry")), builder.Values(some("amount")), [builder.Factors(some("volume", "tax", F.lit(1.0).alias("flat"), "industry"), "price_table"), builder.Factors(_quarters(spark, d), "income_statement", exclude=["rare"], limit=20)],

@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from quillon.operators import alignment as al
 from quillon.operators.results import column_profile, panel_summary
 from quillon.plans.layers import DATE, NAME
-from quillon.plans.panel import at_close, clean
+from quillon.plans.panel import at_close
+from quillon.plans.storage import written
 from quillon.sources.tables import factor_table, wide_to_long
 
 RESERVED = ("market_cap", "industry", "tradeable", "close", "label")
@@ -29,16 +29,20 @@ class Values:
     layout: str = "auto"
 
     def read(self, name: str) -> DataFrame:
-        """(Datetime, Contract, name). A long table without a named column must have just one besides the keys."""
+        """(Datetime, Contract, name), dates without a time at the close. A long table without a named column must have just one besides the keys."""
+        return at_close(self.rows(name))
+
+    def rows(self, name: str) -> DataFrame:
+        """As read, with dates as they stand."""
         long = NAME in self.table.columns and DATE in self.table.columns
         if self.layout == "wide" or self.layout == "auto" and not long:
-            return at_close(with_keys(wide_to_long(self.table, name)))
+            return with_keys(wide_to_long(self.table, name))
         d = with_keys(self.table)
         rest = [c for c in d.columns if c not in (DATE, NAME)]
         column = self.column or (name if name in rest else rest[0] if len(rest) == 1 else None)
         if column is None:
             raise ValueError(f"which of {', '.join(rest)} is {name}?")
-        return at_close(d.select(DATE, NAME, F.col(column).alias(name)))
+        return d.select(DATE, NAME, F.col(column).alias(name))
 
 
 @dataclass(frozen=True)
@@ -58,8 +62,16 @@ class Factors:
     def of_kind(self) -> str:
         return self.kind or table_kind(self.name)
 
+    @property
+    def carried(self) -> bool:
+        return self.of_kind == "financial_statement" if self.carry is None else self.carry
+
     def read(self) -> DataFrame:
-        return at_close(factor_table(with_keys(self.table), self.include, (*self.exclude, *RESERVED), self.prefix))
+        return at_close(self.rows())
+
+    def rows(self) -> DataFrame:
+        """As read, with dates as they stand."""
+        return factor_table(with_keys(self.table), self.include, (*self.exclude, *RESERVED), self.prefix)
 
 
 @dataclass(frozen=True)
@@ -98,15 +110,31 @@ def keyword_hit(name: str, words: Sequence[str]) -> bool:
     return any(w in name.lower() for w in words)
 
 
-def forward_return(close: DataFrame, column: str, horizon: int, into: str) -> DataFrame:
-    """Return over the next ``horizon`` of the table's own dates, by contract on the dense grid."""
-    from quillon.functions import time_series as ts
-    from quillon.plans.layers import SparkPanel
-    from quillon.plans.panel import densify
+def gathered(sources: Sequence[tuple[DataFrame, Sequence[str]]], group: DataFrame) -> DataFrame:
+    """(Datetime, Contract, _source, _group, _values): rows of all sources one under another, read and written once.
 
-    p = SparkPanel(densify(close))
-    r = ts.forward_return(p, column, horizon)
-    return p.frame([r]).select(DATE, NAME, F.col(r).alias(into))
+    Numbers of a row are one array, so that a row is as wide as its own source only. ``group`` is source 0. Sources whose
+    dates have no time of day move to the close.
+    """
+    kind = dict(group.dtypes)["industry"]
+    rows = group.select(DATE, NAME, F.lit(0).alias("_source"), F.col("industry").alias("_group"), F.lit(None).cast("array<double>").alias("_values"))
+    for i, (d, names) in enumerate(sources, 1):
+        numbers = [F.col(c).cast("double") for c in names]
+        finite = [F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x) for x in numbers]
+        rows = rows.unionByName(d.select(DATE, NAME, F.lit(i).alias("_source"), F.lit(None).cast(kind).alias("_group"), F.array(*finite).alias("_values")))
+    rows = written(rows, "sources")
+    daily = F.min((F.date_trunc("day", DATE) == F.col(DATE)).cast("int"))
+    whole_days = [r["_source"] for r in rows.groupBy("_source").agg(daily.alias("d")).where("d = 1").collect()]  # one row per source
+    return rows.withColumn(DATE, F.when(F.col("_source").isin(whole_days), F.col(DATE) + F.expr("INTERVAL 15 HOURS")).otherwise(F.col(DATE)))
+
+
+def ahead(rows: DataFrame, source: int, horizon: int, into: int) -> DataFrame:
+    """Rows of a source ``horizon`` of its own dates earlier, as source ``into``: what is then known of the future. Only dates pass one window."""
+    own = rows.where(F.col("_source") == source)
+    dates = own.select(DATE).distinct()
+    earlier = dates.select(DATE, F.lag(DATE, horizon).over(Window.orderBy(DATE)).alias("_earlier")).where("_earlier IS NOT NULL")
+    moved = own.join(earlier, DATE).withColumn(DATE, F.col("_earlier")).withColumn("_source", F.lit(into))
+    return moved.select(*rows.columns)
 
 
 def build_panel(
@@ -117,56 +145,95 @@ def build_panel(
 
     Factor tables are aligned to those keys, statements as of their last row; of columns with one name the first table's
     stays. Without a label the return of ``close`` over ``horizon`` dates is one; without a flag, what has a market value
-    is tradeable. NaN and infinite values are missing. One aggregate profiles all fields, and only its few rows come back.
+    is tradeable. NaN and infinite values are missing, and numbers are doubles. Of rows with one key in a table the
+    largest stays.
+
+    Every source is read once, into one written table. That is dealt out by contract once, and in this one order keys are
+    brought together, values carried forward and returns taken; the panel is written, and its profile and summary read it.
     """
-    base = industry.read("industry").where(F.col("industry").isNotNull())
-    base = al.universe(base, groups=groups) if groups is not None else base
-    if base.isEmpty():
-        raise ValueError("an empty universe")
-    keys = base.select(DATE, NAME)
-    parts = [base, al.align_to(keys, market_cap.read("market_cap"))]
-    if close is not None:
-        prices = close.read("close")
-        parts.append(al.align_to(keys, prices))
-    if label is not None:
-        parts.append(al.align_to(keys, label.read(label_name)))
-    elif close is not None:
-        parts.append(al.align_to(keys, forward_return(prices, "close", horizon, label_name)))
-    else:
+    if label is None and close is None:
         raise ValueError("a label or a close is needed")
+    # name -> (place among the sources, place in its array)
+    place: dict[str, tuple[int, int]] = {}
+    sources: list[tuple[DataFrame, list[str]]] = []
+
+    def add(d: DataFrame, names: Sequence[str]) -> list[str]:
+        own = [c for c in names if c not in place]
+        sources.append((d, own))
+        place.update({c: (len(sources), k) for k, c in enumerate(own)})
+        return own
+
+    for v, name in ((market_cap, "market_cap"), (close, "close"), (label, label_name), (tradeable, "tradeable")):
+        if v is not None:
+            add(v.rows(name), [name])
     source: dict[str, tuple[str, str]] = {}
+    carried: list[tuple[int, list[str], int | None]] = []
     for t in factors:
-        d = t.read()
-        names = [c for c in d.columns if c not in (DATE, NAME)]
-        carry = t.of_kind == "financial_statement" if t.carry is None else t.carry
-        parts.append(al.as_of(d, keys, names, t.limit) if carry else al.align_to(keys, d))
-        source |= {c: (t.name, t.of_kind) for c in names if c not in source}
-    panel = clean(al.concat_first(*parts))
-    if tradeable is None:
-        panel = panel.withColumn("tradeable", F.col("market_cap").isNotNull())
-    else:
-        panel = al.fill_from(panel, tradeable.read("tradeable").withColumn("tradeable", F.col("tradeable").cast("double")), "tradeable").withColumn("tradeable", F.col("tradeable") > 0)
+        d = t.rows()
+        own = add(d, [c for c in d.columns if c not in (DATE, NAME, label_name)])
+        source |= {c: (t.name, t.of_kind) for c in own}
+        if t.carried:
+            carried.append((len(sources), own, t.limit))
+    rows = gathered(sources, industry.rows("industry"))
+    future = len(sources) + 1
+    if label is None:
+        rows = rows.unionByName(ahead(rows, place["close"][0], horizon, future))
+    at = lambda i: F.max(F.when(F.col("_source") == i, F.col("_values"))).alias(f"_{i}")
+    keyed = rows.repartition(NAME).groupBy(NAME, DATE).agg(F.max("_group").alias("industry"), *[at(i) for i in range(1, future + 1)])
+    wanted = F.col("industry").isNotNull() if groups is None else F.coalesce(F.col("industry").isin(list(groups)), F.lit(False))
+    if groups is not None and not groups:
+        raise ValueError("an empty universe")
+    value = lambda c: F.col(f"_{place[c][0]}")[place[c][1]]
+    w = Window.partitionBy(NAME).orderBy(DATE)
+    so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    keyed = keyed.withColumn("_wanted", wanted)
+    # A limit counts dates of the wanted keys and of the table itself.
+    counted = {i: F.sum((F.col("_wanted") | F.col(f"_{i}").isNotNull()).cast("int")).over(so_far) for i, _, _ in carried}
+    keyed = keyed.withColumns({f"_at{i}": c for i, c in counted.items()}) if carried else keyed
+    found = {c: value(c) for c in place}
+    for i, own, limit in carried:
+        for c in own:
+            last = F.last(value(c), ignorenulls=True).over(so_far)
+            seen = F.max(F.when(value(c).isNotNull(), F.col(f"_at{i}"))).over(so_far)
+            found[c] = last if limit is None else F.when(F.col(f"_at{i}") - seen <= limit, last)
+    if label is None:
+        found[label_name] = F.when(value("close") != 0, F.col(f"_{future}")[0] / value("close") - 1)
+    # Without a flag, what has a market value is tradeable.
+    flag = F.coalesce(found["tradeable"] > 0, F.lit(False)) if tradeable is not None else found["market_cap"].isNotNull()
     fields = list(source)
-    profile = column_profile(panel, fields) if fields else None
-    kept: list[str] = []
-    if profile is not None:
-        rows = profile.orderBy(F.desc("coverage"), "name").collect()
-        for r in rows:
-            enough = r.coverage >= choice.coverage.get(source[r.name][1], choice.other) and r.uniques >= choice.least_uniques
-            if r.name not in choice.exclude and (enough or r.name in choice.include):
-                kept.append(r.name)
-        kept = kept[: choice.most]
-        told = panel.sparkSession.createDataFrame([(c, *source[c]) for c in fields], "name string, table string, table_kind string")
-        profile = profile.join(F.broadcast(told), "name")  # a row per field
-    else:
-        profile = panel.sparkSession.createDataFrame([], "name string, kind string, coverage double, positive double, zero double, uniques bigint, table string, table_kind string")
-    panel = panel.select(DATE, NAME, "market_cap", "industry", "tradeable", label_name, *(["close"] if close is not None else []), *kept)
-    return Built(panel, profile, tuple(kept), describe(panel, kept))
-
-
-def describe(panel: DataFrame, fields: Sequence[str]) -> dict:
+    kept_keys = ["market_cap", "industry", "tradeable", label_name, *(["close"] if close is not None else [])]
+    columns = {c: x for c, x in found.items() if c != "tradeable"} | {"tradeable": flag, "industry": F.col("industry")}
+    panel = keyed.select(DATE, NAME, "_wanted", *[columns[c].alias(c) for c in dict.fromkeys([*kept_keys, *fields])]).where("_wanted").drop("_wanted")
+    panel = written(panel, "panel")
+    summary = panel_summary(panel).first()
+    if not summary["cells"]:
+        raise ValueError("an empty universe")
+    profile, kept = chosen(panel, source, choice)
+    panel = panel.select(DATE, NAME, *kept_keys, *kept)
+    return Built(panel, profile, tuple(kept), describe(panel, kept, summary))
+
+
+def chosen(panel: DataFrame, source: Mapping[str, tuple[str, str]], choice: Choice) -> tuple[DataFrame, list[str]]:
+    """The fields' profile, with table and kind, and those that stay. One aggregate profiles all, and only its few rows come back."""
+    spark = panel.sparkSession
+    if not source:
+        empty = "name string, kind string, coverage double, positive double, zero double, uniques bigint, table string, table_kind string"
+        return spark.createDataFrame([], empty), []
+    rows = column_profile(panel, list(source)).collect()
+    kept = []
+    for r in sorted(rows, key=lambda r: (-r.coverage, r.name)):
+        enough = r.coverage >= choice.coverage.get(source[r.name][1], choice.other) and r.uniques >= choice.least_uniques
+        if r.name not in choice.exclude and (enough or r.name in choice.include):
+            kept.append(r.name)
+    schema = "name string, kind string, coverage double, positive double, zero double, uniques bigint, table string, table_kind string"
+    names = [c.split(" ")[0] for c in schema.split(", ")][:6]
+    told = [(*[r[c] for c in names], *source[r.name]) for r in rows]
+    return spark.createDataFrame(told, schema), kept[: choice.most]
+
+
+def describe(panel: DataFrame, fields: Sequence[str], summary: Row | None = None) -> dict:
     """What is written next to a panel: shape, dates, contracts, fields."""
-    s = panel_summary(panel).first()
+    s = summary or panel_summary(panel).first()
     return {"index": [DATE, NAME], "rows": s["cells"], "columns": len(panel.columns), "n_dates": s["dates"], "n_contracts": s["contracts"], "start": str(s["first_date"]), "end": str(s["last_date"]), "selected_fields": list(fields)}
 
 

@@ -149,7 +149,7 @@ def _(f):
     return f"SELECT s_suppkey, {f('suffix', 's_name')} AS number0, CASE WHEN lower(s_name) LIKE '%supplier%' THEN 'supplier' ELSE 'other' END AS kind FROM supplier"
 
 
-_OBJECTIVES = "SELECT o_custkey AS id, round(avg(o_totalprice), 2) AS f1, CAST(count(*) AS DOUBLE) AS f2 FROM orders GROUP BY o_custkey"
+_OBJECTIVES = "SELECT o_custkey AS id, round(avg(CAST(o_totalprice AS DOUBLE)) + 1.3E-7, 2) AS f1, CAST(count(*) AS DOUBLE) AS f2 FROM orders GROUP BY o_custkey"
 
 
 @sql_query("se1_2_pareto_front")
