@@ -47,8 +47,7 @@ def ts_sum(p: Layers, x: str, w: int, least: int = 1) -> str:
 
 
 def ts_median(p: Layers, x: str, w: int) -> str:
-    m, n = p.let(p.percentile(x, 0.5, p.trailing(w))), _over(p, "count", x, w)
-    return p.let(f"CASE WHEN {x} IS NOT NULL AND {n} >= {w} THEN {m} END")
+    return p.sliding_median(x, w)
 
 
 def ts_zscore(p: Layers, x: str, w: int, least: int | None = None) -> str:

@@ -101,7 +101,8 @@ def _reports(spark: SparkSession, d: str) -> DataFrame:
 def _(spark, d):
     """Quarterly reports carried forward to weeks, at most 26 of them."""
     reports = _reports(spark, d)
-    targets = cells(spark, d).select(DATE).distinct().crossJoin(reports.select(NAME).distinct())  # nations, a few dozen
+    weeks = table(spark, d, "lineitem").select(F.date_trunc("week", "l_shipdate").alias(DATE)).distinct()
+    targets = weeks.crossJoin(reports.select(NAME).distinct())  # nations, a few dozen
     return al.as_of(reports, targets, ["total", "orders"], 26).select(F.col(NAME).alias("nation"), DATE, F.round("total", 2).alias("total"), "orders")
 
 
@@ -121,7 +122,7 @@ def _(spark, d):
     """Quarterly quantities, known three dates of the panel later, carried forward."""
     li = table(spark, d, "lineitem")
     reports = li.groupBy(F.date_trunc("quarter", "l_shipdate").alias(DATE), F.col("l_suppkey").alias(NAME)).agg(F.sum("l_quantity").alias("qty"))
-    return al.report_to_daily(reports, cells(spark, d).select(DATE, NAME), ["qty"], 3)
+    return al.report_to_daily(reports, written(cells(spark, d).select(DATE, NAME), "weeks"), ["qty"], 3)
 
 
 @query("jn10_11_attributes", "SELECT s.s_suppkey, s.s_acctbal, n.n_name, n.n_regionkey FROM supplier s LEFT JOIN nation n ON s.s_nationkey = n.n_nationkey AND n.n_regionkey < 3")

@@ -18,6 +18,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.functions.sliding import Slide, slide
+
 DATE, NAME = "Datetime", "Contract"
 
 
@@ -29,6 +31,7 @@ class Layers:
         whose results are held against another engine's sets it, since sums in another order differ in their last bits."""
         self.depth: dict[str, int] = {c: 0 for c in columns}
         self.sql: dict[str, str] = {}
+        self.slides: dict[str, Slide] = {}
         self.decimals = decimals
 
     # Windows, as text.
@@ -51,6 +54,13 @@ class Layers:
         self.sql[key] = expression
         return key
 
+    def let_slide(self, kind: str, inputs: Sequence[str], w: int, n: int = 0) -> str:
+        """Add a column that a walk over each contract's rows computes, and return its name."""
+        inputs = tuple(self.let(f"CAST({x} AS DOUBLE)") for x in inputs)
+        name = self.let(f"{kind}_{w}_{n} OF {' AND '.join(inputs)}")  # not SQL: it only names the column and what it uses
+        self.slides[name] = Slide(kind, inputs, w, n)
+        return name
+
     def ordering(self, x: str) -> str:
         """What ``x`` is ordered by."""
         return x if self.decimals is None else f"round({x}, {self.decimals})"
@@ -74,6 +84,9 @@ class Layers:
     def percentile(self, x: str, q: float, over: str) -> str:
         raise NotImplementedError
 
+    def sliding_median(self, x: str, w: int) -> str:
+        raise NotImplementedError
+
     def last_known(self, x: str, over: str) -> str:
         raise NotImplementedError
 
@@ -94,14 +107,14 @@ class SparkFunctions:
     def percentile(self, x: str, q: float, over: str) -> str:
         return f"percentile({x}, {q}) OVER ({over})"
 
+    def sliding_median(self, x: str, w: int) -> str:
+        return self.let_slide("median", [x], w)
+
     def last_known(self, x: str, over: str) -> str:
         return f"last_value({x}) IGNORE NULLS OVER ({over})"
 
     def selected_means(self, x: str, y: str, w: int, n: int) -> str:
-        ok = f"{x} IS NOT NULL AND {y} IS NOT NULL"
-        rows = self.let(f"array_sort(collect_list(CASE WHEN {ok} THEN struct({self.ordering(y)} AS y, {DATE} AS t, {x} AS x) END) OVER ({Layers.trailing(w)}))")
-        mean = "aggregate({}, cast(0 AS double), (s, r) -> s + r.x) / " + str(n)
-        return f"CASE WHEN size({rows}) >= {w} THEN {mean.format(f'slice({rows}, -{n}, {n})')} - {mean.format(f'slice({rows}, 1, {n})')} END"
+        return self.let_slide("selected", [x, self.let(self.ordering(y))], w, n)
 
 
 class DuckFunctions:
@@ -111,6 +124,11 @@ class DuckFunctions:
     def percentile(self, x: str, q: float, over: str) -> str:
         return f"quantile_cont({x}, {q}) OVER ({over})"
 
+    def sliding_median(self, x: str, w: int) -> str:
+        over = Layers.trailing(w)
+        m, n = self.let(f"quantile_cont({x}, 0.5) OVER ({over})"), self.let(f"count({x}) OVER ({over})")
+        return self.let(f"CASE WHEN {x} IS NOT NULL AND {n} >= {w} THEN {m} END")
+
     def last_known(self, x: str, over: str) -> str:
         return f"last_value({x} IGNORE NULLS) OVER ({over})"
 
@@ -138,7 +156,11 @@ class SparkPanel(SparkFunctions, Layers):
         """The panel with the wanted columns, one projection per depth. Later layers read only what they need; Catalyst prunes the rest."""
         df = self.base
         for layer in self.layers(wanted):
-            df = df.select("*", *[F.expr(self.sql[k]).alias(k) for k in layer])
+            plain, walked = [k for k in layer if k not in self.slides], {k: self.slides[k] for k in layer if k in self.slides}
+            if plain:
+                df = df.select("*", *[F.expr(self.sql[k]).alias(k) for k in plain])
+            if walked:
+                df = slide(df, walked, Layers.T)
         return df
 
     def select(self, columns: Mapping[str, str], where: str | None = None):
