@@ -14,7 +14,9 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -49,8 +51,13 @@ MAX_LINK_DENSITY, SHORT_CHARS, LONG_CHARS, STOP_LOW, STOP_HIGH = 0.34, 70, 200,
 #: Share of a page's running text that makes an element its body, whatever the element is named.
 BODY_SHARE = 0.8
 
-_RAW_TAG = "|".join(RAW)
-MARKUP = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<({_RAW_TAG})\b[^>]*?(?:/>|>.*?(?:</\1\s*>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|\Z)", re.DOTALL | re.IGNORECASE)
+#: Code: without an end it is code to the end of the page. Other raw elements without an end are their tag alone.
+CODE = ("script", "style")
+#: Share of stop words in all running text of a page below which none of the lists is of its language, and running text that tells.
+STOP_NONE, TELLING_CHARS = 0.05, 200
+MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|\Z)", re.DOTALL | re.IGNORECASE)
+#: Scripts without spaces: a character of theirs says as much as three letters.
+DENSE = re.compile("[\u2e80-\u9fff\uac00-\ud7af\uf900-\ufaff\U00020000-\U0003ffff]")
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
 WORDS = re.compile(r"[^\W_]+")
 
@@ -69,6 +76,10 @@ class Block:
     heading: bool = False
     verdict: str = ""
 
+    @cached_property
+    def stops(self) -> float:
+        return stop_share(self.text)
+
 
 @dataclass
 class _Open:
@@ -174,17 +185,53 @@ def tidy(s: str) -> str:
     return " ".join(html.unescape(s).split()) if s else ""
 
 
+class _Raw:
+    """Where raw elements of one page end. Ends are looked for once a kind of element, however many there are."""
+
+    def __init__(self, page: str):
+        self.page, self.ends = page, {}
+
+    def after(self, tag: str, start: int) -> int:
+        """What follows the element that opens with a tag up to ``start``."""
+        if tag == "option":  # its end may be left out; its text has no markup
+            k = self.page.find("<", start)
+            return len(self.page) if k < 0 else k
+        if tag not in self.ends:
+            self.ends[tag] = self._find(tag)
+        if tag in CODE:
+            at = self.ends[tag]
+            k = bisect_right(at, (start, 0))
+            return at[k][1] if k < len(at) else len(self.page)
+        return self.ends[tag].get(start, start)
+
+    def _find(self, tag: str):
+        if tag in CODE:
+            return [m.span() for m in re.finditer(rf"</{tag}\s*>", self.page, re.IGNORECASE)]
+        open_at, out = [], {}
+        for m in re.finditer(rf"<(/?){tag}\b[^>]*>", self.page, re.IGNORECASE):
+            if m[1]:
+                if open_at:
+                    out[open_at.pop()] = m.end()
+            elif m[0][-2] != "/":
+                open_at.append(m.end())
+        return out
+
+
 def cut_blocks(page: str) -> list[Block]:
     """The blocks of a page in order."""
-    r, at = _Reader(), 0
-    for m in MARKUP.finditer(page):
+    r, at, raw = _Reader(), 0, _Raw(page)
+    while m := MARKUP.search(page, at):
         r.text(page[at : m.start()])
         at = m.end()
-        if m[3]:
-            tag = m[3].lower()
-            r.close(tag) if m[2] else r.open(tag, m[4])
-        elif m[1]:
+        if not m[2]:
+            continue
+        tag = m[2].lower()
+        if tag in RAW:
+            if not m[1] and m[0][-2:] != "/>":
+                at = raw.after(tag, at)
             r.text(" ")
+        else:
+            r.close(tag) if m[1] else r.open(tag, m[3])
     r.text(page[at:])
     r.flush()
     return r.blocks
@@ -199,13 +246,25 @@ def stop_share(text: str) -> float:
     return sum(w in STOP_WORDS for w in words) / max(1, len(words))
 
 
+def weight(text: str) -> int:
+    """Characters, those of scripts without spaces as three."""
+    return len(text) if text.isascii() else len(text) + 2 * len(DENSE.findall(text))
+
+
+def of_no_list(blocks: list[Block]) -> bool:
+    """Whether the page's running text is in a language that the stop words don't have."""
+    running = [b for b in blocks if not b.outside and weight(b.text) >= SHORT_CHARS and b.links / len(b.text) <= MAX_LINK_DENSITY]
+    size = sum(len(b.text) for b in running)
+    return sum(map(weight, (b.text for b in running))) >= TELLING_CHARS and sum(b.stops * len(b.text) for b in running) < STOP_NONE * size
+
+
 def settle_names(blocks: list[Block]) -> None:
     """Blocks in elements that only a name calls outside are outside, unless that element holds nearly all running text and nothing of it stands in an article or main element elsewhere."""
     if not any(b.named for b in blocks):
         return
     body: set[int] = set()
     if not any(b.inside and not b.named for b in blocks if not b.outside):
-        running = [b for b in blocks if not b.outside and b.named >= 0 and len(b.text) >= SHORT_CHARS and b.links / len(b.text) <= MAX_LINK_DENSITY and stop_share(b.text) >= STOP_LOW]
+        running = [b for b in blocks if not b.outside and b.named >= 0 and len(b.text) >= SHORT_CHARS and b.links / len(b.text) <= MAX_LINK_DENSITY and b.stops >= STOP_LOW]
         total = sum(len(b.text) for b in running)
         body = {k for k in {b.named for b in running} - {0} if sum(len(b.text) for b in running if b.named == k) > BODY_SHARE * total}
     for b in blocks:
@@ -216,15 +275,19 @@ def classify(blocks: list[Block]) -> None:
     """Pass one: decide by place, link density, length and stop-word density; short or middling blocks stay undecided.
 
     In an article, so do those that only their few stop words are against, linked headings, and paragraphs that are one link.
+    On a page whose language has no stop words here, long blocks are good and middling ones undecided.
     """
     settle_names(blocks)
+    foreign = of_no_list(blocks)
     for b in blocks:
         if b.outside or b.links / len(b.text) > MAX_LINK_DENSITY and not (b.inside and (b.heading or b.tag == "p" and b.anchors <= 1)):
             b.verdict = "bad"
-        elif len(b.text) < SHORT_CHARS or b.heading:
+        elif weight(b.text) < SHORT_CHARS or b.heading:
             b.verdict = "short"
+        elif foreign:
+            b.verdict = "good" if weight(b.text) >= LONG_CHARS else "short"
         else:
-            stops = stop_share(b.text)
+            stops = b.stops
             if stops >= STOP_HIGH or stops >= STOP_LOW and len(b.text) > LONG_CHARS:
                 b.verdict = "good"
             else:
@@ -269,6 +332,11 @@ def extract(page: str | None) -> str:
         return ""
     blocks = cut_blocks(page)
     classify(blocks)
+    if not any(b.verdict == "good" for b in blocks):
+        # No text has enough stop words: length and link density alone tell.
+        for b in blocks:
+            if not b.outside and not b.heading and weight(b.text) >= SHORT_CHARS and b.links / len(b.text) <= MAX_LINK_DENSITY:
+                b.verdict = "good"
     inherit(blocks)
     return "\n\n".join(b.text for b in blocks if b.verdict.startswith("good"))
 

@@ -53,6 +53,12 @@ class ProductIndex:
         return np.sqrt(np.maximum(out, 0))
 
 
+    def finds(self, x: np.ndarray, y: np.ndarray, home: int) -> np.ndarray:
+        """For pairs of vectors (rows of x and y), whether y, at home in list ``home``, is looked up in the list of x."""
+        of_x = distances(x, self.centres).argmin(1)
+        own = ((y - self.centres[home]) ** 2).sum(1)
+        return ((y - self.centres[of_x]) ** 2).sum(1) - own <= self.reach[home, of_x] + 1e-9
+
     def probes(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(home list of each vector, which lists it is looked up in)."""
         d = distances(x, self.centres)
@@ -76,6 +82,11 @@ def kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.n
     return c
 
 
+def farthest(centres: np.ndarray, threshold: float) -> np.ndarray:
+    """For each two lists, the reach within which no link can be missed."""
+    return 2 * float(np.sqrt(2 - 2 * threshold)) * np.sqrt(distances(centres, centres))
+
+
 def reaches(unit: np.ndarray, centres: np.ndarray, home: np.ndarray, threshold: float) -> np.ndarray:
     """For each two lists, how much nearer to its own centre than to the other a vector may be that is still looked up there.
 
@@ -106,8 +117,8 @@ def reaches(unit: np.ndarray, centres: np.ndarray, home: np.ndarray, threshold:
     return 2 * radius * between * np.minimum(1.0, np.maximum(part, TRIAL_FACTOR * most))
 
 
-def fit_index(unit: np.ndarray, lists: int, threshold: float = 0.95, seed: int = 5) -> ProductIndex:
-    """Fit on unit vectors; fewer vectors than lists or codes make fewer of them."""
+def fit_index(unit: np.ndarray, lists: int, threshold: float = 0.95, seed: int = 5, exact: bool = False) -> ProductIndex:
+    """Fit on unit vectors; fewer vectors than lists or codes make fewer of them. ``exact``: every list is looked up that a link can be in."""
     rng = np.random.default_rng(seed)
     centres = kmeans(unit, max(1, min(lists, len(unit))), 10, rng)
     home = np.concatenate([np.zeros(0, np.int64), *[distances(unit[i : i + 4000], centres).argmin(1) for i in range(0, len(unit), 4000)]])
@@ -116,7 +127,7 @@ def fit_index(unit: np.ndarray, lists: int, threshold: float = 0.95, seed: int =
     dims = unit.shape[1]
     cuts = np.linspace(0, dims, min(SUBSPACES, dims) + 1).round().astype(int)
     books = tuple(kmeans(residual[:, a:b], min(CODES, len(residual)), 6, rng) for a, b in zip(cuts[:-1], cuts[1:], strict=True))
-    return ProductIndex(centres, cuts, books, reaches(unit, centres, home, threshold))
+    return ProductIndex(centres, cuts, books, farthest(centres, threshold) if exact else reaches(unit, centres, home, threshold))
 
 
 def matrix(column) -> np.ndarray:
@@ -202,7 +213,8 @@ def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def search(found: DataFrame, index: ProductIndex, threshold: float) -> DataFrame:
     """(a, b, links): spanning edges (links null), and for each vector a with links in a tile their number (b null).
 
-    Lists are cut into tiles of bounded numbers of members and queries, so that a list with a third of all vectors is many
+    A pair found in a list counts for the vector looked up; where the other one is not looked up in the first one's list,
+    so that the link shows from one side only, it counts for both. Lists are cut into tiles of bounded numbers of members and queries, so that a list with a third of all vectors is many
     tasks; a tile sees every member and query of its part.
     """
     shared = found.sparkSession.sparkContext.broadcast(index)
@@ -232,7 +244,11 @@ def search(found: DataFrame, index: ProductIndex, threshold: float) -> DataFrame
             other = rep[i] != rep[j]
             i, j = i[other], j[other]
             x, y = spanning(rep[i], rep[j])
-            n = np.bincount(i, mult[j], len(rep)).astype(np.int64)
+            n = np.bincount(i, mult[j], len(rep))
+            if len(i):
+                once = ~np.concatenate([ix.finds(unit_rows(v[i[c : c + 20_000]]), unit_rows(v[j[c : c + 20_000]]), k) for c in range(0, len(i), 20_000)])
+                n += np.bincount(j[once], mult[i[once]], len(rep))
+            n = n.astype(np.int64)
             a.append(x)
             b.append(y)
             who.append(rep[n > 0])
@@ -244,7 +260,7 @@ def search(found: DataFrame, index: ProductIndex, threshold: float) -> DataFrame
     return tiles.groupBy("t").applyInArrow(run, "a long, b long, links long")
 
 
-def embedding_components(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id") -> DataFrame:
+def embedding_components(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", exact: bool = False) -> DataFrame:
     """(vec_id, n_links, component_id, kept): one row per vector.
 
     n_links counts the other vectors found with cosine >= ``threshold`` (equal vectors among them), component_id is the
@@ -252,7 +268,8 @@ def embedding_components(vectors: DataFrame, threshold: float = 0.95, id_col: st
     link with nothing, as do rows without an id, which are kept; vectors of different length don't link. Equal vectors are
     looked up once. An empty table gives no rows. Cosines are taken in double precision, of components as they are stored:
     floats as floats, anything else as doubles. Ties need no rule, as all links of a vector count. Of other columns only
-    ``id_col`` and ``embedding`` are read, so their names can't clash.
+    ``id_col`` and ``embedding`` are read, so their names can't clash. ``exact`` looks every vector up in all lists that
+    a link of it can be in, which finds all links and takes several times as long.
     """
     spark = vectors.sparkSession
     configure(spark)
@@ -269,7 +286,7 @@ def embedding_components(vectors: DataFrame, threshold: float = 0.95, id_col: st
     for r in sorted(classes.groupBy(F.size("embedding").alias("d")).count().collect()):
         same = classes.where(F.size("embedding") == r["d"])
         picked = same.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("embedding").toArrow()
-        index = fit_index(unit_rows(matrix(picked.column(0))), min(MOST_LISTS, -(-r["count"] // LIST_SIZE)), threshold)
+        index = fit_index(unit_rows(matrix(picked.column(0))), min(MOST_LISTS, -(-r["count"] // LIST_SIZE)), threshold, exact=exact)
         found = materialise(entries(same, index), "lists")
         results.append(search(found, index, threshold))
     named = classes.select("k1", "k2", "rep", "mult")

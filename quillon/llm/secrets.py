@@ -14,6 +14,7 @@ import bisect
 import itertools
 import json
 import re
+from collections.abc import Callable
 from typing import NamedTuple
 
 import numpy as np
@@ -41,8 +42,6 @@ BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}+={0,2}")
 #: How a key may begin within a longer run, where something is glued to it.
 INNER = re.compile(r"M[A-P][A-Za-z0-9+/_-]{2}|b3BlbnNzaC1rZXktdjEA")
 HEX_ANY = re.compile(r"(?<![0-9a-fA-F])[0-9a-fA-F]{64,}+")
-#: Characters of an OpenSSH key within which its public half, and with that the length of the whole, must come.
-SSH_HEAD = 1 << 15
 KINDS = ("assign", "access", "hex", "signed_token", "key_block", "base64_key", "hex_key")
 
 _CLASS = np.zeros(256, np.uint8)
@@ -138,56 +137,74 @@ def is_key_block(body: str) -> bool:
     return is_private_key(raw) or cipher is not None and len(raw) >= 32 and len(raw) % (len(cipher[1]) // 2) == 0
 
 
-def _key_size(d: bytes) -> int | None:
-    """Bytes of the key that ``d``, perhaps with more after it, begins with; None if ``d`` doesn't tell."""
-    if not d.startswith(b"openssh-key-v1\0"):
-        got = _length(d, 1) if d[:1] == b"\x30" else None
+def _size_by(read: Callable[[int, int], bytes]) -> int | None:
+    """Bytes of the key that begins with the bytes ``read(start, number)`` gives, perhaps with more after it; None if they don't tell. Only lengths are read, not what they are of."""
+    head = read(0, 15)
+    if head != b"openssh-key-v1\0":
+        got = _length(head, 1) if head[:1] == b"\x30" else None
         return got and sum(got)
-    i, cipher, left = 15, b"", 3
-    while left:
-        n = int.from_bytes(d[i : i + 4], "big")
-        cipher = cipher or d[i + 4 : i + 4 + n]
-        i, left = i + 4 + n, left - 1
-    keys = int.from_bytes(d[i : i + 4], "big")
+    number = lambda i: int.from_bytes(x, "big") if len(x := read(i, 4)) == 4 else None
+    i, cipher = 15, b""
+    for k in range(3):
+        n = number(i)
+        if n is None:
+            return None
+        cipher = read(i + 4, min(n, 64)) if k == 0 else cipher
+        i += 4 + n
+    keys = number(i)
+    if keys is None:
+        return None
     i += 4
     for _ in range(keys + 1):
-        if i + 4 > len(d):
+        n = number(i)
+        if n is None:
             return None
-        i += 4 + int.from_bytes(d[i : i + 4], "big")
+        i += 4 + n
     return i + 16 * (b"gcm" in cipher or b"poly1305" in cipher)
 
 
+class _Run:
+    """Base64 words one after another, with white space between them, read once: where each begins and ends, and all of them joined."""
+
+    def __init__(self, t: str, at: int):
+        self.starts, self.ends, self.sums, parts = [], [], [0], []
+        while x := LINE.match(t, at):
+            self.starts.append(x.start(1))
+            self.ends.append(at := x.end())
+            self.sums.append(self.sums[-1] + len(x[1]))
+            parts.append(x[1])
+        self.joined = "".join(parts)
+
+
+def _decoded(s: str, first: int, i: int, n: int) -> bytes:
+    """``n`` bytes from the ``i``-th on of what the characters of ``s`` from ``first`` on encode."""
+    raw = from_base64(s[first + i // 3 * 4 : first - (-(i + n) // 3) * 4].rstrip("="))
+    return b"" if raw is None else raw[i % 3 : i % 3 + n]
+
+
 def wrapped_keys(t: str) -> list[tuple[int, int]]:
-    """(start, end) of private keys in base64 over several lines. A key tells its length, and with that where its last line ends."""
-    t, out, at = ESCAPED.sub(lambda m: "\n" * len(m[0]), t), [], 0
+    """(start, end) of private keys in base64 over several lines. A key tells its length, and with that where its last line ends.
+
+    Lines are read once, whatever number of keys seems to begin in them; only a length that ends with a line is looked into.
+    """
+    t, out, at, run = ESCAPED.sub(lambda m: "\n" * len(m[0]), t), [], 0, None
     for m in WRAPPED.finditer(t):
         if m.start() < at:
             continue
-        end, s, need = m.end(), m[0], None
-        ssh = s[0] == "b"
-        if not ssh:
-            size = _key_size(from_base64(s[:32]) or b"")
-            if size is None:
-                continue
-            need = -(-size * 4 // 3)
-        parts, n = [s], len(s)
-        while (n < need if need is not None else n < SSH_HEAD) and (x := LINE.match(t, end)):
-            parts.append(x[1])
-            end, n = x.end(), n + len(x[1])
-            if ssh and need is None and len(parts) % 8 == 0 and (size := _key_size(from_base64("".join(parts)[: n // 4 * 4]) or b"")) is not None:
-                need = -(-size * 4 // 3)
-        s = "".join(parts)
-        if ssh and (size := _key_size(from_base64(s[: n // 4 * 4]) or b"")) is not None:
-            need = -(-size * 4 // 3)
-            while len(parts) > 1 and n - len(parts[-1]) >= need:
-                n -= len(parts.pop())
-            end = m.start()
-            for x in parts:
-                end = t.index(x, end) + len(x)
-        if len(parts) == 1 or need is None or n != need:
+        if run is None or m.start() > run.starts[-1]:
+            run = _Run(t, m.start())
+        k = bisect.bisect_left(run.starts, m.start())
+        first = run.sums[k]
+        size = _size_by(lambda i, n, run=run, first=first: _decoded(run.joined, first, i, n))
+        if size is None or m[0][0] == "M" and not _starts_key(from_base64(m[0][:32]) or b""):
+            continue
+        last = first - (-size * 4 // 3)
+        j = bisect.bisect_left(run.sums, last)
+        if j >= len(run.sums) or run.sums[j] != last or j < k + 2:
             continue
-        raw = from_base64("".join(parts))
+        raw = from_base64(run.joined[first:last])
         if raw is not None and is_private_key(raw):
+            end = run.ends[j - 1]
             at = end + len(t[end : end + 2]) - len(t[end : end + 2].lstrip("="))
             out.append((m.start(), at))
     return out
@@ -253,10 +270,8 @@ def _bare_key(s: str) -> tuple[int, int] | None:
         return 0, len(s)
     for m in INNER.finditer(s):
         i = m.start()
-        rest = s[i : i + (32 if m[0][0] == "M" else SSH_HEAD)].rstrip("=")
-        head = from_base64(rest[: len(rest) // 4 * 4]) or b""
-        size = _key_size(head)
-        if size is None or size < 24 or m[0][0] == "M" and not _starts_key(head):
+        size = _size_by(lambda a, n, i=i: _decoded(s, i, a, n))
+        if size is None or size < 24 or m[0][0] == "M" and not _starts_key(_decoded(s, i, 0, 24)):
             continue
         n = -(-size * 4 // 3)
         if n <= len(s) - i and (raw := from_base64(s[i : i + n])) is not None and is_private_key(raw):

@@ -61,8 +61,8 @@ def items_of(baskets: DataFrame) -> DataFrame:
     """(token, item) for the tokens of baskets (id, t, bad): the least of the tokens that stand in exactly the same baskets. Tokens of every basket are left out."""
     n = baskets.count()
     each = baskets.select("id", F.explode("t").alias("token"))
-    # Two sums of hashes of the baskets' numbers tell sets apart.
-    key = [F.sum(F.xxhash64("id", F.lit(k)).bitwiseAND(F.lit((1 << 40) - 1))).alias(f"k{k}") for k in (1, 2)]
+    # Two hashes of all baskets' numbers together tell sets apart; exclusive or can't overflow.
+    key = [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"k{k}") for k in (1, 2)]
     sets = each.groupBy("token").agg(F.count("*").alias("n"), *key).where(F.col("n") < n)
     least = sets.groupBy("n", "k1", "k2").agg(F.min("token").alias("item"))
     return sets.join(least, ["n", "k1", "k2"]).select("token", "item")
