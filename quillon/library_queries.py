@@ -503,6 +503,83 @@ def _(spark, d):
     return regression.residuals(df, "y", ["size", "discount", "tax"], ridge=0.0).select(DATE, NAME, (F.round(F.col("residual") + 1.3e-10, 5) + F.lit(0.0)).alias("residual"))
 
 
+def _ridge(y: str, controls: list[str], ridge: str, base: str, n: str = "count(*) OVER (PARTITION BY {d})", least: str = "") -> str:
+    """The residual with a ridge, orthogonally: each control gets a row a date of its own that holds the ridge's root, and all are taken out one after another."""
+    names, d = [y, *controls], DATE
+    centred = ", ".join(f"{c} - avg({c}) OVER (PARTITION BY {d}) AS {c}" for c in names)
+    last = f"SELECT {d}, {NAME}, {n.format(d=d)} AS n, {centred} FROM ({base}) q0"
+    own = " UNION ALL ".join(
+        f"SELECT DISTINCT {d}, NULL AS {NAME}, n, 0.0E0 AS {y}, {', '.join(f'sqrt({ridge})' if x == c else '0.0E0' for x in controls)} FROM centred".replace(" FROM", " FROM", 1) for c in controls
+    )
+    last = f"WITH centred AS ({last}) SELECT {d}, {NAME}, n, {', '.join(names)} FROM centred UNION ALL {own}"
+    left = list(names)
+    for c in controls:
+        left.remove(c)
+        part = lambda v, c=c: f"{v} - CASE WHEN sum({c} * {c}) OVER (PARTITION BY {d}) > 1E-12 THEN sum({v} * {c}) OVER (PARTITION BY {d}) / sum({c} * {c}) OVER (PARTITION BY {d}) ELSE 0 END * {c} AS {v}"
+        last = f"SELECT {d}, {NAME}, n, {', '.join(part(v) for v in left)} FROM ({last}) q"
+    enough = least or str(len(controls) + 2)
+    return f"SELECT {d}, {NAME}, CASE WHEN n >= {enough} THEN {y} END AS residual FROM ({last}) q WHERE {NAME} IS NOT NULL"
+
+
+_STYLES = ["size", "discount", "tax"]
+
+
+def _with_all_rows(residual: str, rows: str) -> str:
+    """Residuals next to all rows of the panel, rounded."""
+    return f"SELECT p.{DATE}, p.{NAME}, round(r.residual + 1.3E-10, 6) + 0.0E0 AS residual FROM ({rows}) p LEFT JOIN ({residual}) r ON p.{DATE} = r.{DATE} AND p.{NAME} = r.{NAME}"
+
+
+def _known(columns: list[str]) -> str:
+    return " AND ".join(f"{c} IS NOT NULL" for c in columns)
+
+
+@query(
+    "rg3_many_controls",
+    _with_all_rows(_ridge("y", [*_STYLES, "volume"], "1E-6", f"SELECT {DATE}, {NAME}, ln(price) AS y, size, discount, tax, volume FROM {{panel}} WHERE {_known(['price', *_STYLES, 'volume'])}"), f"SELECT {DATE}, {NAME} FROM {{panel}}"),
+    panel=True,
+)
+def _(spark, d):
+    """Joint residual on four controls, with a ridge."""
+    df = cells(spark, d).withColumn("y", F.log("price"))
+    return regression.residuals(df, "y", [*_STYLES, "volume"]).select(DATE, NAME, six("residual"))
+
+
+def _dynamic_sql() -> str:
+    """Controls that aren't picked are 0 everywhere and take nothing out; what isn't known of them doesn't matter."""
+    daily = ", ".join(
+        f"CASE WHEN count(y) FILTER (WHERE {s} IS NOT NULL) >= 3 AND var_pop(y) FILTER (WHERE {s} IS NOT NULL) > 1E-14 AND var_pop({s}) FILTER (WHERE y IS NOT NULL) > 1E-14 THEN corr(y, {s}) END AS {s}" for s in _STYLES
+    )
+    means = " UNION ALL ".join(f"SELECT '{s}' AS style, abs(avg({s})) AS c FROM daily" for s in _STYLES)
+    flags = ", ".join(f"coalesce(max(CASE WHEN style = '{s}' THEN 1.0E0 END), 0.0E0) AS f_{s}" for s in _STYLES)
+    masked = ", ".join(f"CASE WHEN f_{s} > 0 THEN {s} ELSE 0.0E0 END AS {s}" for s in _STYLES)
+    known = " AND ".join(f"(f_{s} = 0 OR {s} IS NOT NULL)" for s in _STYLES)
+    base = f"SELECT {DATE}, {NAME}, y, {masked} FROM p, flags WHERE y IS NOT NULL AND {known}"
+    number = " + ".join(f"f_{s}" for s in _STYLES)
+    some = _ridge("y", _STYLES, "1E-6", base, least=f"(SELECT {number} FROM flags) + 2")
+    return f"""WITH p AS (SELECT {DATE}, {NAME}, ln(price) AS y, {', '.join(_STYLES)} FROM {{panel}}),
+      daily AS (SELECT {DATE}, {daily} FROM p GROUP BY {DATE}),
+      picked AS (SELECT style FROM ({means}) m WHERE c > 0.3 ORDER BY c DESC, style LIMIT 2),
+      flags AS (SELECT {flags} FROM picked),
+      part AS ({some})
+      {_with_all_rows(f"SELECT p.{DATE}, p.{NAME}, CASE WHEN (SELECT {number} FROM flags) = 0 THEN p.y ELSE s.residual END AS residual FROM p LEFT JOIN part s ON p.{DATE} = s.{DATE} AND p.{NAME} = s.{NAME}", "SELECT * FROM p")}"""
+
+
+@query("rg5_dynamic_styles", _dynamic_sql(), panel=True)
+def _(spark, d):
+    """Residual on the styles most correlated with the factor."""
+    df = cells(spark, d).withColumn("y", F.log("price"))
+    out, _ = regression.neutralise_dynamic(df, "y", _STYLES)
+    return out.select(DATE, NAME, six("residual"))
+
+
+@query("rg5_weak_styles", _dynamic_sql().replace("c > 0.3", "c > 0.01").replace("LIMIT 2", "LIMIT 1"), panel=True)
+def _(spark, d):
+    """As before, with a threshold that some style passes."""
+    df = cells(spark, d).withColumn("y", F.log("price"))
+    out, _ = regression.neutralise_dynamic(df, "y", _STYLES, threshold=0.01, most=1)
+    return out.select(DATE, NAME, six("residual"))
+
+
 @query(
     "rg8_styles_then_industry",
     f"WITH base AS (SELECT {DATE}, {NAME}, ln(price) AS y, size, tax, discount FROM {{panel}} WHERE tradeable AND industry IS NOT NULL) SELECT q.{DATE}, q.{NAME}, round(q.residual0 - avg(q.residual0) OVER (PARTITION BY q.{DATE}, p.industry) + 1.3E-10, 5) + 0.0E0 AS residual FROM ({_gram_schmidt('y', ['size', 'discount', 'tax']).replace('round(CASE', '(CASE').replace(' + 1.3E-10, 5) + 0.0E0 AS residual', ') AS residual0')}) q JOIN {{panel}} p ON q.{DATE} = p.{DATE} AND q.{NAME} = p.{NAME} WHERE q.residual0 IS NOT NULL",

@@ -1,47 +1,67 @@
-"""Cross-sectional regressions with any number of controls, as moments per date and one small solve."""
+"""Cross-sectional regressions with any number of controls, solved date by date in columns."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.plans.layers import DATE, NAME
 
+#: A control of which less than this part is left, once the controls before it are taken out, tells nothing more.
+COLLINEAR = 1e-10
+
 
 def residuals(df: DataFrame, y: str, controls: Sequence[str], ridge: float = 1e-6, into: str = "residual") -> DataFrame:
     """``df`` with the residual of y on an intercept and all controls jointly, date by date.
 
     Only rows with y and all controls known count; a date needs len(controls) + 2 of them, otherwise its residuals are
-    missing. Without controls the residual is y less its mean. Rows never leave the JVM: a date sends its (k + 1)**2 moments
-    to the solver, and its k + 1 coefficients come back by a broadcast of one row per date.
+    missing. Without controls the residual is y less its mean. On dates without full rank, controls that follow from those
+    before them take nothing out, which leaves the residual of the rest.
+
+    Moments are windows over one exchange by date, and the equations are eliminated in columns of the same rows: the table
+    is planned once, and no row and no moment leaves the engine.
     """
-    x = ["1.0E0", *controls]
-    known = " AND ".join(f"{c} IS NOT NULL" for c in (y, *controls))
-    k = len(x)
-    gram = [F.sum(F.expr(f"{a} * {b}")).alias(f"g{i}_{j}") for i, a in enumerate(x) for j, b in enumerate(x) if j >= i]
-    right = [F.sum(F.expr(f"{a} * {y}")).alias(f"r{i}") for i, a in enumerate(x)]
-    moments = df.where(known).groupBy(DATE).agg(F.count("*").alias("n"), *gram, *right)
-
-    def solve(parts):
-        for part in parts:
-            betas = []
-            for m in part.itertuples():
-                if m.n < len(controls) + 2:
-                    betas.append(None)
-                    continue
-                g = np.array([[getattr(m, f"g{min(i, j)}_{max(i, j)}") for j in range(k)] for i in range(k)])
-                g += ridge * np.diag([0.0] + [1.0] * (k - 1))
-                betas.append(np.linalg.lstsq(g, np.array([getattr(m, f"r{i}") for i in range(k)]), rcond=None)[0].tolist())
-            yield pd.DataFrame({DATE: part[DATE], "beta": betas})
-
-    betas = moments.mapInPandas(solve, f"{DATE} timestamp, beta array<double>")
-    fitted = " + ".join(f"beta[{i}] * {a}" for i, a in enumerate(x))
-    # One row per date: bounded by the calendar.
-    return df.join(F.broadcast(betas), DATE, "left").withColumn(into, F.expr(f"CASE WHEN {known} AND beta IS NOT NULL THEN {y} - ({fitted}) END")).drop("beta")
+    k, taken = len(controls), set(df.columns)
+    prefix = next(p for p in (f"_rg{i}_" for i in range(1000)) if not any(c.startswith(p) for c in taken))
+    c = lambda name: F.col(prefix + name)
+    add = lambda d, columns: d.withColumns({prefix + name: x for name, x in columns.items()})
+    by, known = Window.partitionBy(DATE), F.lit(True)
+    for x in (y, *controls):
+        known &= F.expr(x).isNotNull()
+    d = add(df, {"k": known})
+    values = {"y": y} | {f"x{i}": x for i, x in enumerate(controls)}
+    value = {v: F.when(c("k"), F.expr(x).cast("double")) for v, x in values.items()}
+    d = add(d, {"n": F.count_if(c("k")).over(by), **{v: x - F.avg(x).over(by) for v, x in value.items()}})
+    products = {f"s{i}_{j}": c(f"x{i}") * c(f"x{j}") for i in range(k) for j in range(i + 1)} | {f"t{i}": c(f"x{i}") * c("y") for i in range(k)}
+    d = add(d, {name: F.coalesce(F.sum(x).over(by), F.lit(0.0)) for name, x in products.items()})
+    if ridge:
+        d = add(d, {f"s{i}_{i}": c(f"s{i}_{i}") + ridge for i in range(k)})
+    # S = L D L': d<i> are the pivots, l<i>_<j> what control j takes out of i, z<i> the right side without the controls before.
+    for j in range(k):
+        pivot, right = c(f"s{j}_{j}"), c(f"t{j}")
+        for q in range(j):
+            pivot -= c(f"l{j}_{q}") * c(f"l{j}_{q}") * c(f"d{q}")
+            right -= c(f"l{j}_{q}") * c(f"z{q}")
+        d = add(d, {f"d{j}": F.when(pivot > COLLINEAR * c(f"s{j}_{j}"), pivot).otherwise(0.0), f"z{j}": right})
+        below = {}
+        for i in range(j + 1, k):
+            left = c(f"s{i}_{j}")
+            for q in range(j):
+                left -= c(f"l{i}_{q}") * c(f"l{j}_{q}") * c(f"d{q}")
+            below[f"l{i}_{j}"] = F.when(c(f"d{j}") > 0, left / c(f"d{j}")).otherwise(0.0)
+        d = add(d, below) if below else d
+    for j in reversed(range(k)):
+        beta = c(f"z{j}") / c(f"d{j}")
+        for i in range(j + 1, k):
+            beta -= c(f"l{i}_{j}") * c(f"b{i}")
+        d = add(d, {f"b{j}": F.when(c(f"d{j}") > 0, beta).otherwise(0.0)})
+    left = c("y")
+    for j in range(k):
+        left -= c(f"b{j}") * c(f"x{j}")
+    kept = [F.col(f"`{x}`") for x in df.columns if x != into]
+    return d.select(*kept, F.when(c("n") >= k + 2, left).alias(into))
 
 
 def style_correlations(df: DataFrame, factor: str, styles: Sequence[str]) -> dict[str, float]:

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.operators import dominance, lasso, regression
+from quillon.operators import dominance, lasso
 from quillon.plans.layers import DATE, NAME
 from quillon.plans.panel import weekly_panel
 
@@ -181,21 +181,6 @@ def _on_spark(f) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
-def rg3_many_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Joint residual on four controls."""
-    p = weekly_panel(spark, sf_dir)
-    df = p.frame([]).withColumn("y", F.log("price"))
-    return regression.residuals(df, "y", ["size", "discount", "tax", "volume"]).select(DATE, NAME, F.round("residual", 6).alias("residual"))
-
-
-def rg5_dynamic_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Residual on the styles most correlated with the factor."""
-    p = weekly_panel(spark, sf_dir)
-    df = p.frame([]).withColumn("y", F.log("price"))
-    out, _ = regression.neutralise_dynamic(df, "y", ["size", "discount", "tax"])
-    return out.select(DATE, NAME, F.round("residual", 6).alias("residual"))
-
-
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     _views(spark, sf_dir)
     return spark.sql(f"SELECT CAST(id AS BIGINT) AS id, CAST(f1 AS DOUBLE) AS f1, f2 FROM ({_OBJECTIVES}) o")
@@ -286,7 +271,7 @@ def se12_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: _on_spark(f) for k, f in SQL.items()} | {f.__name__: f for f in (rg3_many_controls, rg5_dynamic_styles, se1_2_pareto_front, se4_selection, se6_elites, se12_search, se12_structured_search, se12_behaviour_search, se12_tree_search, se16_lasso)}
+    return {k: _on_spark(f) for k, f in SQL.items()} | {f.__name__: f for f in (se1_2_pareto_front, se4_selection, se6_elites, se12_search, se12_structured_search, se12_behaviour_search, se12_tree_search, se16_lasso)}
 
 
 def oracle_sql() -> dict[str, str]:
