@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillon.functions import time_series as ts
 from quillon.operators import alignment as al
 from quillon.operators import folds, orderbook, regression, results, selection
+from quillon.operators.json_tree import json_nodes
 from quillon.plans import builder
 from quillon.plans.layers import DATE, NAME
 from quillon.plans.panel import at_close, validate_panel, validate_wide, weekly_panel, weekly_text
@@ -242,6 +243,28 @@ def _(spark, d):
     return results.program_usage(table(spark, d, "part").select("p_partkey", F.expr(_PROGRAM).alias("program_json")), "p_partkey")
 
 
+#: Names with quotes in them, keys within text, and numbers, beside nodes of some depth.
+_NESTED = """'{"op": "say \\\\"' || p_size || '\\\\"", "note": "\\\\"op\\\\": \\\\"no\\\\"", "args": [{"field": "' || split_part(p_name, ' ', 1) || '"}, [1.50, true, null, {"op": "neg", "args": [{"field": "x.y"}]}]], "deep": {"deep": {"op": ""}}}'"""
+
+
+@query(
+    "ag6_program_nodes",
+    f"""WITH RECURSIVE t AS (SELECT p_partkey AS k, json_tree.* FROM (SELECT p_partkey, {_NESTED.replace(chr(92) * 2, chr(92))} AS j FROM part) p, json_tree(p.j)),
+      deep AS (SELECT k, id, 0 AS depth FROM t WHERE parent IS NULL UNION ALL SELECT t.k, t.id, d.depth + 1 FROM deep d JOIN t ON t.k = d.k AND t.parent = d.id),
+      n AS (SELECT t.k, t.id, t.parent, d.depth, CASE WHEN u.type = 'OBJECT' THEN t.key END AS name, CASE WHEN u.type = 'ARRAY' THEN CAST(t.key AS INTEGER) END AS place, t.type, t.atom
+        FROM t JOIN deep d ON t.k = d.k AND t.id = d.id LEFT JOIN t u ON t.k = u.k AND t.parent = u.id)
+      SELECT n.k AS gene_id, n.depth, n.name, n.place, p.name AS parent_name, CASE n.type WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN 'null' ELSE 'number' END AS kind,
+        CASE WHEN n.type IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN CAST(CAST(n.atom AS DOUBLE) AS VARCHAR) WHEN n.type NOT IN ('OBJECT', 'ARRAY', 'NULL') THEN n.atom ->> '$' END AS value
+      FROM n LEFT JOIN n p ON n.k = p.k AND n.parent = p.id""",
+)
+def _(spark, d):
+    """Every node of a nested program, with its depth and the name its parent has."""
+    n = json_nodes(table(spark, d, "part").withColumn("j", F.expr(_NESTED)), "j", ["p_partkey"])
+    up = n.select("p_partkey", F.col("node").alias("parent"), F.col("name").alias("parent_name"))
+    value = F.when(F.col("kind") == "number", F.col("value").cast("double").cast("string")).otherwise(F.col("value"))
+    return n.join(up, ["p_partkey", "parent"], "left").select(F.col("p_partkey").alias("gene_id"), "depth", "name", "place", "parent_name", "kind", value.alias("value"))
+
+
 @query(
     "ag6_expression_usage",
     "SELECT kind, name, count(*) AS n, count(DISTINCT e) AS expressions FROM (SELECT 'operator' AS kind, 'add' AS name, p_name AS e FROM p UNION ALL SELECT 'operator', 'ts_mean_5', p_name FROM p UNION ALL SELECT 'field', split_part(p_name, ' ', 1), p_name FROM p UNION ALL SELECT 'field', split_part(p_name, ' ', 2), p_name FROM p) q GROUP BY kind, name".replace(" FROM p", " FROM (SELECT split_part(p_name, ' ', 1) || ' ' || split_part(p_name, ' ', 2) AS p_name FROM part) p"),
@@ -436,7 +459,8 @@ def _(spark, d):
 def _(spark, d):
     m = orderbook.tick_measures(al.sessions(_ticks(spark, d)), (DATE, "event_id"))
     days = orderbook.daily_book(m, order=(DATE, "event_id"))
-    return days.select(DATE, NAME, *[F.round(F.col(c) + (1.3e-8 if c.endswith("_skew") else 1.3e-10), 4 if c.endswith("_skew") else 6).alias(c) for c in days.columns if c not in (DATE, NAME)])
+    rounded = [f"round({c} + {'1.3E-8, 4' if c.endswith('_skew') else '1.3E-10, 6'}) AS {c}" for c in days.columns if c not in (DATE, NAME)]
+    return days.selectExpr(DATE, NAME, *rounded)
 
 
 @query(

@@ -52,22 +52,61 @@ def tick_measures(ticks: DataFrame, order: Sequence[str] = (DATE,)) -> DataFrame
     return d.withColumn("ob_net_bid_change_5_ratio", _over(c("ob_net_bid_change_5"), c("ob_total_depth_5")))
 
 
-def sample_skew(x: Column) -> Column:
-    """Skewness with the sample correction; missing for fewer than three values, 0 without spread."""
-    n = F.count(x).cast("double")
-    return F.when(n > 2, F.when(F.var_pop(x) > 1e-20, F.skewness(x) * F.sqrt(n * (n - 1)) / (n - 2)).otherwise(0.0))
+def _moments(x: str) -> list[Column]:
+    """Of some values: their number, mean, sums of squares and cubes about it, last known, largest and least. Those of several parts merge."""
+    n, squares = F.count(x).cast("double"), F.var_pop(x) * F.count(x)
+    cubes = F.when(squares > 0, F.skewness(x) * F.pow(squares, 1.5) / F.sqrt(n)).otherwise(0.0)
+    return [n.alias("n"), F.avg(x).alias("mean"), squares.alias("squares"), cubes.alias("cubes"), F.max("_last").alias("last"), F.max(x).alias("max"), F.min(x).alias("min")]
+
+
+def _merged(bit: int) -> str:
+    """SQL: statistics of all values of those moments in the array _parts that have a session's bit: mean, deviation, skewness with the sample correction, last, largest, least.
+
+    Steps pass through arrays of one, so that each value is written once.
+    """
+    total = lambda of, rows: f"aggregate({rows}, 0D, (s, p) -> s + {of})"
+    apart = "(p.mean - c.mean)"
+    steps = f"array(filter(_parts, p -> (p._in & {bit}) != 0 AND p.n > 0))"
+    steps = f"transform({steps}, a -> named_struct('got', a, 'n', {total('p.n', 'a')}, 'sum', {total('p.n * p.mean', 'a')}))"
+    steps = f"transform({steps}, b -> named_struct('got', b.got, 'n', b.n, 'mean', b.sum / nullif(b.n, 0D)))"
+    squares = total(f"p.squares + p.n * {apart} * {apart}", "c.got")
+    cubes = total(f"p.cubes + 3 * {apart} * p.squares + p.n * {apart} * {apart} * {apart}", "c.got")
+    steps = f"transform({steps}, c -> named_struct('got', c.got, 'n', c.n, 'mean', c.mean, 'squares', {squares}, 'cubes', {cubes}))"
+    skew = "sqrt(d.n) * d.cubes / pow(d.squares, 1.5) * sqrt(d.n * (d.n - 1)) / (d.n - 2)"
+    found = {
+        "mean": "d.mean",
+        "std": "CASE WHEN d.n > 1 THEN sqrt(d.squares / (d.n - 1)) END",
+        "skew": f"CASE WHEN d.n > 2 THEN CASE WHEN d.squares / d.n > 1E-20 THEN {skew} ELSE 0D END END",
+        "last": "array_max(transform(d.got, p -> p.last)).v",
+        "max": "array_max(transform(d.got, p -> p.max))",
+        "min": "array_min(transform(d.got, p -> p.min))",
+    }
+    return f"transform({steps}, d -> named_struct({', '.join(f"'{k}', {v}" for k, v in found.items())}))[0]"
 
 
 def daily_book(measured: DataFrame, measures: Sequence[str] = MEASURES, parts: dict[str, tuple[str, str]] | None = None, order: Sequence[str] = (DATE,), close: str = "15 HOURS") -> DataFrame:
-    """(Datetime, Contract, <measure>_<session>_<statistic>...): mean, deviation, skew, last known, largest and least value of each measure in each session, all in one aggregate by day and contract."""
-    t, aggs = F.date_format(DATE, "HH:mm"), []
-    for name, (lo, hi) in (SESSIONS if parts is None else parts).items():
-        for m in measures:
-            x = F.when(t.between(lo, hi), F.col(m)) if name != "full" else F.col(m)
-            last = F.max_by(x, F.when(x.isNotNull(), F.struct(*order)))
-            aggs += [e.alias(f"{m}_{name}_{k}") for k, e in (("mean", F.avg(x)), ("std", F.stddev_samp(x)), ("skew", sample_skew(x)), ("last", last), ("max", F.max(x)), ("min", F.min(x)))]
-    day = F.date_trunc("day", DATE)
-    return measured.groupBy((day + F.expr(f"INTERVAL {close}")).alias(DATE), NAME).agg(*aggs)
+    """(Datetime, Contract, <measure>_<session>_<statistic>...): mean, deviation, skew, last known, largest and least value of each measure in each session.
+
+    Three narrow layers. Ticks of a day, contract and measure that are in the same sessions become one row of moments, most
+    of it before anything is exchanged; of these few rows each session merges its own, the whole day all; and a day's
+    measures are brought side by side.
+    """
+    sessions_of = list((SESSIONS if parts is None else parts).items())
+    t = F.date_format(DATE, "HH:mm")
+    within = [F.lit(True) if name == "full" else t.between(lo, hi) for name, (lo, hi) in sessions_of]
+    in_sessions = sum((F.when(w, 1 << k).otherwise(0) for k, w in enumerate(within)), F.lit(0))
+    day = (F.date_trunc("day", DATE) + F.expr(f"INTERVAL {close}")).alias(DATE)
+    each = F.inline(F.array(*[F.struct(F.lit(m).alias("_measure"), F.col(m).cast("double").alias("_v")) for m in measures]))
+    rows = measured.select(day, NAME, in_sessions.alias("_in"), F.struct(*order).alias("_order"), each)
+    rows = rows.withColumn("_last", F.when(F.col("_v").isNotNull(), F.struct("_order", F.col("_v").alias("v"))))
+    moments = rows.groupBy(DATE, NAME, "_measure", "_in").agg(*_moments("_v"))
+    own = moments.groupBy(DATE, NAME, "_measure").agg(F.collect_list(F.struct("_in", "n", "mean", "squares", "cubes", "last", "max", "min")).alias("_parts"))
+    numbers = range(len(sessions_of))
+    own = own.selectExpr(DATE, NAME, "_measure", f"named_struct({', '.join(f"'_s{k}', {_merged(1 << k)}" for k in numbers)}) AS _stats")
+    wide = own.groupBy(DATE, NAME).agg(*[F.first(F.when(F.col("_measure") == m, F.col("_stats")), ignorenulls=True).alias(f"_m{i}") for i, m in enumerate(measures)])
+    statistics = ("mean", "std", "skew", "last", "max", "min")
+    columns = [f"_m{i}._s{k}.{s} AS `{m}_{name}_{s}`" for k, (name, _) in enumerate(sessions_of) for i, m in enumerate(measures) for s in statistics]
+    return wide.selectExpr(DATE, NAME, *columns)
 
 
 def composites(daily: DataFrame) -> DataFrame:

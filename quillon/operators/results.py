@@ -9,6 +9,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.operators.json_tree import json_nodes
 from quillon.plans.layers import DATE, NAME
 
 SLOT = "struct<slot:string,field:string,transform:string,direction:int>"
@@ -45,17 +46,12 @@ def gene_occurrences(results: DataFrame, gene_id: str, slots: str = "gene_slots"
     return results.select(F.col(gene_id).alias("gene_id"), *keep, F.explode(every).alias("o")).where("o.field IS NOT NULL").select("gene_id", *keep, "o.*")
 
 
-def json_values(column: str | Column, key: str) -> Column:
-    """Every string that stands under a key anywhere in a JSON text, in order, without walking the tree."""
-    c = F.col(column) if isinstance(column, str) else column
-    return F.regexp_extract_all(c, F.lit(rf'"{key}"\s*:\s*"([^"]*)"'), F.lit(1))
-
-
 def program_usage(results: DataFrame, gene_id: str, program: str = "program_json", op: str = "op", field: str = "field") -> DataFrame:
-    """(gene_id, kind, name, n): operators and fields of each program's JSON, and how often it uses them."""
-    named = lambda key, kind: F.transform(json_values(program, key), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("name")))
-    used = results.select(F.col(gene_id).alias("gene_id"), F.explode(F.concat(named(op, "operator"), named(field, "field"))).alias("u"))
-    return used.groupBy("gene_id", "u.kind", "u.name").agg(F.count("*").alias("n"))
+    """(gene_id, kind, name, n): operators and fields of each program's JSON, strings that stand under those names at any depth, and how often it uses them."""
+    nodes = json_nodes(results.withColumn("gene_id", F.col(gene_id)), program, ["gene_id"])
+    used = nodes.where(F.col("name").isin(op, field) & (F.col("kind") == "string"))
+    kind = F.when(F.col("name") == op, "operator").otherwise("field")
+    return used.groupBy("gene_id", kind.alias("kind"), F.col("value").alias("name")).agg(F.count("*").alias("n"))
 
 
 def operators_in(expression: str | Column) -> Column:
