@@ -56,11 +56,26 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, table_key: str, values:
     return found.select(*[rows[c] for c in rows.columns], *[F.coalesce(F.col(f"_{n}").cast("string"), F.lit(default)).alias(n) for n in values])
 
 
-def cooccurrence(rows: DataFrame, group: str, item: str) -> DataFrame:
-    """(a, b, n): in how many groups two items stand together, either way round and with themselves."""
-    pairs = rows.select(group, item).where(F.col(item).isNotNull()).distinct()
-    a, b = pairs.select(F.col(group).alias("_g"), F.col(item).alias("a")), pairs.select(F.col(group).alias("_g"), F.col(item).alias("b"))
-    return a.join(b, "_g").groupBy("a", "b").agg(F.count("*").alias("n"))
+#: Items of one group that one key of a co-occurrence join has at most, about.
+PART_ITEMS = 256
+
+
+def cooccurrence(rows: DataFrame, group: str, item: str, part_items: int = PART_ITEMS) -> DataFrame:
+    """(a, b, n): in how many groups two items stand together, either way round and with themselves.
+
+    A group's items are dealt to parts by their hash, and each two parts meet under a key of their own, so a large group is
+    many keys of bounded size. Pairs are made one way round only and counted before they are exchanged; their mirror images
+    are made of the counts.
+    """
+    pairs = rows.select(F.col(group).alias("_g"), F.col(item).alias("_x")).where(F.col("_x").isNotNull() & F.col("_g").isNotNull()).distinct()
+    parts = pairs.groupBy("_g").agg(F.ceil(F.count("*") / part_items).cast("int").alias("_parts"))
+    dealt = pairs.join(parts, "_g").withColumn("_p", F.pmod(F.xxhash64("_x", F.lit(7)), F.col("_parts")).cast("int"))
+    a = dealt.select("_g", F.col("_p").alias("_i"), F.explode(F.sequence("_p", F.col("_parts") - 1)).alias("_j"), F.col("_x").alias("_a"))
+    b = dealt.select("_g", F.explode(F.sequence(F.lit(0), F.col("_p"))).alias("_i"), F.col("_p").alias("_j"), F.col("_x").alias("_b"))
+    met = a.join(b, ["_g", "_i", "_j"]).where((F.col("_i") < F.col("_j")) | (F.col("_a") <= F.col("_b")))
+    counted = met.groupBy(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).agg(F.count("*").alias("n"))
+    both = F.when(F.col("a") == F.col("b"), F.array(F.struct("a", "b"))).otherwise(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    return counted.select(F.explode(both).alias("_p"), "n").select("_p.a", "_p.b", "n")
 
 
 def as_of(reports: DataFrame, targets: DataFrame, columns: Sequence[str], limit: int | None = None, date: str = DATE, name: str = NAME) -> DataFrame:
