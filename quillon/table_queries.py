@@ -149,7 +149,7 @@ def _(f):
     return f"SELECT s_suppkey, {f('suffix', 's_name')} AS number0, CASE WHEN lower(s_name) LIKE '%supplier%' THEN 'supplier' ELSE 'other' END AS kind FROM supplier"
 
 
-_OBJECTIVES = "SELECT o_custkey AS id, round(avg(CAST(o_totalprice AS DOUBLE)) + 1.3E-7, 2) AS f1, CAST(count(*) AS DOUBLE) AS f2 FROM orders GROUP BY o_custkey"
+_OBJECTIVES = "SELECT o_custkey AS id, round(avg(o_totalprice), 2) AS f1, CAST(count(*) AS DOUBLE) AS f2 FROM orders GROUP BY o_custkey"
 
 
 @sql_query("se1_2_pareto_front")
@@ -194,7 +194,7 @@ def se1_2_pareto_front(spark: SparkSession, sf_dir: str) -> DataFrame:
 def se4_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fronts and crowding of all candidates, ranked in cells."""
     r = dominance.ranked(_candidates(spark, sf_dir), ["f1", "f2"], "id")
-    return r.select("id", "front", F.round(F.least("crowding", F.lit(1e9)) + 1.3e-10, 6).alias("crowding"))
+    return r.select("id", "front", F.least("crowding", F.lit(1e9)).alias("crowding")).orderBy("front", F.desc("crowding"), "id")
 
 
 def se6_elites(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -204,8 +204,10 @@ def se6_elites(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dominance.elites(c, ["f1", "f2"], n, "id").select("id", "front")
 
 
+#: The first engine rounds a double as it is written in decimals; the second is told to.
+_SAME_OBJECTIVES = _OBJECTIVES.replace("round(avg(o_totalprice), 2)", "CAST(round(CAST(CAST(sum(o_totalprice) / count(*) AS VARCHAR) AS DECIMAL(38, 18)), 2) AS DOUBLE)")
 #: The longest chain of candidates that dominate one another tells the front: level by level, what some candidate of the level before dominates.
-_FRONTS = f"""o AS (SELECT CAST(id AS BIGINT) AS id, CAST(f1 AS DOUBLE) AS f1, f2 FROM ({_OBJECTIVES}) x),
+_FRONTS = f"""o AS (SELECT CAST(id AS BIGINT) AS id, f1, f2 FROM ({_SAME_OBJECTIVES}) x),
   p AS (SELECT DISTINCT f1, f2 FROM o),
   chain AS (SELECT f1, f2, 0 AS depth FROM p UNION SELECT q.f1, q.f2, c.depth + 1 FROM chain c JOIN p q ON c.f1 >= q.f1 AND c.f2 >= q.f2 AND (c.f1 > q.f1 OR c.f2 > q.f2)),
   r AS (SELECT o.id, o.f1, o.f2, f.front FROM o JOIN (SELECT f1, f2, max(depth) AS front FROM chain GROUP BY f1, f2) f USING (f1, f2)),
@@ -217,7 +219,7 @@ _FRONTS = f"""o AS (SELECT CAST(id AS BIGINT) AS id, CAST(f1 AS DOUBLE) AS f1, f
     SELECT id, front, CASE WHEN b1 IS NULL OR a1 IS NULL OR b2 IS NULL OR a2 IS NULL THEN 1E9
       ELSE CASE WHEN w1 > 0 THEN (a1 - b1) / w1 ELSE 0 END + CASE WHEN w2 > 0 THEN (a2 - b2) / w2 ELSE 0 END END AS crowding FROM n)"""
 _SELECTION_SQL = {
-    "se4_selection": f"WITH RECURSIVE {_FRONTS} SELECT id, CAST(front AS INTEGER) AS front, round(crowding + 1.3e-10, 6) AS crowding FROM ranked",
+    "se4_selection": f"WITH RECURSIVE {_FRONTS} SELECT id, CAST(front AS INTEGER) AS front, crowding FROM ranked",
     "se6_elites": f"""WITH RECURSIVE {_FRONTS} SELECT id, CAST(front AS INTEGER) AS front FROM ranked
       QUALIFY row_number() OVER (ORDER BY front, crowding DESC, id) <= (SELECT count(*) // 5 FROM customer)""",
 }
