@@ -12,7 +12,8 @@ from quillon.operators import alignment as al
 from quillon.operators import folds, orderbook, regression, results, selection
 from quillon.operators.json_tree import json_nodes
 from quillon.plans import builder
-from quillon.plans.layers import DATE, NAME
+from quillon.plans.blocks import BlockedPanel
+from quillon.plans.layers import DATE, NAME, Layers, SqlText
 from quillon.plans.panel import at_close, validate_panel, validate_wide, weekly_panel, weekly_text
 from quillon.plans.storage import written
 from quillon.sources import tables
@@ -655,3 +656,27 @@ def _(spark, d):
     df = cells(spark, d).where("tradeable").withColumn("y", F.log("price"))
     out = regression.neutralise_full(df, "y", ["size", "discount", "tax"], ridge=0.0)
     return out.select(DATE, NAME, (F.round(F.col("residual") + 1.3e-10, 5) + F.lit(0.0)).alias("residual"))
+
+
+# Contracts of many rows: every kind of event is one, and its windows run in blocks of time.
+_EVENT_PANEL = f"SELECT ts AS {DATE}, event_type AS {NAME}, sum(value) AS value FROM events WHERE ts IS NOT NULL AND event_type IS NOT NULL GROUP BY ts, event_type"
+
+
+def _long_columns(p: Layers) -> dict[str, str]:
+    """Windows, shifts both ways, walks, chains of them, and values carried over any number of rows."""
+    rare = p.let("CASE WHEN value > 200 THEN value END")
+    return {DATE: DATE, NAME: NAME, "before": ts.delay(p, "value", 60), "mean": ts.ts_mean(p, "value", 120), "median": ts.ts_median(p, "value", 20), "decayed": ts.decay_linear(p, "value", 20),
+            "later": p.let(f"lead(value, 60) OVER ({p.T})"), "spread_of_mean": ts.ts_std(p, ts.ts_mean(p, "value", 20), 60), "rare": ts.ffill(p, rare), "rare_recent": ts.ffill(p, rare, 30),
+            "mean_of_rare": ts.ts_mean(p, ts.ffill(p, rare), 20)}
+
+
+def _long_text() -> str:
+    p = SqlText(f"ticks AS ({_EVENT_PANEL})", "ticks", [DATE, NAME, "value"])
+    return p.select(_long_columns(p))
+
+
+@query("ts_long_contracts", _long_text())
+def _(spark, d):
+    table(spark, d, "events").createOrReplaceTempView("events")
+    p = BlockedPanel(spark.sql(_EVENT_PANEL))
+    return p.select(_long_columns(p))

@@ -81,7 +81,7 @@ def score_batch(panel: SparkPanel, kind: Kind, batch: Sequence[Any], label: str
     """
     if not batch:
         return []
-    p, cols, out = SparkPanel(panel.base, panel.decimals), {}, {}
+    p, cols, out = panel.anew(), {}, {}
     for i, g in enumerate(batch):
         try:
             x = kind.compile(p, g)

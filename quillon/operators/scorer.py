@@ -196,7 +196,7 @@ class Scorer:
         self.panel, self.label, self.config, self.where = panel, label, config, where
 
     def _fresh(self) -> SparkPanel:
-        return SparkPanel(self.panel.base, self.panel.decimals)
+        return self.panel.anew()
 
     def factor_values(self, program: Program) -> DataFrame:
         """(Datetime, Contract, factor) of a program on the dates that count."""

@@ -152,6 +152,10 @@ class SparkPanel(SparkFunctions, Layers):
     def spark(self) -> SparkSession:
         return self.base.sparkSession
 
+    def anew(self) -> SparkPanel:
+        """The same table without the columns added to it."""
+        return SparkPanel(self.base, self.decimals)
+
     def frame(self, wanted: Sequence[str] | None = None) -> DataFrame:
         """The panel with the wanted columns, one projection per depth. Later layers read only what they need; Catalyst prunes the rest."""
         df = self.base

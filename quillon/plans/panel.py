@@ -37,7 +37,7 @@ class PanelContext:
 
     def fields(self, df: DataFrame) -> list[str]:
         """Numeric columns that may be searched, in order, without keys, roles and excluded names."""
-        out = {DATE, NAME, self.tradeable, self.industry, self.label, *self.exclude}
+        out = {DATE, NAME, "_block", "_at", self.tradeable, self.industry, self.label, *self.exclude}
         kinds = ("tinyint", "smallint", "int", "bigint", "float", "double")
         return [c for c, t in df.dtypes if t in kinds and c not in out and not c.startswith(self.exclude_prefixes)]
 
@@ -114,12 +114,16 @@ def densify(df: DataFrame) -> DataFrame:
     return grid.join(df, [DATE, NAME], "left")
 
 
-def prepare(df: DataFrame, context: PanelContext) -> SparkPanel:
-    """A checked, cleaned, dense panel whose tradeable column is a boolean."""
+def prepare(df: DataFrame, context: PanelContext, blocked: bool = False, rows_per_block: int | None = None) -> SparkPanel:
+    """A checked, cleaned, dense panel whose tradeable column is a boolean; ``blocked`` cuts long contracts into blocks."""
     validate_panel(df)
     d = densify(clean(df))
     if context.tradeable in d.columns:
         d = d.withColumn(context.tradeable, F.coalesce(F.col(context.tradeable).cast("double") > 0, F.lit(False)))
+    if blocked:
+        from quillon.plans.blocks import BlockedPanel
+
+        return BlockedPanel(d, rows_per_block=rows_per_block)
     return SparkPanel(d)
 
 
