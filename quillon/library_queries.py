@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,8 +16,9 @@ from quillon.plans import builder
 from quillon.plans.blocks import BlockedPanel
 from quillon.plans.layers import DATE, NAME, Layers, SqlText
 from quillon.plans.panel import at_close, validate_panel, validate_wide, weekly_panel, weekly_text
-from quillon.plans.storage import written
+from quillon.plans.storage import shared_folder, written
 from quillon.sources import tables
+from quillon.sources.batches import read_batches, write_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -680,3 +682,11 @@ def _(spark, d):
     table(spark, d, "events").createOrReplaceTempView("events")
     p = BlockedPanel(spark.sql(_EVENT_PANEL))
     return p.select(_long_columns(p))
+
+
+# Order lines written as record batches and read again, three of their columns.
+@query("io2_record_batches", "SELECT l_shipdate, l_suppkey, l_shipmode, count(*) AS n FROM lineitem GROUP BY l_shipdate, l_suppkey, l_shipmode")
+def _(spark, d):
+    path = f"{shared_folder(spark)}/quillon/batches-{uuid.uuid4().hex}"
+    write_batches(table(spark, d, "lineitem"), path)
+    return read_batches(spark, path, ["l_shipmode", "l_suppkey", "l_shipdate"]).groupBy("l_shipdate", "l_suppkey", "l_shipmode").agg(F.count("*").alias("n"))

@@ -8,19 +8,19 @@ from collections.abc import Sequence
 from functools import reduce
 from pathlib import Path
 
-import pyarrow.feather
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.plans.layers import DATE, NAME
 from quillon.plans.panel import validate_panel
+from quillon.sources.batches import read_batches
 
 
 def read_table(spark: SparkSession, path: str, kind: str | None = None, encoding: str = "UTF-8", schema: str | None = None) -> DataFrame:
     """A table by its suffix or ``kind``: parquet, csv or feather. Pickles are refused, as reading them runs code.
 
-    A csv without a ``schema`` is read once more to infer one. Feather files are for small tables: they pass the driver.
+    A csv without a ``schema`` is read once more to infer one. Feather files are read batch by batch, in tasks.
     """
     kind = (kind or path.rsplit(".", 1)[-1]).lower()
     if kind in ("parquet", "pq"):
@@ -29,7 +29,7 @@ def read_table(spark: SparkSession, path: str, kind: str | None = None, encoding
         reader = spark.read.option("header", True).option("encoding", encoding)
         return reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
     if kind in ("feather", "ipc", "arrow"):
-        return spark.createDataFrame(pyarrow.feather.read_table(path))
+        return read_batches(spark, path)
     raise ValueError(f"can't read {kind!r}")
 
 
