@@ -685,8 +685,8 @@ def _(spark, d):
 
 
 # Order lines written as record batches and read again, three of their columns.
-@query("io2_record_batches", "SELECT l_shipdate, l_suppkey, l_shipmode, count(*) AS n FROM lineitem GROUP BY l_shipdate, l_suppkey, l_shipmode")
+@query("io2_record_batches", "SELECT l_shipdate, l_suppkey, l_returnflag, count(*) AS n FROM lineitem GROUP BY l_shipdate, l_suppkey, l_returnflag")
 def _(spark, d):
     path = f"{shared_folder(spark)}/quillon/batches-{uuid.uuid4().hex}"
     write_batches(table(spark, d, "lineitem"), path)
-    return read_batches(spark, path, ["l_shipmode", "l_suppkey", "l_shipdate"]).groupBy("l_shipdate", "l_suppkey", "l_shipmode").agg(F.count("*").alias("n"))
+    return read_batches(spark, path, ["l_returnflag", "l_suppkey", "l_shipdate"]).groupBy("l_shipdate", "l_suppkey", "l_returnflag").agg(F.count("*").alias("n"))
