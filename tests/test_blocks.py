@@ -91,3 +91,31 @@ def test_empty_and_wrong(table):
     assert p.frame([ts.ts_mean(p, "y", 5), ts.ffill(p, "x")]).count() == 0
     with pytest.raises(ValueError):
         BlockedPanel(table, rows_per_block=0)
+
+
+def test_every_registered_operator_has_bounds(table):
+    from quillon.functions.registry import OPERATORS
+
+    p = BlockedPanel(table, rows_per_block=100)
+    wanted = [o.build(p, *(["x", "y"][: o.arity])) for o in OPERATORS.values()]
+    steps = p.steps(wanted)
+    assert max(s.back for s in steps) >= 119
+    assert {k for s in steps for layer in s.layers for k in layer} == {k for layer in p.layers(wanted) for k in layer}
+
+
+def test_candidates_score_the_same_on_blocks(spark):
+    from quillon.operators.evolve import Kind, score_batch
+    from quillon.operators.search import compile_program
+    from quillon.plans.panel import PanelContext, prepare
+    from quillon.plans.program import Program, call, field
+
+    rng = np.random.default_rng(2)
+    rows = [(dt.datetime(2021, 1, 1, 15) + dt.timedelta(days=k), f"c{c}", float(rng.normal()), float(rng.normal()), 1.0) for k in range(40) for c in range(8)]
+    df = spark.createDataFrame(rows, [DATE, NAME, "x", "label", "tradeable"])
+    programs = [Program(call("ts_mean_5", field("x"))), Program(call("cs_rank", call("ts_delta_20", field("x"))))]
+    kind = Kind(lambda: programs[0], lambda alive: programs[1], compile_program, lambda p: p.key)
+    blocked = prepare(df, PanelContext(), blocked=True, rows_per_block=50)
+    assert PanelContext().fields(blocked.base) == ["x"]
+    whole, cut = score_batch(prepare(df, PanelContext()), kind, programs), score_batch(blocked, kind, programs)
+    assert [s.days for s in whole] == [s.days for s in cut] and all(s.days for s in whole)
+    assert np.allclose([(s.ic, s.ir, s.coverage) for s in whole], [(s.ic, s.ir, s.coverage) for s in cut])
