@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from quillon.llm.common import materialise
 
 #: verdict, host and path of each given rule.
-RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
+RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 BAD = "\x00bad"
 #: Least share and number of labelled urls with a rule's tokens that are bad, least share of bad ones among those with its tokens, and how many times the share among all that must be.
 MIN_SUPPORT, MIN_COUNT, MIN_CONFIDENCE, MIN_LIFT = 0.005, 10, 0.6, 1.5
