@@ -262,10 +262,9 @@ _NESTED = """'{"op": "say \\\\"' || p_size || '\\\\"", "note": "\\\\"op\\\\": \\
 )
 def _(spark, d):
     """Every node of a nested program, with its depth and the name its parent has."""
-    n = json_nodes(table(spark, d, "part").withColumn("j", F.expr(_NESTED)), "j", ["p_partkey"])
-    up = n.select("p_partkey", F.col("node").alias("parent"), F.col("name").alias("parent_name"))
+    n = json_nodes(table(spark, d, "part").withColumn("j", F.expr(_NESTED)), "j", ["p_partkey"], parents=True)
     value = F.when(F.col("kind") == "number", F.col("value").cast("double").cast("string")).otherwise(F.col("value"))
-    return n.join(up, ["p_partkey", "parent"], "left").select(F.col("p_partkey").alias("gene_id"), "depth", "name", "place", "parent_name", "kind", value.alias("value"))
+    return n.select(F.col("p_partkey").alias("gene_id"), "depth", "name", "place", "parent_name", "kind", value.alias("value"))
 
 
 @query(

@@ -55,17 +55,24 @@ def walk(text: str | None) -> Iterator[tuple]:
         stack += reversed(below)
 
 
-def json_nodes(rows: DataFrame, text: str, keep: Sequence[str]) -> DataFrame:
-    """``keep`` columns with a row for every node of the JSON in ``text``, as ``walk`` says; one scan, no exchange."""
+def json_nodes(rows: DataFrame, text: str, keep: Sequence[str], parents: bool = False) -> DataFrame:
+    """``keep`` columns with a row for every node of the JSON in ``text``, as ``walk`` says; one scan, no exchange.
+
+    ``parents`` adds ``parent_name``, the name that the node's parent has. A text's nodes are all at hand when it is walked,
+    so nothing is joined.
+    """
     at = rows.select(*[F.col(f"`{c}`") for c in keep], F.col(text).cast("string").alias("_json"))
-    names = [c.split(" ")[0] for c in NODES.split(", ")]
-    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.string()]
+    columns_of = NODES + (", parent_name string" if parents else "")
+    names = [c.split(" ")[0] for c in columns_of.split(", ")]
+    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string()][: len(names)]
 
     def run(batches):
         for batch in batches:
             owner, found = [], []
             for i, t in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
                 nodes = list(walk(t))
+                if parents:
+                    nodes = [(*n, None if n[1] is None else nodes[n[1]][3]) for n in nodes]
                 owner += [i] * len(nodes)
                 found += nodes
             columns = list(zip(*found, strict=True)) if found else [[]] * len(names)
@@ -73,6 +80,6 @@ def json_nodes(rows: DataFrame, text: str, keep: Sequence[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*kept, *[pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]], names=[*keep, *names])
 
     schema = at.select(*[F.col(f"`{c}`") for c in keep]).schema
-    for c in NODES.split(", "):
+    for c in columns_of.split(", "):
         schema = schema.add(*c.split(" "))
     return at.mapInArrow(run, schema)
