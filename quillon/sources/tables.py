@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.plans.layers import DATE, NAME
-from quillon.plans.panel import validate_panel
+from quillon.plans.panel import BLOCK, NAMES, VALUES, in_blocks, validate_panel
+from quillon.plans.storage import written
 from quillon.sources.batches import read_batches
 
 
@@ -83,18 +84,38 @@ def read_parts(spark: SparkSession, pattern: str, columns: Sequence[str] | None
     return d.select(*keep, F.input_file_name().alias("_file")).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_file")
 
 
+#: Contracts that a wide table has as columns; of more it is rows of blocks, each of at most about so many contracts.
+MOST_COLUMNS = 1000
+
+
 def wide_to_long(df: DataFrame, value: str, date: str | None = None) -> DataFrame:
-    """Rows (Datetime, Contract, value) of a table with a column per contract; missing cells stay."""
+    """Rows (Datetime, Contract, value) of a table with a column per contract, or of one in blocks; missing cells stay."""
     names = {c.lower(): c for c in df.columns}
     date = date or next((names[k] for k in ("datetime", "date", "trade_date", "time") if k in names), None)
     if date is None:
         raise ValueError("no date column")
-    return df.withColumnRenamed(date, DATE).unpivot(DATE, [c for c in df.columns if c != date], NAME, value)
-
-
-def long_to_wide(df: DataFrame, value: str) -> DataFrame:
-    """A column per contract."""
-    return df.groupBy(DATE).pivot(NAME).agg(F.first(value))
+    df = df.withColumnRenamed(date, DATE)
+    if in_blocks(df):
+        return df.select(DATE, F.explode(F.arrays_zip(F.col(NAMES).alias("n"), F.col(VALUES).alias("v"))).alias("cell")).select(DATE, F.col("cell.n").alias(NAME), F.col("cell.v").alias(value))
+    return df.unpivot(DATE, [c for c in df.columns if c != DATE], NAME, value)
+
+
+def long_to_wide(df: DataFrame, value: str, most: int = MOST_COLUMNS) -> DataFrame:
+    """A column per contract. A plan can't have tens of thousands of columns, so a table of more than ``most`` contracts is
+    rows of blocks instead: by date and block the names of its contracts, in order, and their values, missing ones included."""
+    df = written(df.select(DATE, NAME, value), "long")  # read several times
+    contracts = df.select(NAME).distinct().count()
+    if contracts <= most:
+        return df.groupBy(DATE).pivot(NAME).agg(F.first(value))
+    # Contracts are named as a pivot names its columns.
+    cells = df.select(DATE, F.coalesce(F.col(NAME).cast("string"), F.lit("null")).alias(NAME), F.col(value).alias(VALUES)).groupBy(DATE, NAME).agg(F.first(VALUES).alias(VALUES))
+    blocks = -(-contracts // most)
+    names = df.select(F.coalesce(F.col(NAME).cast("string"), F.lit("null")).alias("_name")).distinct()
+    grid = names.crossJoin(F.broadcast(df.select(F.col(DATE).alias("_date")).distinct()))
+    full = grid.join(cells, F.col("_date").eqNullSafe(F.col(DATE)) & (F.col("_name") == F.col(NAME)), "left")
+    rows = full.groupBy(F.col("_date").alias(DATE), F.pmod(F.xxhash64("_name"), F.lit(blocks)).cast("int").alias(BLOCK))
+    held = rows.agg(F.sort_array(F.collect_list(F.struct(F.col("_name").alias("n"), F.col(VALUES).alias("v")))).alias("_cells"))
+    return held.select(DATE, BLOCK, F.col("_cells.n").alias(NAMES), F.col("_cells.v").alias(VALUES))
 
 
 def factor_table(df: DataFrame, include: Sequence[str] = (), exclude: Sequence[str] = (), prefix: str = "") -> DataFrame:
