@@ -642,7 +642,7 @@ def _(spark, d):
 
 @query("pf1_3_validation", "SELECT 'close' AS panel, TRUE AS valid UNION ALL SELECT 'midnight', FALSE UNION ALL SELECT 'twice', FALSE UNION ALL SELECT 'wide', TRUE")
 def _(spark, d):
-    p = cells(spark, d).select(DATE, NAME, "price")
+    p = written(cells(spark, d).select(DATE, NAME, "price"), "panel")  # nine passes read it
     shut = at_close(p)
     told = [("close", validate_panel(shut, False)), ("midnight", validate_panel(p, False)), ("twice", validate_panel(shut.unionByName(shut), False)), ("wide", validate_wide(tables.long_to_wide(shut, "price"), False))]
     return spark.createDataFrame(told, "panel string, valid boolean")
