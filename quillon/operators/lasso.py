@@ -29,14 +29,14 @@ def solve(gram: np.ndarray, right: np.ndarray, alpha: float, rounds: int = 1000)
     return b
 
 
-def select_fields(df: DataFrame, fields: Sequence[str], label: str, alphas: Sequence[float] | None = None, folds: int = 5) -> DataFrame:
+def select_fields(df: DataFrame, fields: Sequence[str], label: str, alphas: Sequence[float] | None = None, folds: int = 5, parts: int | None = None) -> DataFrame:
     """(field, coefficient, kept) at the penalty with the least squared error over folds, each trained on all dates before it.
 
     One pass sums the moments of every fold; all fits and errors follow from those few numbers, so the rows are neither
-    cached nor read again.
+    cached nor read again. ``parts`` as in ``SparkPanel``.
     """
     alphas = np.logspace(-5, -1, 50) if alphas is None else alphas
-    p = SparkPanel(df)
+    p = SparkPanel(df, parts=parts)
     z = lambda c: cs.zscore(p, cs.rank_pct(p, masks.tradeable_only(p, c)), flat="zero")
     x = [z(f) for f in fields]
     y = z(label)
