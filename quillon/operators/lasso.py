@@ -41,7 +41,7 @@ def select_fields(df: DataFrame, fields: Sequence[str], label: str, alphas: Sequ
     x = [z(f) for f in fields]
     y = z(label)
     cols = [*x, y]
-    rows = p.frame(cols).where(" AND ".join(f"{c} IS NOT NULL" for c in cols))
+    rows = p.frame(cols, []).where(" AND ".join(f"{c} IS NOT NULL" for c in cols))
     cuts = df.select(DATE).distinct().select(F.expr(f"percentile(unix_timestamp({DATE}), array({', '.join(str(i / (folds + 1)) for i in range(1, folds + 1))}))")).first()[0]
     part = sum((F.when(F.unix_timestamp(DATE) > c, 1).otherwise(0) for c in cuts), F.lit(0))
     k = len(cols)

@@ -18,6 +18,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.functions.ranking import ranked
 from quillon.functions.sliding import slide
 from quillon.plans.layers import DATE, NAME, Layers, SparkPanel
 from quillon.plans.storage import written
@@ -116,22 +117,24 @@ class BlockedPanel(SparkPanel):
 
     def _is_whole(self, name: str) -> bool:
         """Whether an expression needs every row once: over a date's rows, or over all rows of a contract so far."""
-        if name in self.slides:
-            return False
+        if name in self.slides or name in self.ranks:
+            return name in self.ranks
         other = self._numbered(self.sql[name]).replace(Layers.T, "")
         if "PARTITION BY" in other and Layers.T in self._numbered(self.sql[name]):
             raise ValueError(f"windows over contracts and over dates need columns of their own: {self.sql[name]}")
         return "PARTITION BY" in other or "OVER ()" in other or bool(_CARRIED.fullmatch(self.sql[name]))
 
-    def frame(self, wanted: Sequence[str] | None = None) -> DataFrame:
-        """The panel with the wanted columns; each row once, as from a panel of whole contracts."""
+    def frame(self, wanted: Sequence[str] | None = None, keep: Sequence[str] | None = None) -> DataFrame:
+        """The panel with all its own and the wanted columns; each row once, as from a panel of whole contracts."""
         df = self.base
         for s in self.steps(wanted):
             if s.whole:
                 carried = {k: m for k in s.layers[0] if (m := _CARRIED.fullmatch(self.sql[k]))}
-                plain = [k for k in s.layers[0] if k not in carried]
+                plain = [k for k in s.layers[0] if k not in carried and k not in self.ranks]
+                ranks = {k: self.ranks[k] for k in s.layers[0] if k in self.ranks}
                 df = self._carry(df, carried) if carried else df
                 df = df.select("*", *[F.expr(self.sql[k]).alias(k) for k in plain]) if plain else df
+                df = ranked(df.repartition(DATE).sortWithinPartitions(DATE), ranks, DATE, df.columns) if ranks else df
                 continue
             copied = s.back or s.ahead
             df = self._with_neighbours(df, s.back, s.ahead) if copied else df
