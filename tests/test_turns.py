@@ -70,3 +70,8 @@ def test_ties_of_zeros_and_nan():
     rank, number = ranking.average_ranks(np.array([0.0, np.nan, -0.0, np.inf, np.nan]))
     assert rank.tolist() == [1.5, 4.5, 1.5, 3, 4.5] and set(number) == {5}
     assert [len(a) for a in ranking.average_ranks(np.zeros(0))] == [0, 0]
+
+
+def test_wanted_columns_of_the_panel_stay(spark):
+    p = SparkPanel(_table(spark))
+    assert p.frame(["x", cs.average_rank(p, "y")], ["g"]).columns[:4] == [DATE, NAME, "x", "g"]
