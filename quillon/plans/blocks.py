@@ -124,8 +124,8 @@ class BlockedPanel(SparkPanel):
             raise ValueError(f"windows over contracts and over dates need columns of their own: {self.sql[name]}")
         return "PARTITION BY" in other or "OVER ()" in other or bool(_CARRIED.fullmatch(self.sql[name]))
 
-    def frame(self, wanted: Sequence[str] | None = None, keep: Sequence[str] | None = None) -> DataFrame:
-        """The panel with all its own and the wanted columns; each row once, as from a panel of whole contracts."""
+    def frame(self, wanted: Sequence[str] | None = None, keep: Sequence[str] | None = None, where: str | None = None) -> DataFrame:
+        """The panel with all its own and the wanted columns; each row once, as from a panel of whole contracts; of these the rows ``where`` keeps."""
         df = self.base
         for s in self.steps(wanted):
             if s.whole:
@@ -145,7 +145,8 @@ class BlockedPanel(SparkPanel):
                 if walked:
                     df = slide(df, walked, IN_BLOCK)
             df = df.where(OWN).drop(OWN) if copied else df
-        return df.drop(BLOCK, AT)
+        df = df.drop(BLOCK, AT)
+        return df.where(where) if where else df
 
     def _with_neighbours(self, df: DataFrame, back: int, ahead: int) -> DataFrame:
         """Rows with copies for every block that starts at most ``back`` rows after them, or ended at most ``ahead`` rows before."""
